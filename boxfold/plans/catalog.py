@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from boxfold.plans import prepare
+from boxfold.plans import kernels, prepare
 
-QUERIES = {**prepare.QUERIES}
-SQL = {**prepare.SQL}
+QUERIES = {**prepare.QUERIES, **kernels.QUERIES}
+SQL = {**prepare.SQL, **kernels.SQL}
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
