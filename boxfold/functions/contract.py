@@ -62,9 +62,11 @@ def gfmm_case(v1: Columns, w1: Columns, v2: Columns, w2: Columns) -> Column:
     return F.coalesce(*touching, least)
 
 
-def part_gfmm(v1: Columns, w1: Columns, c1: Column, v2: Columns, w2: Columns, c2: Column, alpha: float = ALPHA) -> Column:
-    """Part two boxes of different classes; boxes of one class stay as they are."""
-    found = gfmm_case(v1, w1, v2, w2)
+def part_gfmm(v1: Columns, w1: Columns, c1: Column, v2: Columns, w2: Columns, c2: Column, found: Column | None = None, alpha: float = ALPHA) -> Column:
+    """Part two boxes of different classes; boxes of one class stay as they are.
+
+    ``found``: a column with ``gfmm_case``, worth its own step in a plan as it is used in every corner."""
+    found = gfmm_case(v1, w1, v2, w2) if found is None else found
     case = F.when((c1 != c2) | (c1 == -1), found["case"])
 
     def change(a: Column, b: Column, c: Column, d: Column) -> Corners:

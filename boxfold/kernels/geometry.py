@@ -129,7 +129,7 @@ def efmnn_case(a: Box, b: Box, x: np.ndarray) -> tuple[int, int] | None:
     for lo, hi, lo2, hi2, s in zip(*a, *b, x):
         left, right = hi - lo2, hi2 - lo
         near = right < left
-        low, high = (lo > lo2) - (lo < lo2), (hi > hi2) - (hi < hi2)
+        low, high = int(np.sign(lo - lo2)), int(np.sign(hi - hi2))
         if low == 0 and high == 0:
             cases.append((91 if hi == s else 92, right))
         elif low == 0 and high < 0 and left > 0:

@@ -63,7 +63,7 @@ def random_boxes(samples: DataFrame, members: DataFrame, learner: str, max_sampl
 
 def member_predictions(samples: DataFrame, boxes: DataFrame, d: int, features: DataFrame | None = None, **how) -> DataFrame:
     """(member_id, sid, y_pred) of every member; members are few, each is one pass over the samples without a shuffle."""
-    ids = [r["member_id"] for r in boxes.select("member_id").distinct().orderBy("member_id").limit(10_001).collect()]
+    ids = prepare.stated(boxes, "member_id")
     lists = {r["member_id"]: list(r["features"]) for r in features.collect()} if features is not None else {}
     out = None
     for m in ids:
@@ -84,7 +84,7 @@ def majority(votes: DataFrame) -> DataFrame:
 
 def mean_memberships(samples: DataFrame, boxes: DataFrame, d: int, **how) -> DataFrame:
     """(sid, c, membership): mean over the members, a member without the class counting as 0."""
-    ids = [r["member_id"] for r in boxes.select("member_id").distinct().orderBy("member_id").limit(10_001).collect()]
+    ids = prepare.stated(boxes, "member_id")
     parts = [score.class_memberships(samples, boxes.filter(F.col("member_id") == m), d, **how) for m in ids]
     both = parts[0]
     for p in parts[1:]:

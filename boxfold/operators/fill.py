@@ -121,10 +121,15 @@ def fill_cells(df: DataFrame, *, record: str, group: str, time: str, present: Ma
 
 def apply_fills(df: DataFrame, cells: DataFrame, *, record: str, present: Mapping[str, Column]) -> DataFrame:
     """The table with its missing cells filled, and ``<field>_filled`` telling how (NULL where nothing was filled)."""
-    wide = cells.groupBy(F.col(record).alias("_rec")).agg(*[a for f in present for a in (F.max(F.when(F.col("field") == f, F.col("value"))).alias(f"_v_{f}"), F.max(F.when(F.col("field") == f, F.col("method"))).alias(f"_h_{f}"))])
+    taken = {c.lower() for c in df.columns}
+    side = "_fill"
+    while any(c.startswith(side) for c in taken):
+        side = "_" + side
+    key, value, how = f"{side}_key", {f: f"{side}_value_{k}" for k, f in enumerate(present)}, {f: f"{side}_how_{k}" for k, f in enumerate(present)}
+    wide = cells.groupBy(F.col(record).alias(key)).agg(*[a for f in present for a in (F.max(F.when(F.col("field") == f, F.col("value"))).alias(value[f]), F.max(F.when(F.col("field") == f, F.col("method"))).alias(how[f]))])
     types = dict(df.dtypes)
-    joined = df.join(wide, F.col(record) == F.col("_rec"), "left")
-    out = {f: F.when(present[f] | F.col(f"_v_{f}").isNull(), F.col(f)).otherwise(F.col(f"_v_{f}").cast(types[f])) for f in present}
-    marks = {f"{f}_filled": F.when(~present[f], F.col(f"_h_{f}")) for f in present}
+    joined = df.join(wide, F.col(record) == F.col(key), "left")
+    out = {f: F.when(present[f] | F.col(value[f]).isNull(), F.col(f)).otherwise(F.col(value[f]).cast(types[f])) for f in present}
+    marks = {f"{f}_filled": F.when(~present[f], F.col(how[f])) for f in present}
     kept = [out[c].alias(c) if c in out else F.col(f"`{c}`") for c in df.columns if c not in marks]
     return joined.select(*kept, *[m.alias(name) for name, m in marks.items()])

@@ -14,7 +14,8 @@ from boxfold.operators import ensemble, prune, score
 from boxfold.operators import fit as fitting
 from boxfold.operators import prepare
 
-LEVEL = "level int, partition_id int, " + fitting.BOX_FIELDS
+#: Boxes of one class at most where boxes inside others are looked for one by one.
+MOST_BOXES = 200_000
 
 
 def level_of(thetas: Sequence[float]) -> dict[float, int]:
@@ -22,6 +23,8 @@ def level_of(thetas: Sequence[float]) -> dict[float, int]:
 
 
 def _merge_contained(pdf: pd.DataFrame) -> pd.DataFrame:
+    if len(pdf) > MOST_BOXES:
+        raise ValueError(f"{len(pdf)} boxes of one class, {MOST_BOXES} at most")
     boxes = fitting.to_boxes(pdf, "online")
     if boxes is None:
         return pdf[["box_id", "v", "w", "c", "n_samples", "centroid"]]
@@ -66,7 +69,7 @@ def predict(samples: DataFrame, boxes: DataFrame, d: int, level: int = -1, gamma
     """(sid, y_pred) at one level, or (-1) the majority over the levels."""
     if level >= 0:
         return score.predict(samples, boxes.filter(F.col("level") == level), d, rule="centroid", gamma=gamma).select("sid", "y_pred")
-    levels = [r["level"] for r in boxes.select("level").distinct().orderBy("level").limit(1000).collect()]
+    levels = prepare.stated(boxes, "level")
     votes = None
     for k in levels:
         one = predict(samples, boxes, d, k, gamma)

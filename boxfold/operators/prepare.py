@@ -102,9 +102,17 @@ def _ranked(df: DataFrame, by: Sequence[str], record: str, seed: int) -> DataFra
     return keyed.withColumn("_inside", inside).join(bins, match).withColumn("_rank", F.col("_before") + F.col("_inside")).drop(*[f"_g_{c}" for c in by], "_b", "_bin", "_key", "_before", "_inside")
 
 
+def stated(df: DataFrame, column: str, most: int = 10_000) -> list:
+    """The distinct values of a column that holds a stated set; more than ``most`` are refused."""
+    values = [r[0] for r in df.select(column).distinct().orderBy(column).limit(most + 1).collect()]
+    if len(values) > most:
+        raise ValueError(f"more than {most} values of {column}")
+    return values
+
+
 def per_member(df: DataFrame, members: DataFrame) -> DataFrame:
-    """Every row once per member; members are a stated, bounded set."""
-    ids = [r["member_id"] for r in members.select("member_id").distinct().orderBy("member_id").limit(10_000).collect()]
+    """Every row once per member."""
+    ids = stated(members, "member_id")
     return df.withColumn("member_id", F.explode(F.array(*[F.lit(i) for i in ids])))
 
 

@@ -26,7 +26,7 @@ from boxfold.functions.distance import MISSING_HIGH, MISSING_LOW, NO_DISTANCE
 #: Doubles of box corners in one block at most (32 MB), and cells of a tile.
 BLOCK_CELLS, TILE = 4_000_000, 1_000_000
 
-EVIDENCE = "sid bigint, top double, c_low int, c_high int, first_id bigint, first_c int, near double, near_id bigint, near_c int"
+EVIDENCE = "sid bigint, top double, c_low int, c_high int, first_id bigint, first_c int, near double, near_n double, near_id bigint, near_c int"
 CLASSES = "sid bigint, c int, membership double, box_id bigint"
 
 
@@ -119,21 +119,23 @@ def _bounds(batch: pa.RecordBatch, d: int) -> tuple[np.ndarray, np.ndarray]:
     return np.where(np.isnan(xl), MISSING_LOW, xl), np.where(np.isnan(xu), MISSING_HIGH, xu)
 
 
-def _evidence(m: Model, b: np.ndarray, xl: np.ndarray, xu: np.ndarray) -> list[np.ndarray]:
+def _evidence(m: Model, b: np.ndarray, xl: np.ndarray, xu: np.ndarray, always: bool) -> list[np.ndarray]:
+    """Distances are worked out where classes are torn, or always, where another block may tear them."""
     top = b.max(axis=1)
     tied = b == top[:, None]
     low = np.where(tied, m.c[None], np.iinfo(np.int64).max).min(axis=1)
     high = np.where(tied, m.c[None], np.iinfo(np.int64).min).max(axis=1)
     first = tied.argmax(axis=1)
     near, away = first.copy(), np.zeros(len(b))
-    torn = np.flatnonzero(low != high)
+    torn = np.flatnonzero((low != high) | always)
     if len(torn):
         dist = np.where(tied[torn], tile_distance(m, xl[torn], xu[torn]), np.inf)
         away[torn] = dist.min(axis=1)
         if m.rule == "centroid":  # of equally near boxes the one with more samples
             dist = np.where(dist == away[torn, None], -m.n[None], np.inf)
         near[torn] = dist.argmin(axis=1)
-    return [top, low, high, m.ids[first], m.c[first], away, m.ids[near], m.c[near]]
+    weight = m.n[near] if m.rule == "centroid" else np.zeros(len(b))
+    return [top, low, high, m.ids[first], m.c[first], away, -weight, m.ids[near], m.c[near]]
 
 
 @lru_cache(maxsize=None)
@@ -182,13 +184,13 @@ def evidence(samples: DataFrame, boxes: DataFrame, d: int, kind: str = "gfmm", r
     for model in blocks:
         shared = spark.sparkContext.broadcast(model)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, always=len(blocks) > 1) -> Iterator[pa.RecordBatch]:
             m = shared.value
             for batch in batches:
                 for sid, xl, xu in _tiles(batch, d, len(m.ids)):
-                    found = _evidence(m, tile_membership(m, xl, xu), xl, xu)
-                    kinds = [pa.float64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.float64(), pa.int64(), pa.int32()]
-                    names = ["sid", "top", "c_low", "c_high", "first_id", "first_c", "near", "near_id", "near_c"]
+                    found = _evidence(m, tile_membership(m, xl, xu), xl, xu, always)
+                    kinds = [pa.float64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.int64(), pa.int32()]
+                    names = ["sid", "top", "c_low", "c_high", "first_id", "first_c", "near", "near_n", "near_id", "near_c"]
                     yield pa.RecordBatch.from_arrays([sid, *[pa.array(x, t) for x, t in zip(found, kinds)]], names=names)
 
         if len(model.ids):
@@ -201,9 +203,9 @@ def evidence(samples: DataFrame, boxes: DataFrame, d: int, kind: str = "gfmm", r
     best = both.groupBy("sid").agg(F.collect_list(F.struct(*[c for c in both.columns if c != "sid"])).alias("e"))  # one entry per block
     best = best.withColumn("e", F.filter("e", lambda x: x["top"] == F.array_max(F.transform("e", lambda y: y["top"]))))
     first = F.array_min(F.transform("e", lambda x: F.struct(x["first_id"], x["first_c"])))
-    near = F.array_min(F.transform("e", lambda x: F.struct(x["near"], x["near_id"], x["near_c"])))
+    near = F.array_min(F.transform("e", lambda x: F.struct(x["near"], x["near_n"], x["near_id"], x["near_c"])))
     return best.select("sid", F.col("e")[0]["top"].alias("top"), F.array_min(F.transform("e", lambda x: x["c_low"])).alias("c_low"), F.array_max(F.transform("e", lambda x: x["c_high"])).alias("c_high"),
-                       first["first_id"].alias("first_id"), first["first_c"].alias("first_c"), near["near"].alias("near"), near["near_id"].alias("near_id"), near["near_c"].alias("near_c"))
+                       first["first_id"].alias("first_id"), first["first_c"].alias("first_c"), near["near"].alias("near"), near["near_n"].alias("near_n"), near["near_id"].alias("near_id"), near["near_c"].alias("near_c"))
 
 
 def predict(samples: DataFrame, boxes: DataFrame, d: int, kind: str = "gfmm", rule: str = "manhattan", gamma=1.0) -> DataFrame:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from boxfold.plans import kernels, prepare
+from boxfold.plans import kernels, models, prepare
 
-QUERIES = {**prepare.QUERIES, **kernels.QUERIES}
-SQL = {**prepare.SQL, **kernels.SQL}
+QUERIES = {**prepare.QUERIES, **kernels.QUERIES, **models.QUERIES}
+SQL = {**prepare.SQL, **kernels.SQL, **models.SQL}
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return prepare.p2_found(spark, d)
+    return models.predict_manhattan(spark, d)

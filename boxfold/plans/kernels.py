@@ -92,8 +92,8 @@ def _sides() -> tuple:
 def _on_pairs(name: str, columns: Callable[..., list[Column]], sql: str, where: Callable[..., Column] | None = None, sql_where: str = "", found: Callable[..., Column] | None = None) -> None:
     def run(spark: SparkSession, d: str) -> DataFrame:
         rows = inputs.box_pairs(spark, d)
-        if found:  # a column of its own, so that the case is worked out once
-            rows = rows.withColumn("found", found(*_sides()))
+        if found:  # generated, not projected: so that the optimiser can't copy the case into every use
+            rows = rows.select("*", F.explode(F.array(found(*_sides()))).alias("found"))
         rows = rows.filter(where(*_sides())) if where else rows
         return rows.select("a_id", "b_id", *columns(*_sides()))
 
@@ -191,7 +191,7 @@ def _pairs() -> None:
     _on_pairs("containment_pairs", lambda *s: [F.col("a_c").alias("c")], "ca AS c", lambda *s: (F.col("a_c") == F.col("b_c")) & overlap.contains(*s), f"{same} AND {_IN}")
 
     g_case, g_dim = _gfmm_sql()
-    _on_pairs("contract_gfmm", lambda *s: _parted_columns(contract.part_gfmm(s[0], s[1], F.col("a_c"), s[2], s[3], F.col("b_c"))), "0", apart)
+    _on_pairs("contract_gfmm", lambda *s: _parted_columns(contract.part_gfmm(s[0], s[1], F.col("a_c"), s[2], s[3], F.col("b_c"), F.col("found"))), "0", apart, found=contract.gfmm_case)
     SQL["contract_gfmm"] = _parted_sql({
         "v1": [("2", "({d} + {a}) / 2 + 1e-5"), ("31", "{d} + 1e-5"), ("7", "least({a} + 1e-5, {b})")], "w1": [("1", "({b} + {c}) / 2"), ("32", "{c} - 1e-5"), ("6", "greatest({b} - 1e-5, {a})")],
         "v2": [("1", "({b} + {c}) / 2 + 1e-5"), ("42", "{b} + 1e-5"), ("5", "least({c} + 1e-5, {d})")], "w2": [("2", "({d} + {a}) / 2"), ("41", "{a} - 1e-5"), ("8", "greatest({d} - 1e-5, {c})")],
