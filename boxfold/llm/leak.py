@@ -10,7 +10,7 @@ Words are runs of letters and digits after width, accents' spelling, invisible c
 and letter case are set aside.  A phrase is any ``least_words`` consecutive words of a passage, or the whole
 passage if it is shorter.  Words that no passage has share one symbol, which no phrase holds.
 
-Defined results: null or empty texts and passages give no rows; a passage without words gives none; repeated
+Defined results: a null document id stays one; null or empty texts and passages give no rows; a passage without words gives none; repeated
 document rows give repeated rows (``leaks`` returns them once); texts of any length are indexed whole.
 """
 
@@ -239,7 +239,7 @@ class Shard:
     def clear(self) -> None:
         self.symbols, self.begin, self.end, self.docs, self.words = [], [], [], [], 0
 
-    def add(self, doc: np.ndarray, points: np.ndarray, starts: np.ndarray) -> None:
+    def add(self, doc: pa.Array, points: np.ndarray, starts: np.ndarray) -> None:
         out, new, source = unify_points(points, starts, fold_case=True, want_source=True)
         begin, end = word_spans(out, new)
         hashes = word_hashes(out, begin, end)
@@ -250,11 +250,12 @@ class Shard:
         self.symbols.append(np.insert(symbols, cut, 0))
         text = np.searchsorted(cut, np.arange(len(begin)), "right")
         self.begin.append(np.insert((source[begin] - starts[text]).astype(np.int64), cut, 0))
-        self.end.append(np.insert((source[end - 1] + 1 - starts[text]).astype(np.int64), cut, 0))
+        after = np.minimum(np.append(source, len(points))[end], starts[text + 1])  # past marks that composed with the last letter
+        self.end.append(np.insert((after - starts[text]).astype(np.int64), cut, 0))
         self.docs.append(doc)
         self.words += len(begin) + len(doc)
 
-    def hits(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def hits(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
         """Per hit: text number, item, first and last word (as positions in the shard); and the shard's documents."""
         symbols = np.concatenate(self.symbols)
         index, p = FMIndex(symbols), self.phrases
@@ -274,7 +275,7 @@ class Shard:
         item = p.owner[np.repeat(p.owner_at[which] - (ends - owners), owners) + np.arange(int(owners.sum()))]
         place, size = np.repeat(place, owners), np.repeat(size, owners)
         text = np.searchsorted(np.flatnonzero(symbols == 0), place)
-        return text, item, place, place + size - 1, np.concatenate(self.docs)
+        return text, item, place, place + size - 1, pa.concat_arrays(self.docs)
 
     def rows(self) -> Iterator[pa.RecordBatch]:
         if not self.words:
@@ -299,7 +300,7 @@ class Shard:
         heads = np.flatnonzero(pair)
         bounds = np.searchsorted(at, np.append(heads, len(text))).astype(np.int32)
         n_hits = np.diff(np.append(heads, len(text)))
-        yield pa.RecordBatch.from_arrays([pa.array(docs[text[heads]], pa.int64()), pa.array(item[heads], pa.int64()), pa.array(n_hits, pa.int64()), pa.ListArray.from_arrays(pa.array(bounds), spans)], names=["doc_id", "item_id", "n_phrases", "spans"])
+        yield pa.RecordBatch.from_arrays([docs.take(pa.array(text[heads])), pa.array(item[heads], pa.int64()), pa.array(n_hits, pa.int64()), pa.ListArray.from_arrays(pa.array(bounds), spans)], names=["doc_id", "item_id", "n_phrases", "spans"])
 
 
 LEAK_SCHEMA = T.StructType([
@@ -331,9 +332,8 @@ def _search(rows: DataFrame, phrases: Phrases) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = Shard(shared.value)
         for batch in batches:
-            doc = np.asarray(batch.column(0).to_numpy(zero_copy_only=False))
             for row, points, starts in text_slices(batch.column(1), SLICE):
-                shard.add(doc[row : row + len(starts) - 1], points, starts)
+                shard.add(batch.column(0).slice(row, len(starts) - 1), points, starts)
                 if shard.words >= SHARD_WORDS:
                     yield from shard.rows()
         yield from shard.rows()

@@ -8,7 +8,7 @@ place; a shard packs ``PACK_ROWS`` texts at a time, so memory is bounded however
 
 A text larger than a container is cut into full containers and a rest, other texts never.
 
-Defined results: null texts have no size and are in no container; an empty text has size 1 (its end); repeated
+Defined results: a null id stays one; null texts have no size and are in no container; an empty text has size 1 (its end); repeated
 rows are packed each; capacities under 1 are refused; an empty table gives no containers.
 """
 
@@ -95,9 +95,10 @@ def pack_documents(sizes: DataFrame, specs: list[tuple[int, int]], per_step: int
     spread = sizes.select(F.col("doc_id").cast("bigint"), F.col("size").cast("bigint"), F.monotonically_increasing_id().alias("m"))
     spread = spread.repartition(shards, F.xxhash64("doc_id", "m")).select("doc_id", "size", F.spark_partition_id().alias("shard"))
 
-    def turn(docs: np.ndarray, size: np.ndarray, shard: int, done: int) -> Iterator[pa.RecordBatch]:
-        order = np.lexsort((size, docs))
-        docs, size = docs[order], size[order]
+    def turn(docs: list[pa.Array], size: np.ndarray, shard: int, done: int) -> Iterator[pa.RecordBatch]:
+        docs = pa.concat_arrays(docs)
+        order = np.lexsort((size, docs.fill_null(-(1 << 63)).to_numpy()))
+        docs, size = docs.take(pa.array(order)), size[order]
         for spec, capacity in specs:
             row, piece, length = cut_pieces(size, capacity)
             home, tier = pack_sizes(length, capacity)
@@ -105,8 +106,8 @@ def pack_documents(sizes: DataFrame, specs: list[tuple[int, int]], per_step: int
             step = deal_steps(used, per_step)
             n = len(row)
             base = (shard << 40) + (done << 20)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in (
-                (np.full(n, spec), pa.int32()), (np.full(n, capacity), pa.int32()), (base + home, pa.int64()), (step[home], pa.int32()), (tier[home], pa.int32()), (docs[row], pa.int64()),
+            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in (
+                (np.full(n, spec), pa.int32()), (np.full(n, capacity), pa.int32()), (base + home, pa.int64()), (step[home], pa.int32()), (tier[home], pa.int32()), (docs.take(pa.array(row)), pa.int64()),
                 (piece, pa.int32()), (-(-size[row] // capacity), pa.int32()), (piece * capacity, pa.int64()), (length, pa.int32()))],
                 names=["spec_id", "capacity", "container", "step", "tier", "doc_id", "piece", "n_pieces", "start", "length"])
 
@@ -116,14 +117,14 @@ def pack_documents(sizes: DataFrame, specs: list[tuple[int, int]], per_step: int
             if not batch.num_rows:
                 continue
             shard = batch.column(2)[0].as_py()
-            docs.append(batch.column(0).to_numpy(zero_copy_only=False))
+            docs.append(batch.column(0))
             size.append(batch.column(1).to_numpy(zero_copy_only=False))
             held += batch.num_rows
             if held >= 2 * PACK_ROWS:
-                yield from turn(np.concatenate(docs), np.concatenate(size), shard, done)
+                yield from turn(docs, np.concatenate(size), shard, done)
                 docs, size, done, held = [], [], done + 1, 0
         if held:
-            yield from turn(np.concatenate(docs), np.concatenate(size), shard, done)
+            yield from turn(docs, np.concatenate(size), shard, done)
 
     return spread.mapInArrow(run, PIECES)
 

@@ -265,7 +265,10 @@ def unify_array(column: pa.Array, fold_case: bool = False) -> pa.Array:
 def unify_text(df: DataFrame, text: str = "text", into: str | None = None) -> DataFrame:
     """``df`` with ``text`` in its one form, or with the form in the further column ``into``."""
     names = [c for c in df.columns if c != (into or text)]
-    base = df.select(*[F.col(f"`{c}`") for c in names if c != text or into], F.col(f"`{text}`").alias("_text"))
+    source = "_text"
+    while source in names:
+        source = "_" + source
+    base = df.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").alias(source))
     schema = T.StructType([*base.schema.fields[:-1], T.StructField(into or text, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
