@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxfold.lineage import cut
+from boxfold.operators.dictionary import dense_ids
 
 #: Identifiers in one range, hence cells of a count array.
 RANGE = 4096
@@ -84,16 +85,7 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def build_dictionary(terms: DataFrame) -> DataFrame:
     """(id, field, code, n): dense identifiers in order of (field, code)."""
     values = terms.groupBy("field", "code").agg(F.count(F.lit(1)).alias("n"))
-    placed = cut(values.repartitionByRange("field", "code").sortWithinPartitions("field", "code").select("*", F.monotonically_increasing_id().alias("m")))
-    part, place = F.shiftright("m", 33), F.col("m").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = {r["p"]: r["c"] for r in placed.groupBy(part.alias("p")).count().withColumnRenamed("count", "c").collect()}  # one row per partition
-    total, offsets = 0, []
-    for p in sorted(sizes):
-        offsets.append((p, total))
-        total += sizes[p]
-    spark = terms.sparkSession
-    table = F.broadcast(spark.createDataFrame(offsets, "p bigint, o bigint"))
-    return placed.join(table, part == F.col("p")).select((F.col("o") + place).alias("id"), "field", "code", "n")
+    return dense_ids(values, ["field", "code"])
 
 
 def term_frequencies(df: DataFrame, fields: Sequence[str], record: str, rare_records: int = 5, common_share: float = 0.6) -> DataFrame:
@@ -104,7 +96,7 @@ def term_frequencies(df: DataFrame, fields: Sequence[str], record: str, rare_rec
     triples = cut(triples.groupBy("record", "field", "code").agg(F.count(F.lit(1)).alias("n")))
     n_records = triples.filter("field IS NULL AND record IS NOT NULL").count()
     terms = triples.filter("field IS NOT NULL").select("field", "code", "n", F.col("record").isNotNull().cast("int").alias("held"))
-    words = cut(build_dictionary(terms))
+    words = build_dictionary(terms)
     bound = words.agg(F.sum("n")).first()[0] or 0
     head = words.filter(F.col("n") > bound / HEAD).select("field", "code", "id")
     tail = words.filter(F.col("n") <= bound / HEAD).select("field", "code", "id")
