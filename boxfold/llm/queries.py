@@ -72,7 +72,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_classes(spark: SparkSession, d: str) -> DataFrame:
     """One row per document: its class is the digest of its one form."""
-    return unify.same_looking_classes(_table(spark, d, "documents")).select(F.col("record").alias("doc_id"), F.col("look").alias("class_id"))
+    return unify.same_looking_classes(_table(spark, d, "documents")).select(F.col("record").alias("doc_id"), F.hex("look").alias("class_id"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:

@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from boxfold.lineage import cut
+
 #: Letters that look alike in the same case, each followed by the letter that stands for it.
 CYRILLIC_LOOK_ALIKES = "АA ВB ЕE КK МM НH ОO РP СC ТT УY ХX ЅS ІI ЈJ ҮY ԚQ ԜW ӀI аa еe оo рp сc уy хx ѕs іi јj ԁd һh ԛq ԝw үy ӏl"
 GREEK_LOOK_ALIKES = "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX οo νv αa ιi ρp υu κк ϲc ϳj ϹC ͿJ"
@@ -282,8 +284,8 @@ def same_looking_classes(df: DataFrame, record: str = "doc_id", text: str = "tex
     """(record, look, exact): digests of the one form and of the text as stored, of non-empty texts.
 
     Only digests leave the scan; texts are never shuffled."""
-    rows = df.filter(F.length(text) > 0).select(F.col(record).alias("record"), F.sha2(F.encode(text, "UTF-8"), 256).alias("exact"), F.col(text).alias("text"))
-    return unify_text(rows).select("record", F.sha2(F.encode("text", "UTF-8"), 256).alias("look"), "exact")
+    rows = df.filter(F.length(text) > 0).select(F.col(record).alias("record"), F.unhex(F.sha2(F.encode(text, "UTF-8"), 256)).alias("exact"), F.col(text).alias("text"))
+    return unify_text(rows).select("record", F.unhex(F.sha2(F.encode("text", "UTF-8"), 256)).alias("look"), "exact")
 
 
 def same_looking_pairs(df: DataFrame, record: str = "doc_id", text: str = "text") -> DataFrame:
@@ -291,7 +293,7 @@ def same_looking_pairs(df: DataFrame, record: str = "doc_id", text: str = "text"
 
     Pairs are formed between different texts, then expanded to their records: exact copies are never paired with
     each other, so the work is in proportion to the result."""
-    rows = same_looking_classes(df, record, text)
+    rows = cut(same_looking_classes(df, record, text))  # three uses below, one pass over the texts
     forms = rows.groupBy("look").agg(F.min("exact").alias("lo"), F.max("exact").alias("hi")).filter("lo <> hi").select("look")
     rows = rows.join(forms, "look", "left_semi")
     texts = rows.select("look", "exact").distinct()
