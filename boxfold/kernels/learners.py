@@ -128,11 +128,17 @@ class Learner:
         return np.flatnonzero(out)
 
     def part_rivals(self, j: int) -> None:
-        b = self.boxes
-        for k in self.rivals(j):
+        b, rivals = self.boxes, self.rivals(j)
+        # boxes only shrink when they part, so no other box than these can meet box j later
+        for k in rivals[geo.meets(b.v[j], b.w[j], b.v[rivals], b.w[rivals])]:
             if geo.meets(b.v[j], b.w[j], b.v[k : k + 1], b.w[k : k + 1])[0]:
                 geo.part_gfmm((b.v[j], b.w[j]), (b.v[k], b.w[k]))
 
+    def fitting(self, rows: np.ndarray, s: Samples, i: int, limit: float) -> np.ndarray:
+        """Which of the boxes would keep all edges within the limit with the sample."""
+        edges = np.maximum(self.boxes.w[rows], s.xu[i]) - np.minimum(self.boxes.v[rows], s.xl[i])
+        return (edges <= limit).all(axis=1)
+
 
 class Fmnn(Learner):
     """Only the best box may grow, by the sum of its edges; overlaps with other classes are contracted."""
@@ -160,12 +166,19 @@ class Fmnn(Learner):
 
     def contract(self, j: int, x: np.ndarray) -> None:
         b = self.boxes
-        for k in np.flatnonzero(b.c != b.c[j]):
+        for k in np.flatnonzero((b.c != b.c[j]) & self.apart(b.v[j], b.w[j], b.v, b.w)):
             first, tested = (b.v[j], b.w[j]), (b.v[k], b.w[k])
             found = self.case(first, tested, x)
             if found:
                 geo.part_fmnn(first, tested, *found)
 
+    @staticmethod
+    def apart(v: np.ndarray, w: np.ndarray, others_v: np.ndarray, others_w: np.ndarray) -> np.ndarray:
+        """Boxes that may overlap the box: in no feature wholly on one side of it."""
+        low, high = np.sign(v - others_v), np.sign(w - others_w)
+        left, right = w - others_v <= 0, others_w - v <= 0
+        return ~((low <= 0) & (high <= 0) & (low + high < 0) & left | (low > 0) & (high > 0) & right).any(axis=1)
+
     def case(self, first: geo.Box, tested: geo.Box, x: np.ndarray) -> tuple[int, int] | None:
         return geo.fmnn_case(first, tested)
 
@@ -248,18 +261,15 @@ class OnlineGfmm(Learner):
         order = ranked(b)
         if b[order[0]] == 1 and y in (self.boxes.c[rows[order[0]]], UNLABELLED):
             return
-        floor = 1 - self.g.max() * self.limit
-        for k in order:
-            if b[k] < floor:
-                break
-            j = rows[k]
-            v, w = self.grown(j, s, i)
-            if (w - v <= self.limit).all():
-                self.put(j, s, i, v, w)
-                if self.contract:
-                    self.part_rivals(j)
-                return
-        self.new(s, i)
+        order = order[b[order] >= 1 - self.g.max() * self.limit]
+        order = order[self.fitting(rows[order], s, i, self.limit)]
+        if not len(order):
+            self.new(s, i)
+            return
+        j = rows[order[0]]
+        self.put(j, s, i, *self.grown(j, s, i))
+        if self.contract:
+            self.part_rivals(j)
 
 
 @dataclass
@@ -279,10 +289,10 @@ class ImprovedOnlineGfmm(Learner):
                     self.put(j, s, i, box.v[j].copy(), box.w[j].copy())
                     break
             return
-        for k in order[b[order] >= 1 - self.g.max() * self.theta]:
-            j = rows[k]
+        order = order[b[order] >= 1 - self.g.max() * self.theta]
+        for j in rows[order[self.fitting(rows[order], s, i, self.theta)]]:
             v, w = self.grown(j, s, i)
-            if (w - v <= self.theta).all() and not self.blocked(j, y, v, w):
+            if not self.blocked(j, y, v, w):
                 self.put(j, s, i, v, w)
                 return
         self.new(s, i)
@@ -320,7 +330,8 @@ class InfOnlineGfmm(Learner):
             share = (box.w[j] - box.v[j]) / (w - v + 1e-5)
             if b[k] >= self.min_membership_expansion and ((share == 0) | (share >= self.theta)).all():
                 self.put(j, s, i, v, w)
-                for r in self.rivals(j):
+                rivals = self.rivals(j)
+                for r in rivals[geo.meets_free(box.v[j], box.w[j], box.v[rivals], box.w[rivals])]:
                     if geo.meets_free(box.v[j], box.w[j], box.v[r], box.w[r]):
                         geo.part_gfmm((box.v[j], box.w[j]), (box.v[r], box.w[r]), np.inf)
                 return
@@ -412,7 +423,10 @@ class Agglomerative(Learner):
             rows = self.partners(k)
             sim = self.similarity(k, rows)
             order = ranked(sim)
-            for t in rows[order[sim[order] >= self.floor]]:
+            order = order[sim[order] >= self.floor]
+            near = rows[order]
+            fits = (np.maximum(b.w[k], b.w[near]) - np.minimum(b.v[k], b.v[near]) <= self.theta).all(axis=1)
+            for t in near[fits]:
                 i, j = min(k, t), max(k, t)
                 if self.merge(i, j):
                     merged = True
@@ -466,6 +480,8 @@ class ExtendedImprovedGfmm(ImprovedOnlineGfmm):
             b = self.membership(s, i, rows)
             order = ranked(b)
             covered = b[order[0]] == 1
+            if not covered:
+                order = order[self.fitting(rows[order], s, i, self.theta)]
             for k in order:
                 j = rows[k]
                 hist = [Counter(h) + Counter({x: weight}) for h, x in zip(box.a[j], s.cat[i])]
@@ -478,7 +494,7 @@ class ExtendedImprovedGfmm(ImprovedOnlineGfmm):
                         return
                     continue
                 v, w = self.grown(j, s, i)
-                if (w - v <= self.theta).all() and self.even(hist, box.a[j]) and not self.blocked_mixed(j, y, v, w, hist, box.n[j] + weight):
+                if self.even(hist, box.a[j]) and not self.blocked_mixed(j, y, v, w, hist, box.n[j] + weight):
                     self.put(j, s, i, v, w)
                     box._a[j] = hist
                     return
@@ -564,11 +580,9 @@ class OneHotGfmm(OnlineGfmm):
             order = ranked(b)
             if b[order[0]] == 1 and y in (box.c[rows[order[0]]], UNLABELLED):
                 return
-            for k in order:
-                j = rows[k]
-                v, w = self.grown(j, s, i)
-                if (w - v <= self.limit).all() and self.may_join(j, s, i):
-                    self.put(j, s, i, v, w)
+            for j in rows[order[self.fitting(rows[order], s, i, self.limit)]]:
+                if self.may_join(j, s, i):
+                    self.put(j, s, i, *self.grown(j, s, i))
                     self.join(j, s, i)
                     self.resolve(j, s)
                     return
