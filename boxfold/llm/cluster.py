@@ -42,11 +42,13 @@ def labelled_points(table: DataFrame, record: str = "sid", features: Sequence[st
 
 
 def log_density(z: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> np.ndarray:
-    """Of every row of z under every component."""
-    chol = np.linalg.cholesky(cov)
-    inverse = np.linalg.inv(chol)
-    away = np.einsum("kij,nkj->nki", inverse, z[:, None, :] - mean[None])
-    return -0.5 * (away**2).sum(-1) - np.log(np.diagonal(chol, axis1=1, axis2=2)).sum(-1) - 0.5 * z.shape[1] * np.log(2 * np.pi)
+    """Of every row of z under every component, axis by axis on (rows x components) tables."""
+    inverse = np.linalg.inv(np.linalg.cholesky(cov))
+    out = np.log(np.diagonal(inverse, axis1=1, axis2=2)).sum(-1) - 0.5 * z.shape[1] * np.log(2 * np.pi)
+    away = [z[:, j, None] - mean[None, :, j] for j in range(z.shape[1])]
+    for i in range(z.shape[1]):
+        out = out - 0.5 * sum(away[j] * inverse[:, i, j] for j in range(i + 1)) ** 2
+    return out
 
 
 def fit_mixture(z: np.ndarray, weight: np.ndarray, scatter: np.ndarray, seeds: np.ndarray, ridge: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
@@ -54,7 +56,10 @@ def fit_mixture(z: np.ndarray, weight: np.ndarray, scatter: np.ndarray, seeds: n
 
     Returns the information criterion, log shares, means and covariances."""
     n, (k, r) = weight.sum(), seeds.shape
-    mean, cov, share = seeds.copy(), np.repeat(ridge[None] * 4, k, 0), np.full(k, -np.log(k))
+    centre = z.mean(0)
+    z = z - centre
+    products = (z[:, :, None] * z[:, None, :] + scatter).reshape(len(z), r * r)
+    mean, cov, share = seeds - centre, np.repeat(ridge[None] * 4, k, 0), np.full(k, -np.log(k))
     before = -np.inf
     for _ in range(MAX_ITERATIONS):
         joint = log_density(z, mean, cov) + share
@@ -64,14 +69,26 @@ def fit_mixture(z: np.ndarray, weight: np.ndarray, scatter: np.ndarray, seeds: n
         resp = np.exp(joint - total[:, None]) * weight[:, None]
         mass = resp.sum(0) + 1e-12
         mean = resp.T @ z / mass[:, None]
-        away = z[:, None, :] - mean[None]
-        cov = (np.einsum("nk,nki,nkj->kij", resp, away, away) + np.einsum("nk,nij->kij", resp, scatter)) / mass[:, None, None] + ridge
+        cov = (resp.T @ products / mass[:, None]).reshape(k, r, r) - mean[:, :, None] * mean[:, None, :]
+        cov[:, range(r), range(r)] = np.maximum(cov[:, range(r), range(r)], 0)
+        cov = cov + ridge
         share = np.log(mass / n)
         if likelihood - before <= 1e-6 * abs(likelihood):
             break
         before = likelihood
     free = k * (1 + r + r * (r + 1) / 2) - 1
-    return free * np.log(max(n, 2)) - 2 * likelihood, share, mean, cov
+    return free * np.log(max(n, 2)) - 2 * likelihood, share, mean + centre, cov
+
+
+def choose_mixture(z: np.ndarray, weight: np.ndarray, scatter: np.ndarray, seeds: np.ndarray, ridge: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mixture of the least information criterion: from all seeds on, halved while that makes it less."""
+    best = fit_mixture(z, weight, scatter, seeds, ridge)
+    while len(best[1]) > 1:
+        fewer = fit_mixture(z, weight, scatter, seeds[: len(best[1]) // 2], ridge)
+        if fewer[0] >= best[0]:
+            break
+        best = fewer
+    return best[1:]
 
 
 def dense_seeds(place: np.ndarray, weight: np.ndarray, reach: float) -> np.ndarray:
@@ -103,8 +120,7 @@ def fit_blocks(d: int, reach: float, mean: np.ndarray, std: np.ndarray, axes: np
         inner[:, range(d), range(d)] = np.maximum(inner[:, range(d), range(d)], 0)
         scatter = np.einsum("ai,nij,bj->nab", project, inner, project)
         seeds = dense_seeds(x, weight, reach)
-        sizes = sorted({*(2**i for i in range(len(seeds).bit_length()) if 2**i <= len(seeds)), len(seeds)})
-        _, share, mu, cov = min((fit_mixture(z, weight, scatter, z[seeds[:k]], ridge) for k in sizes), key=lambda f: f[0])
+        share, mu, cov = choose_mixture(z, weight, scatter, z[seeds], ridge)
         joint = log_density(z, mu, cov) + share
         part = joint.argmax(1)
         precision = np.einsum("ai,kab,bj->kij", project, np.linalg.inv(cov), project)

@@ -31,7 +31,7 @@ SHARD_WORDS = 1_000_000
 #: Every so many positions keep their place in the text.
 SAMPLE = 8
 #: Passages searched in one pass over the corpus; more are searched in further passes.
-BLOCK_ITEMS = 20_000
+BLOCK_ITEMS = 5_000
 
 _word_char: np.ndarray | None = None
 

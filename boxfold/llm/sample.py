@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Bins of the key histogram, by the top bits of the key.
-BIN_BITS = 12
+BIN_BITS = 16
 
 
 def allocate(shares: list[float], floors: list[int], available: list[int], size: int) -> list[int]:

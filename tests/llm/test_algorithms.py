@@ -71,7 +71,7 @@ def test_draw_takes_the_smallest_keys(spark):
         by.setdefault((r["target_id"], r["category"]), set()).add(r["record"])
     assert {k: len(v) for k, v in by.items()} == {k: q for k, q in quota.items() if q}
     keys = df.filter("c = 'a' AND sid IS NOT NULL").select("sid").distinct().withColumn("key", F.xxhash64("sid", F.lit(1), F.lit(0))).collect()
-    ranked = sorted(keys, key=lambda r: ((r["key"] % 2**64) >> 52, (r["key"] % 2**64) >> 1, r["key"], r["sid"]))
+    ranked = sorted(keys, key=lambda r: ((r["key"] % 2**64) >> (64 - sample.BIN_BITS), (r["key"] % 2**64) >> 1, r["key"], r["sid"]))
     assert by[1, "a"] == {r["sid"] for r in ranked[: quota[1, "a"]]}
     assert sample.draw(df.limit(0), "sid", ["c"], plan).count() == 0
 
