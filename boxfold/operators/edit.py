@@ -32,7 +32,7 @@ def _halves(samples: DataFrame, n_iters: int, learner: str, seed: int, params: d
                 right[test] = kl.predict(boxes, s, np.asarray(params.get("gamma", 1.0), float)) == s.y
         return pd.DataFrame({"sid": pdf["sid"], "iter": key[0], "right": right})
 
-    return spread.groupBy("iter").applyInPandas(run, "sid bigint, iter int, right boolean")
+    return fitting.spread(spread, ["iter"]).groupBy("iter").applyInPandas(run, "sid bigint, iter int, right boolean")
 
 
 def two_fold(samples: DataFrame, learner: str = "online", n_iters: int = 100, n_last_iters: int = 5, seed: int = 0, most_rows: int = fitting.MOST_ROWS, **params) -> DataFrame:
@@ -91,4 +91,4 @@ def leave_one_out(samples: DataFrame, learner: str = "online", k_neighbors: int
                 break
         return pdf[["sid"]]
 
-    return samples.join(base.groupBy(key).applyInPandas(run, "sid bigint"), "sid", "left_semi")
+    return samples.join(fitting.spread(base, [key]).groupBy(key).applyInPandas(run, "sid bigint"), "sid", "left_semi")

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,21 +63,46 @@ def random_boxes(samples: DataFrame, members: DataFrame, learner: str, max_sampl
     return fitting.fit(project(rows, members), learner, ["member_id"], **params)
 
 
-def member_predictions(samples: DataFrame, boxes: DataFrame, d: int, features: DataFrame | None = None, **how) -> DataFrame:
-    """(member_id, sid, y_pred) of every member; members are few, each is one pass over the samples without a shuffle."""
-    ids = prepare.stated(boxes, "member_id")
-    lists = {r["member_id"]: list(r["features"]) for r in features.collect()} if features is not None else {}
+def member_predictions(samples: DataFrame, boxes: DataFrame, d: int, features: DataFrame | None = None, kind: str = "gfmm", rule: str = "manhattan", gamma=1.0) -> DataFrame:
+    """(member_id, sid, y_pred) of every member, over its own features if given.
+
+    All members that fit in one block of boxes are asked in one pass over the samples; nothing is shuffled."""
+    lists = {r["member_id"]: list(r["features"]) for r in features.select("member_id", "features").collect()} if features is not None else {}
+    cells = 0
+    passes: list[list] = [[]]
+    for m in prepare.stated(boxes, "member_id"):
+        own = lists.get(m, list(range(d)))
+        (model,) = score.blocks_of(boxes.filter(F.col("member_id") == m), len(own), kind=kind, rule=rule, gamma=gamma)
+        if len(model.ids):
+            size = 2 * len(own) * len(model.ids)
+            if cells + size > score.BLOCK_CELLS and passes[-1]:
+                passes.append([])
+                cells = 0
+            passes[-1].append((m, own, model))
+            cells += size
     out = None
-    for m in ids:
-        own, n = samples, d
-        if m in lists:
-            own = samples.withColumns({c: F.array(*[F.get(c, F.lit(j)) for j in lists[m]]) for c in ("xl", "xu")})
-            n = len(lists[m])
-        one = score.predict(own, boxes.filter(F.col("member_id") == m), n, **how).select(F.lit(m).alias("member_id"), "sid", "y_pred")
+    for group in passes:
+        one = _ask(samples, group, d, boxes.schema["member_id"].dataType.simpleString())
         out = one if out is None else out.unionByName(one)
     return out
 
 
+def _ask(samples: DataFrame, members: list, d: int, member_type: str) -> DataFrame:
+    shared = samples.sparkSession.sparkContext.broadcast(members)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        most = max((len(m.ids) for _, _, m in shared.value), default=1)
+        for batch in batches:
+            for sid, xl, xu in score._tiles(batch, d, most):
+                for member, own, model in shared.value:
+                    lo, hi = xl[:, own], xu[:, own]
+                    _, low, high, _, first, _, _, _, near = score._evidence(model, score.tile_membership(model, lo, hi), lo, hi, False)
+                    yield pa.RecordBatch.from_pydict({"member_id": np.full(len(sid), member), "sid": sid, "y_pred": np.where(low == high, first, near)}, schema=kinds)
+
+    kinds = pa.schema([("member_id", pa.int64() if member_type == "bigint" else pa.int32()), ("sid", pa.int64()), ("y_pred", pa.int32())])
+    return score._ready(samples, d).mapInArrow(run, f"member_id {member_type}, sid bigint, y_pred int")
+
+
 def majority(votes: DataFrame) -> DataFrame:
     """(sid, y_pred): the class with most votes, of equal ones the lowest."""
     counts = votes.groupBy("sid", "y_pred").agg(F.count(F.lit(1)).alias("n"))

@@ -74,6 +74,12 @@ def boxes_frame(boxes: kl.Boxes | None, learner: str) -> pd.DataFrame:
     return out
 
 
+def spread(df: DataFrame, keys: Sequence[str], most: int = 2_000) -> DataFrame:
+    """Groups over tasks by their number: adaptive execution goes by bytes and would run small but heavy groups in one task."""
+    groups = df.select(*keys).distinct().count()
+    return df.repartition(min(max(1, 2 * groups), most), *keys)
+
+
 def fit(samples: DataFrame, learner: str, by: Sequence[str] = (), initial: DataFrame | None = None, most_rows: int = MOST_ROWS, **params) -> DataFrame:
     """Boxes of every group (one group if ``by`` is empty), numbered in order of creation.
 
@@ -97,10 +103,10 @@ def fit(samples: DataFrame, learner: str, by: Sequence[str] = (), initial: DataF
         return out
 
     if initial is None:
-        boxes = base.groupBy(*keys).applyInPandas(lambda key, pdf: run(key, pdf), schema)
+        boxes = spread(base, keys).groupBy(*keys).applyInPandas(lambda key, pdf: run(key, pdf), schema)
     else:
         state = initial if by else initial.withColumn("_one", F.lit(0))
-        boxes = base.groupBy(*keys).cogroup(state.groupBy(*keys)).applyInPandas(lambda key, pdf, s: run(key, pdf, s), schema)
+        boxes = spread(base, keys).groupBy(*keys).cogroup(state.groupBy(*keys)).applyInPandas(lambda key, pdf, s: run(key, pdf, s), schema)
     return boxes if by else boxes.drop("_one")
 
 

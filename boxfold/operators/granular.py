@@ -35,7 +35,7 @@ def _merge_contained(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def remove_contained(boxes: DataFrame) -> DataFrame:
     """Boxes left after each box inside another of its class gave its weight to it; class by class, side by side."""
-    same = boxes.groupBy("c").applyInPandas(lambda pdf: _merge_contained(pdf), fitting.BOX_FIELDS)
+    same = fitting.spread(boxes, ["c"]).groupBy("c").applyInPandas(lambda pdf: _merge_contained(pdf), fitting.BOX_FIELDS)
     return same
 
 

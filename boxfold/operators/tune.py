@@ -52,7 +52,7 @@ def cross_validate(samples: DataFrame, learner: str, candidates: Sequence[dict],
         return pd.DataFrame([[*key, right, n]], columns=[*keys, "right", "n"])
 
     schema = ", ".join(f"`{c}` {types[c]}" for c in keys) + ", right double, n bigint"
-    runs = spread.groupBy(*keys).applyInPandas(run, schema).filter("n > 0")
+    runs = fitting.spread(spread, keys).groupBy(*keys).applyInPandas(run, schema).filter("n > 0")
     return runs.groupBy(*by, "candidate").agg(F.avg(F.col("right") / F.col("n")).alias("accuracy"), F.count(F.lit(1)).alias("folds"))
 
 

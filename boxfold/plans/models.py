@@ -391,7 +391,7 @@ def fit_freqcat(spark, d):
 
 
 def _bag_members(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return inputs.whole_samples(spark, d), table(spark, d, "ensemble_member")
+    return cut(inputs.whole_samples(spark, d)), table(spark, d, "ensemble_member")
 
 
 def _rate(s: DataFrame) -> float:
@@ -418,7 +418,7 @@ def fit_random_boxes(spark, d):
 def fit_model_merge(spark, d):
     s, m = _bag_members(spark, d)
     boxes = cut(ensemble.bag(s, m, "improved", min(0.2, _rate(s)), bootstrap=True, theta=0.2))
-    return ensemble.merge_members(boxes, theta=0.2, min_simil=0.8)
+    return ensemble.merge_members(boxes, "improved", theta=0.2)
 
 
 @query()
