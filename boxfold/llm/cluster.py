@@ -174,7 +174,7 @@ def assign_cells(points: DataFrame, reach: float) -> DataFrame:
     schema = f"label {types['label']}, " + ", ".join(f"{k} bigint" for k in keys) + ", n bigint, " + ", ".join(f"{s}{j} double" for s in ("lo", "hi") for j in n) + f", first {types['record']}, part string, rank int, density double, centre array<double>, precision array<double>"
     block = ["label", *[f"b{j}" for j in n]]
     # by number of blocks: adaptive execution goes by bytes, and would fit all these small groups in one task
-    spread = spread.repartition(min(4096, max(1, spread.select(*block).distinct().count() // 8 + 1)), *block)
+    spread = spread.repartition(min(4096, max(1, spread.select(*block).distinct().count() // 64 + 1)), *block)
     fitted = spread.groupBy(*block).applyInPandas(fit_blocks(d, reach, mean, std, axes), schema)
     best = fitted.groupBy("label", *keys).agg(F.max_by(F.struct("n", *[f"{s}{j}" for s in ("lo", "hi") for j in n], "first", "part", "centre", "precision"), F.struct("rank", "density", "part")).alias("a"))
     return cut(best.select("label", *keys, "a.*"))
