@@ -274,10 +274,26 @@ class OnlineGfmm(Learner):
 
 @dataclass
 class ImprovedOnlineGfmm(Learner):
-    """A box grows only where it meets no box of another class, so nothing is ever contracted."""
+    """A box grows only where it meets no box of another class, so nothing is ever contracted.
+
+    A grown box holds the sample and has edges up to theta, so only boxes within theta of the sample can grow or block."""
+
+    def begin(self, s: Samples) -> None:
+        super().begin(s)
+        self.whole = not self.missing and bool(geo.well_formed(self.boxes.v, self.boxes.w).all())
+
+    def near(self, s: Samples, i: int) -> np.ndarray:
+        """Boxes within theta of the sample in every feature; all, where bounds are missing."""
+        b, rows, reach = self.boxes, None, self.theta + 1e-9
+        if self.whole:
+            for f in range(s.xl.shape[1]):
+                low, high = s.xu[i, f] - reach, s.xl[i, f] + reach
+                rows = np.flatnonzero((b.w[:, f] >= low) & (b.v[:, f] <= high)) if rows is None else rows[(b.w[rows, f] >= low) & (b.v[rows, f] <= high)]
+        return np.arange(b.size) if rows is None else rows
 
     def learn(self, s: Samples, i: int) -> None:
-        y, rows, box = s.y[i], self.candidates(s.y[i]), self.boxes
+        y, box, near = s.y[i], self.boxes, self.near(s, i)
+        rows = near if y == UNLABELLED else near[(box.c[near] == y) | (box.c[near] == UNLABELLED)]
         if not len(rows):
             self.new(s, i)
             return
@@ -290,12 +306,29 @@ class ImprovedOnlineGfmm(Learner):
                     break
             return
         order = order[b[order] >= 1 - self.g.max() * self.theta]
-        for j in rows[order[self.fitting(rows[order], s, i, self.theta)]]:
-            v, w = self.grown(j, s, i)
-            if not self.blocked(j, y, v, w):
-                self.put(j, s, i, v, w)
-                return
-        self.new(s, i)
+        rows = rows[order[self.fitting(rows[order], s, i, self.theta)]]
+        j = self.first_free(rows, near, s, i)
+        if j is None:
+            self.new(s, i)
+        else:
+            self.put(j, s, i, *self.grown(j, s, i))
+
+    def first_free(self, rows: np.ndarray, near: np.ndarray, s: Samples, i: int) -> int | None:
+        """The first of the rows that may grow to the sample."""
+        y, b = s.y[i], self.boxes
+        if y == UNLABELLED or not self.whole:
+            return next((j for j in rows if not self.blocked(j, y, *self.grown(j, s, i))), None)
+        rivals = near[(b.c[near] != y) | (b.c[near] == UNLABELLED)]
+        for k in range(0, len(rows), 16):
+            part = rows[k : k + 16]
+            met = np.ones((len(part), len(rivals)), bool)
+            for f in range(s.xl.shape[1]):
+                v, w = np.minimum(b.v[part, f], s.xl[i, f]), np.maximum(b.w[part, f], s.xu[i, f])
+                met &= 1.0 - np.maximum(v[:, None] - b.w[rivals, f], b.v[rivals, f] - w[:, None]) >= 1.0  # as geo.meets
+            free = np.flatnonzero(~met.any(axis=1))
+            if len(free):
+                return part[free[0]]
+        return None
 
     def blocked(self, j: int, y: int, v: np.ndarray, w: np.ndarray) -> bool:
         b = self.boxes

@@ -14,6 +14,12 @@ from boxfold.operators import fit as fitting
 from boxfold.operators import prepare, score
 
 
+#: Rows of one part of a member, about; a member of no more rows is one fold, as it is without parts.
+PART_ROWS = 20_000
+#: Numbers of boxes kept for one part of a member.
+PART_IDS = 1 << 20
+
+
 def max_features(kind: str | int | float | None, d: int) -> int:
     """How many of d features a member gets."""
     if kind is None:
@@ -51,16 +57,35 @@ def draw(samples: DataFrame, members: DataFrame, max_samples: float = 0.5, boots
     return prepare.draw_rate(copies, "sid", max_samples, bootstrap, seed=seed)
 
 
-def bag(samples: DataFrame, members: DataFrame, learner: str, max_samples: float = 0.5, bootstrap: bool = False, class_balanced: bool = False, seed: int = 0, **params) -> DataFrame:
-    """Boxes of every member."""
-    return fitting.fit(draw(samples, members, max_samples, bootstrap, class_balanced, seed), learner, ["member_id"], **params)
+def in_parts(drawn: DataFrame, part_rows: int, seed: int = 0) -> DataFrame:
+    """``partition_id``: every member's rows dealt class by class, at random, to parts of about ``part_rows``; no row is left out."""
+    most = drawn.groupBy("member_id").count().agg(F.max("count")).first()[0] or 0
+    k = max(1, -(-most // part_rows))
+    if k == 1:
+        return drawn.withColumn("partition_id", F.lit(0))
+    if k >= PART_IDS >> 8 or 4 * part_rows > PART_IDS:
+        raise ValueError(f"{k} parts of {part_rows} rows can't be numbered")
+    return prepare._ranked(drawn, ["member_id", "y"], "sid", seed + 1).withColumn("partition_id", F.pmod("_rank", F.lit(k)).cast("int")).drop("_rank", "_size")
+
+
+def fit_members(drawn: DataFrame, learner: str, part_rows: int | None = None, seed: int = 0, **params) -> DataFrame:
+    """Boxes of every member (``drawn`` has member_id): of one fold, or the union over its parts of about ``part_rows``."""
+    if part_rows is None:
+        return fitting.fit(drawn, learner, ["member_id"], **params)
+    boxes = fitting.fit(in_parts(drawn, part_rows, seed), learner, ["member_id", "partition_id"], **params)
+    return boxes.withColumn("box_id", F.col("partition_id").cast("bigint") * PART_IDS + F.col("box_id")).drop("partition_id")
+
+
+def bag(samples: DataFrame, members: DataFrame, learner: str, max_samples: float = 0.5, bootstrap: bool = False, class_balanced: bool = False, seed: int = 0, part_rows: int | None = None, **params) -> DataFrame:
+    """Boxes of every member; ``part_rows``: learnt in parts of about so many rows."""
+    return fit_members(draw(samples, members, max_samples, bootstrap, class_balanced, seed), learner, part_rows, seed, **params)
 
 
-def random_boxes(samples: DataFrame, members: DataFrame, learner: str, max_samples: float = 0.5, class_balanced: bool = False, seed: int = 0, **params) -> DataFrame:
+def random_boxes(samples: DataFrame, members: DataFrame, learner: str, max_samples: float = 0.5, class_balanced: bool = False, seed: int = 0, part_rows: int | None = None, **params) -> DataFrame:
     """Boxes of every member over its own features (``members`` has ``features``) and a stratified share of rows."""
     copies = prepare.per_member(samples, members)
     rows = prepare.draw_balanced(copies, "sid", "y", max_samples, seed=seed) if class_balanced else prepare.draw_stratified(copies, "sid", "y", max_samples, seed=seed)
-    return fitting.fit(project(rows, members), learner, ["member_id"], **params)
+    return fit_members(project(rows, members), learner, part_rows, seed, **params)
 
 
 def member_predictions(samples: DataFrame, boxes: DataFrame, d: int, features: DataFrame | None = None, kind: str = "gfmm", rule: str = "manhattan", gamma=1.0) -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from boxfold.kernels import geometry as geo
 from boxfold.kernels import learners as kl
+from boxfold.lineage import cut
+from boxfold.operators import ensemble
 from boxfold.operators import fit as fitting
 from boxfold.operators import prepare
 
@@ -67,12 +69,18 @@ def search_and_fit(samples: DataFrame, learner: str, candidates: Sequence[dict],
     return winner, fitting.fit(samples, learner, **winner)
 
 
-def tuned_members(drawn: DataFrame, learner: str, candidates: Sequence[dict], k: int = 5, seed: int = 0) -> DataFrame:
-    """Boxes of members (``drawn`` has member_id) that each use their own best candidate."""
-    winners = {r["member_id"]: r["candidate"] for r in best(cross_validate(drawn, learner, candidates, k, seed, ["member_id"]), ["member_id"]).collect()}
+def tuned_members(drawn: DataFrame, learner: str, candidates: Sequence[dict], k: int = 5, seed: int = 0, part_rows: int | None = None) -> DataFrame:
+    """Boxes of members (``drawn`` has member_id) that each use their own best candidate.
+
+    ``part_rows``: members are validated and learnt in parts of about so many rows; the best candidate has the greatest mean accuracy over a member's parts."""
+    by = ["member_id"]
+    if part_rows is not None:
+        drawn, by = cut(ensemble.in_parts(drawn, part_rows, seed)), ["member_id", "partition_id"]
+    scores = cross_validate(drawn, learner, candidates, k, seed, by).groupBy("member_id", "candidate").agg(F.avg("accuracy").alias("accuracy"))
+    winners = {r["member_id"]: r["candidate"] for r in best(scores, ["member_id"]).collect()}
     out = None
     for c in sorted(set(winners.values())):
         own = [m for m, x in winners.items() if x == c]
-        boxes = fitting.fit(drawn.filter(F.col("member_id").isin(own)), learner, ["member_id"], **candidates[c])
+        boxes = ensemble.fit_members(drawn.filter(F.col("member_id").isin(own)), learner, part_rows, seed, **candidates[c])
         out = boxes if out is None else out.unionByName(boxes)
     return out

@@ -394,15 +394,16 @@ def _bag_members(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return cut(inputs.whole_samples(spark, d)), table(spark, d, "ensemble_member")
 
 
-def _rate(s: DataFrame) -> float:
-    """A share of the rows that keeps a member's fold near 1,000."""
-    return min(0.5, 1_000 / max(1, s.count()))
+#: Share of the rows that every member learns, whatever their number.
+MAX_SAMPLES = 0.5
+#: Boxes of all members that one fold merges.
+MOST_MERGED = 1_000_000
 
 
 @query()
 def fit_bagging_vote(spark, d):
     s, m = _bag_members(spark, d)
-    boxes = cut(ensemble.bag(s, m, "improved", _rate(s), theta=0.1))
+    boxes = cut(ensemble.bag(s, m, "improved", MAX_SAMPLES, part_rows=ensemble.PART_ROWS, theta=0.1))
     return ensemble.majority(ensemble.member_predictions(s, boxes, 2))
 
 
@@ -410,15 +411,15 @@ def fit_bagging_vote(spark, d):
 def fit_random_boxes(spark, d):
     s, m = _bag_members(spark, d)
     m = cut(ensemble.draw_features(m.select("member_id"), 2, None, balanced=True))
-    boxes = cut(ensemble.random_boxes(s, m, "improved", _rate(s), theta=0.1))
+    boxes = cut(ensemble.random_boxes(s, m, "improved", MAX_SAMPLES, part_rows=ensemble.PART_ROWS, theta=0.1))
     return ensemble.majority(ensemble.member_predictions(s, boxes, 2, m))
 
 
 @query()
 def fit_model_merge(spark, d):
     s, m = _bag_members(spark, d)
-    boxes = cut(ensemble.bag(s, m, "improved", min(0.2, _rate(s)), bootstrap=True, theta=0.2))
-    return ensemble.merge_members(boxes, "improved", theta=0.2)
+    boxes = cut(ensemble.bag(s, m, "improved", MAX_SAMPLES, bootstrap=True, part_rows=ensemble.PART_ROWS, theta=0.2))
+    return ensemble.merge_members(boxes, "improved", most_boxes=MOST_MERGED, theta=0.2)
 
 
 @query()
@@ -453,8 +454,8 @@ def tune_random_search(spark, d):
 @query()
 def tune_members(spark, d):
     s, m = _bag_members(spark, d)
-    drawn = cut(ensemble.draw(s, m, _rate(s) / 4))
-    return tune.tuned_members(drawn, "improved", [{"theta": 0.1}, {"theta": 0.2}], k=3)
+    drawn = cut(ensemble.draw(s, m, MAX_SAMPLES))
+    return tune.tuned_members(drawn, "improved", [{"theta": 0.1}, {"theta": 0.2}], k=3, part_rows=ensemble.PART_ROWS)
 
 
 def _edit_parts(spark: SparkSession, d: str) -> list[DataFrame]:

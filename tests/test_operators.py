@@ -130,6 +130,23 @@ def test_ensembles_and_tuning(spark, data):
     assert len(tune.sample_grid({"a": [1, 2], "b": [3, 4]}, 3)) == 3
 
 
+def test_members_learn_their_share_in_parts(spark, data):
+    members = spark.createDataFrame([(0,), (1,)], "member_id int")
+    drawn = ensemble.draw(data[2], members, 0.5).cache()
+    parts = ensemble.in_parts(drawn, 40).groupBy("member_id", "partition_id", "y").count().collect()
+    assert sum(r["count"] for r in parts) == drawn.count() == 2 * 150 and len({r["partition_id"] for r in parts}) == 4
+    for m, y in {(r["member_id"], r["y"]) for r in parts}:
+        sizes = [r["count"] for r in parts if (r["member_id"], r["y"]) == (m, y)]
+        assert len(sizes) == 4 and max(sizes) - min(sizes) <= 1
+    key = lambda r: (r["member_id"], r["box_id"], list(r["v"]), list(r["w"]), r["c"])
+    whole, one = (sorted(map(key, ensemble.bag(data[2], members, "improved", 0.5, part_rows=n, theta=0.2).collect())) for n in (None, 1_000))
+    assert whole == one
+    several = [key(r)[:2] for r in ensemble.bag(data[2], members, "improved", 0.5, part_rows=40, theta=0.2).collect()]
+    assert len(set(several)) == len(several) > len(whole)
+    tuned = tune.tuned_members(drawn, "improved", [{"theta": 0.9}, {"theta": 0.2}], k=3, part_rows=60)
+    assert {r["member_id"] for r in tuned.collect()} == {0, 1}
+
+
 def test_editing_takes_out_noise(spark, data):
     x, y, df = data
     noisy = df.withColumn("y", F.when(F.col("sid") == 5, 3 - F.col("y")).otherwise(F.col("y")))

@@ -39,6 +39,17 @@ def test_stream_equals_batch(spark, sf):
     assert sorted(map(key, batch.collect())) == sorted(map(key, stream.collect()))
 
 
+@pytest.mark.parametrize("name, fitted", [("fit_bagging_vote", "bag"), ("fit_random_boxes", "random_boxes"), ("fit_model_merge", "bag")])
+def test_members_learn_half_of_the_rows(spark, monkeypatch, name, fitted):
+    """Also of more rows than 2,000, of which a fixed number used to be drawn."""
+    from boxfold.operators import ensemble
+
+    seen, run = [], getattr(ensemble, fitted)
+    monkeypatch.setattr(ensemble, fitted, lambda s, m, learner, share=None, **how: seen.append(share) or run(s.limit(50), m, learner, share, **how))
+    catalog.QUERIES[name](spark, "/root/testdata/sf0.01")
+    assert seen == [0.5]
+
+
 def test_fold_queries_cover_all_rows(spark, sf):
     voted = catalog.QUERIES["fit_bagging_vote"](spark, sf)
     from boxfold.plans import inputs
