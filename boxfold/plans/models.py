@@ -458,27 +458,36 @@ def tune_members(spark, d):
     return tune.tuned_members(drawn, "improved", [{"theta": 0.1}, {"theta": 0.2}], k=3, part_rows=ensemble.PART_ROWS)
 
 
+#: Rows of one part of two-fold editing, about; up to so many rows are one part.
+EDIT_ROWS = 50_000
+
+
+#: Rows of one part of leave-one-out editing, and rows on either side of it that are learnt from only.
+LEFT_OUT_ROWS, LEFT_OUT_RIM = 60, 30
+
+
 def _edit_parts(spark: SparkSession, d: str) -> list[DataFrame]:
-    return [inputs.whole_samples(spark, d)]
+    """All rows, dealt class by class to parts."""
+    s = cut(inputs.whole_samples(spark, d))
+    return [prepare.stratified_folds(s, "sid", "y", fitting.parts_for(s, EDIT_ROWS), name="part")]
 
 
 @query()
 def edit_two_fold(spark, d):
     (s,) = _edit_parts(spark, d)
-    return edit.two_fold(s, "improved", n_iters=3, n_last_iters=2, theta=0.1).select("sid", "y")
+    return edit.two_fold(s, "improved", n_iters=3, n_last_iters=2, by="part", theta=0.1).select("sid", "y")
 
 
 @query()
 def edit_two_fold_prob(spark, d):
     (s,) = _edit_parts(spark, d)
-    return edit.two_fold_probability(s, "improved", n_iters=3, min_remained_prob=0.5, theta=0.1).select("sid", "y")
+    return edit.two_fold_probability(s, "improved", n_iters=3, min_remained_prob=0.5, by="part", theta=0.1).select("sid", "y")
 
 
 @query()
 def edit_leave_one_out(spark, d):
-    s = inputs.whole_samples(spark, d)
-    s = s.withColumn("part", F.pmod(F.xxhash64("sid"), F.lit(fitting.parts_for(s, 60))).cast("int"))
-    return edit.leave_one_out(s, "improved", by="part", n_iters=1, theta=0.1).select("sid", "y")
+    s = cut(edit.local_parts(inputs.whole_samples(spark, d), LEFT_OUT_ROWS, LEFT_OUT_RIM, 2))
+    return edit.leave_one_out(s, "improved", by="part", own="own", n_iters=1, theta=0.1).select("sid", "y")
 
 
 # Streaming ---------------------------------------------------------------------------------------------------------

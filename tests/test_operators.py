@@ -157,6 +157,26 @@ def test_editing_takes_out_noise(spark, data):
     assert 0 < edit.leave_one_out(few, "improved", n_iters=2, n_last_iters=1, theta=0.3).count() <= 30
 
 
+def test_two_fold_edits_more_rows_than_one_fold_holds(data):
+    noisy = data[2].withColumn("y", F.when(F.col("sid") == 5, 3 - F.col("y")).otherwise(F.col("y")))
+    parts = prepare.stratified_folds(noisy, "sid", "y", 2, name="part")
+    for run, how in ((edit.two_fold, {"n_last_iters": 1}), (edit.two_fold_probability, {})):
+        kept = {r["sid"] for r in run(parts, "improved", n_iters=3, by="part", most_rows=160, theta=0.3, **how).collect()}
+        assert 5 not in kept and len(kept) > 150
+
+
+def test_leave_one_out_keeps_a_rare_class(spark):
+    r = np.random.default_rng(1)
+    x = np.concatenate([r.random((200, 2)) * 0.7, 0.95 + r.random((8, 2)) * 0.04])
+    rows = [(i, i, p.tolist(), p.tolist(), 1 if i < 200 else 3) for i, p in enumerate(x)]
+    s = spark.createDataFrame(rows, "sid bigint, seq bigint, xl array<double>, xu array<double>, y int")
+    parts = edit.local_parts(s, 20, 10, 2).cache()
+    assert parts.filter("own").count() == parts.filter("own").select("sid").distinct().count() == 208
+    assert parts.groupBy("part").count().agg(F.max("count")).first()[0] <= 40
+    kept = [q["sid"] for q in edit.leave_one_out(parts, "improved", by="part", own="own", n_iters=1, theta=0.001).collect()]
+    assert len(set(kept)) == len(kept) and {i for i in kept if i >= 200} == set(range(200, 208))
+
+
 def test_granular_levels(data):
     boxes = granular.fit(data[2], (0.1, 0.3), n_partitions=2).cache()
     counts = {r["level"]: r["count"] for r in boxes.groupBy("level").count().collect()}
