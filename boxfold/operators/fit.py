@@ -2,7 +2,8 @@
 
 A learner looks at its samples in the order of ``seq``, so a group is one task.  Its size is checked: a group of
 more than ``most_rows`` is refused, and ``partitioned`` is the way for large data - stratified parts of bounded size
-are fitted side by side, and the union of their boxes, or a coarser level of it, is the model.
+are fitted side by side, and the bare union of their boxes is returned: independent models, one a part, whose number grows
+with the rows.  Boxes of different parts are neither merged nor parted; ``granular.fit`` merges and coarsens.
 
 ``samples``: sid, seq, xl, xu, y, optionally n_samples, centroid and cat (codes, bit sets or values).
 """
@@ -19,6 +20,7 @@ from pyspark.sql import types as T
 
 from boxfold.kernels import learners as kl
 from boxfold.kernels.geometry import EMPTY
+from boxfold.operators import prepare
 
 #: Samples of one group at most.
 MOST_ROWS = 100_000
@@ -115,9 +117,9 @@ def parts_for(samples: DataFrame, rows: int) -> int:
 
 
 def partitioned(samples: DataFrame, learner: str, rows: int = 5_000, seed: int = 0, **params) -> DataFrame:
-    """Fit in random parts of about ``rows`` samples; boxes carry their ``partition_id``, numbers are unique over all."""
+    """Fit in random parts of about ``rows`` samples with even shares of every class; boxes carry their ``partition_id``, numbers are unique over all."""
     k = parts_for(samples, rows)
-    split = samples.withColumn("partition_id", F.pmod(F.xxhash64("sid", F.lit(seed)), F.lit(k)).cast("int"))
+    split = prepare.stratified_folds(samples, "sid", "y", k, seed, "partition_id")
     boxes = fit(split, learner, ["partition_id"], most_rows=max(MOST_ROWS, 4 * rows), **params)
     return boxes.withColumn("box_id", F.col("partition_id").cast("bigint") * (1 << 32) + F.col("box_id"))
 

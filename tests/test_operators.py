@@ -177,6 +177,13 @@ def test_leave_one_out_keeps_a_rare_class(spark):
     assert len(set(kept)) == len(kept) and {i for i in kept if i >= 200} == set(range(200, 208))
 
 
+def test_parts_of_a_fit_share_a_rare_class(spark):
+    s = spark.createDataFrame([(i, i, [i / 400, 0.5], [i / 400, 0.5], 3 if i < 8 else 1) for i in range(400)], "sid bigint, seq bigint, xl array<double>, xu array<double>, y int")
+    boxes = fit.partitioned(s, "improved", 50, theta=0.001)
+    rare = boxes.filter("c = 3").groupBy("partition_id").agg(F.sum("n_samples").alias("n")).collect()
+    assert sorted((r["partition_id"], r["n"]) for r in rare) == [(k, 1.0) for k in range(8)]
+
+
 def test_granular_levels(data):
     boxes = granular.fit(data[2], (0.1, 0.3), n_partitions=2).cache()
     counts = {r["level"]: r["count"] for r in boxes.groupBy("level").count().collect()}
