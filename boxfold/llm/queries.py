@@ -30,6 +30,11 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return cluster.members(cluster.cluster_records(points)).select(F.col("first").alias("sid_a"), F.col("record").alias("sid_b"))
 
 
+def p3_audit(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the clusters are what the reach asks for."""
+    return cluster.audit(cluster.cluster_cells(cluster.labelled_points(_table(spark, d, "syn_num_test"))))
+
+
 TABLES = {"japanese_credit": ["c15"], "syn_num_test": ["c2"]}
 
 
@@ -79,7 +84,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return unify.same_looking_pairs(_table(spark, d, "documents")).select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_frequencies, p3_found, p3_clusters, p4_found, p4_sample, p6_found, p6_report, p7_found, p7_leaks, p8_found, p8_classes)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_frequencies, p3_found, p3_clusters, p3_audit, p4_found, p4_sample, p6_found, p6_report, p7_found, p7_leaks, p8_found, p8_classes)}
 
 _P1 = """
 WITH t AS (

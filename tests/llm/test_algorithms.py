@@ -119,12 +119,12 @@ def test_long_shards_pack_in_turns(spark, monkeypatch):
     assert pack.packing_report(pieces).first()["fill"] > 0.9
 
 
-def blobs(seed, reach=0.0045):
+def blobs(seed, step=0.12, sizes=(1, 2, 5, 40)):
     rng = np.random.default_rng(seed)
     rows, sid, truth = [], 0, {}
     for k in range(60):
-        centre, label = rng.random(2), int(rng.integers(1, 3))
-        n = int(rng.choice([1, 2, 5, 40]))
+        centre, label = np.array([k % 8, k // 8]) * step + rng.random(2) * step / 4, int(rng.integers(1, 3))
+        n = int(rng.choice(sizes))
         pts = (centre + rng.random((n, 2)) * 0.0035).round(5)
         for p in pts:
             rows.append((sid, float(p[0]), float(p[1]), label))
@@ -154,18 +154,80 @@ def test_clusters_against_brute_force(spark, seed):
     rows = blobs(seed)
     dirty = rows + rows[:10] + [(9001, None, 0.5, 1), (9002, float("nan"), 0.5, 1), (9003, 0.5, 0.5, -1), (9004, 0.5, 0.5, None), (None, 0.5, 0.5, 1)]
     df = spark.createDataFrame(dirty, "sid bigint, c0 double, c1 double, c2 int")
-    found = cluster.cluster_records(cluster.labelled_points(df)).cache()
+    points = cluster.labelled_points(df)
+    found = cluster.cluster_records(points).cache()
     assert {tuple(r) for r in cluster.members(found).collect()} == components(rows)
     told = cluster.describe(found).collect()
     assert sum(r["size"] for r in told) == len(rows) and all(1 <= len(r["typical"]) <= 3 for r in told)
-
-
-def test_wide_clusters_are_joined(spark):
-    """A chain far wider than the reach is one cluster."""
+    density = {r["record"]: (r["first"], r["density"]) for r in found.collect()}
+    for r in told:
+        own = sorted(((-x, k) for k, (f, x) in density.items() if f == r["first"]))
+        assert r["typical"] == [k for _, k in own[:3]]
+    assert tuple(cluster.audit(cluster.cluster_cells(points)).first()) == (len(told), 0, 0)
+
+
+def test_the_mixture_decides(monkeypatch):
+    """With one component, or components at random places, other clusters come out."""
+    rng, reach = np.random.default_rng(3), 0.0045
+    x = np.concatenate([np.array([k % 3, k // 3]) * 0.02 + 0.003 + rng.random((30, 2)) * 0.0035 for k in range(9)])
+    truth = np.repeat(np.arange(9), 30)
+    cells, own = np.unique(np.floor(x / (reach / cluster.FINE)).astype(np.int64), axis=0, return_inverse=True)
+    weight = np.bincount(own).astype(float)
+    mid = np.column_stack([np.bincount(own, x[:, j]) / weight for j in (0, 1)])
+    inner = np.empty((len(mid), 2, 2))
+    for i in (0, 1):
+        for j in (0, 1):
+            inner[:, i, j] = np.bincount(own, x[:, i] * x[:, j]) / weight - mid[:, i] * mid[:, j]
+    project = np.diag(1 / x.std(0))
+
+    def rows():
+        zero = np.zeros(len(mid), np.int64)
+        made = cluster.fit_cells(zero, np.zeros((len(mid), 2), np.int64), cells, weight, mid, inner, reach, x.mean(0), project, project @ np.diag([(reach / 8) ** 2] * 2) @ project.T)
+        part = made["p"][own]
+        first = {p: k for k, p in reversed(list(enumerate(part)))}
+        return {(first[p], k) for k, p in enumerate(part) if first[p] != k}
+
+    want = {(t * 30, t * 30 + k) for t in range(9) for k in range(1, 30)}
+    assert rows() == want and len(truth) == len(x)
+    choose = cluster.Mixtures.choose
+
+    def one(self, seeds, home, turn):
+        return choose(self, seeds[turn == 0], home[turn == 0], turn[turn == 0])
+
+    def elsewhere(self, seeds, home, turn):
+        return choose(self, seeds + rng.normal(0, 1, seeds.shape), home, turn)
+
+    for ruined in (one, elsewhere):
+        monkeypatch.setattr(cluster.Mixtures, "choose", ruined)
+        assert len(rows() & want) < 0.9 * len(want)
+
+
+def test_audit_tells_what_does_not_fit(spark):
+    """A chain far wider than the reach is no clean cluster."""
     rows = [(i, 0.2 + i * 0.002, 0.5, 1) for i in range(120)] + [(500, 0.9, 0.9, 1), (501, 0.9, 0.9, 2)]
     df = spark.createDataFrame(rows, "sid bigint, c0 double, c1 double, c2 int")
-    found = cluster.cluster_records(cluster.labelled_points(df))
-    assert {tuple(r) for r in cluster.members(found).collect()} == {(0, i) for i in range(1, 120)}
+    points = cluster.labelled_points(df)
+    told = cluster.audit(cluster.cluster_cells(points)).first()
+    assert told["wide"] + told["near"] > 0
+    assert cluster.cluster_records(points).count() == len(rows)
+
+
+def test_mixtures_of_many_blocks_equal_those_of_one():
+    rng = np.random.default_rng(5)
+    blocks = [(rng.normal(0, 1, (n, 2)), rng.integers(1, 5, n).astype(float)) for n in (3, 40, 1, 17)]
+    ridge = np.eye(2) * 1e-3
+
+    def run(parts):
+        block = np.repeat(np.arange(len(parts)), [len(z) for z, _ in parts])
+        z, w = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        m = cluster.Mixtures(block, z, w, np.zeros((len(z), 2, 2)), ridge)
+        at = np.concatenate([np.flatnonzero(block == b)[:5] for b in range(len(parts))])
+        turn = np.arange(len(at)) - np.searchsorted(block[at], block[at], "left")
+        made = m.choose(z[at], block[at], turn)
+        return [made[2][made[0] == b] + m.centre[b] for b in range(len(parts))]
+
+    for whole, single in zip(run(blocks), [run([b])[0] for b in blocks]):
+        assert whole.shape == single.shape and np.allclose(whole, single)
 
 
 def test_no_points(spark):
