@@ -38,18 +38,28 @@ def p3_audit(spark: SparkSession, d: str) -> DataFrame:
 TABLES = {"japanese_credit": ["c15"], "syn_num_test": ["c2"]}
 
 
-def _plans(spark: SparkSession, d: str) -> list[tuple[str, DataFrame]]:
-    targets = _table(spark, d, "sample_targets")
-    return [(t, sample.plan_quotas(sample.category_counts(_table(spark, d, t), "sid", fields), targets.filter(F.col("target_table") == t))) for t, fields in TABLES.items()]
+def _samples(spark: SparkSession, d: str) -> list[tuple[DataFrame, DataFrame]]:
+    """Plan and drawn sample of the targets of each table."""
+    targets, out = _table(spark, d, "sample_targets"), []
+    for t, fields in TABLES.items():
+        found = sample.candidates(_table(spark, d, t), "sid", fields)
+        plan = sample.plan_quotas(sample.category_counts(found), targets.filter(F.col("target_table") == t))
+        out.append((plan, sample.draw(found, plan)))
+    return out
+
+
+def p4_report(spark: SparkSession, d: str) -> DataFrame:
+    """What every category of every target wanted, had and got."""
+    a, b = (sample.report(plan, drawn) for plan, drawn in _samples(spark, d))
+    return a.unionByName(b)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    (_, a), (_, b) = _plans(spark, d)
-    return sample.shortfalls(a.unionByName(b)).select("target_id", "category")
+    return sample.shortfalls(p4_report(spark, d)).select("target_id", "category")
 
 
 def p4_sample(spark: SparkSession, d: str) -> DataFrame:
-    a, b = (sample.draw(_table(spark, d, t), "sid", TABLES[t], plan) for t, plan in _plans(spark, d))
+    (_, a), (_, b) = _samples(spark, d)
     return a.unionByName(b).withColumnRenamed("record", "sid")
 
 
@@ -84,7 +94,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return unify.same_looking_pairs(_table(spark, d, "documents")).select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_frequencies, p3_found, p3_clusters, p3_audit, p4_found, p4_sample, p6_found, p6_report, p7_found, p7_leaks, p8_found, p8_classes)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_frequencies, p3_found, p3_clusters, p3_audit, p4_found, p4_report, p4_sample, p6_found, p6_report, p7_found, p7_leaks, p8_found, p8_classes)}
 
 _P1 = """
 WITH t AS (

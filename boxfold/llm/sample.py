@@ -1,9 +1,11 @@
 """Samples that match target proportions of a category.
 
 Categories are counted; quotas are whole numbers by largest remainder, with minimum floors and capped by what is
-there; of each category the records with the smallest random keys are drawn.  The smallest keys are found without
-sorting a category in one task: a histogram of the keys' top bits finds the bin in which the quota is reached, the
-bins below it are taken whole, and only that bin is ranked.
+there; of each category the records with the smallest random keys are drawn, and the report sets what was drawn
+against what was wanted.  The distinct (record, category) pairs are made once; all later passes over them are
+map-only.  The smallest keys are found without sorting a category in one task: bins of about ``EDGE_ROWS`` keys, as
+many as the quota needs, are counted; the bins below the one in which the quota ends are taken whole where they
+stand, and only that one is shuffled and ranked.
 
 Defined results: a record is a distinct id; rows without id or category are no candidates; a target category that
 no record has comes out as a shortfall of its whole want; equal keys fall back to the id; an empty table draws nothing.
@@ -17,8 +19,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bins of the key histogram, by the top bits of the key.
-BIN_BITS = 16
+from boxfold.lineage import cut
+
+#: Keys of one bin, about.
+EDGE_ROWS = 4096
+#: Target categories that are broadcast at most; more are joined by shuffle.
+BROADCAST_TARGETS = 10_000
 
 
 def allocate(shares: list[float], floors: list[int], available: list[int], size: int) -> list[int]:
@@ -52,48 +58,65 @@ def allocate(shares: list[float], floors: list[int], available: list[int], size:
     return [quota[k] for k in range(len(want))]
 
 
-def category_counts(table: DataFrame, record: str, fields: list[str]) -> DataFrame:
-    """(field, category, available): distinct records of every value of the fields, as text."""
+def candidates(table: DataFrame, record: str, fields: list[str]) -> DataFrame:
+    """(record, field, category): every record once with each of its values, as text; checkpointed."""
     sides = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"`{f}`").cast("string").alias("category")) for f in fields])
-    rows = table.select(F.col(f"`{record}`").alias("r"), F.explode(sides).alias("s")).select("r", "s.field", "s.category").filter("r IS NOT NULL AND category IS NOT NULL")
-    return rows.distinct().groupBy("field", "category").agg(F.count(F.lit(1)).alias("available"))
+    rows = table.select(F.col(f"`{record}`").alias("record"), F.explode(sides).alias("s")).select("record", "s.field", "s.category")
+    return cut(rows.filter("record IS NOT NULL AND category IS NOT NULL").distinct())
+
+
+def category_counts(found: DataFrame) -> DataFrame:
+    """(field, category, available) of ``candidates``."""
+    return found.groupBy("field", "category").agg(F.count(F.lit(1)).alias("available"))
 
 
-_PLAN = "target_id int, field string, category string, wanted bigint, available bigint, quota bigint, shortfall bigint"
+_PLAN = "target_id int, field string, category string, wanted bigint, available bigint, quota bigint"
 
 
 def _plan_target(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("category", kind="stable")
     size = int(pdf["sample_size"].max())
     pdf["quota"] = allocate(pdf["target_share"].tolist(), pdf["min_rows"].tolist(), pdf["available"].tolist(), size)
-    pdf["shortfall"] = (pdf["wanted"] - pdf["available"]).clip(lower=0)
-    return pdf[["target_id", "field", "category", "wanted", "available", "quota", "shortfall"]]
+    return pdf[["target_id", "field", "category", "wanted", "available", "quota"]]
 
 
 def plan_quotas(counts: DataFrame, targets: DataFrame) -> DataFrame:
-    """Per target and category: wanted (share of the size, at least the minimum), available, quota, shortfall."""
+    """Per target and category: wanted (share of the size, at least the minimum), available, quota."""
     wanted = F.greatest(F.coalesce("min_rows", F.lit(0)).cast("bigint"), F.round(F.col("sample_size") * F.col("target_share").cast("decimal(20,10)"), 0).cast("bigint"))
     rows = targets.select("target_id", "field", "category", F.coalesce("target_share", F.lit(0.0)).alias("target_share"), F.coalesce("min_rows", F.lit(0)).alias("min_rows"), "sample_size", wanted.alias("wanted"))
     rows = rows.join(counts, ["field", "category"], "left").fillna(0, ["available", "wanted"])
-    return rows.groupBy("target_id").applyInPandas(_plan_target, _PLAN)
+    return cut(rows.groupBy("target_id").applyInPandas(_plan_target, _PLAN))
 
 
-def draw(table: DataFrame, record: str, fields: list[str], plan: DataFrame, seed: int = 0) -> DataFrame:
-    """(target_id, category, record): of each category the ``quota`` records with the smallest keys."""
-    sides = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"`{f}`").cast("string").alias("category")) for f in fields])
-    rows = table.select(F.col(f"`{record}`").alias("record"), F.explode(sides).alias("s")).select("record", "s.field", "s.category").filter("record IS NOT NULL AND category IS NOT NULL").distinct()
-    quotas = plan.filter("quota > 0").select("target_id", "field", "category", "quota")
-    keyed = rows.join(quotas, ["field", "category"]).withColumn("key", F.xxhash64(F.col("record"), F.col("target_id"), F.lit(seed)))
-    keyed = keyed.withColumn("bin", F.shiftrightunsigned("key", 64 - BIN_BITS))
-    group = ["target_id", "category"]
-    bins = keyed.groupBy(*group, "quota", "bin").agg(F.count(F.lit(1)).alias("n"))
-    upto = F.sum("n").over(Window.partitionBy(*group).orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    edge = bins.withColumn("upto", upto).filter("upto - n < quota").select(*group, "bin", F.col("quota").alias("_q"), F.col("upto").alias("_upto"), (F.col("quota") - F.col("upto") + F.col("n")).alias("room"))
-    near = keyed.join(edge, [*group, "bin"])
-    whole = near.filter("_upto <= _q").select("target_id", "category", "record")
-    ranked = near.filter("_upto > _q").withColumn("k", F.row_number().over(Window.partitionBy(*group).orderBy(F.expr("shiftrightunsigned(key, 1)"), F.col("key"), "record")))
-    return whole.unionByName(ranked.filter("k <= room").select("target_id", "category", "record"))
+def _few(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(BROADCAST_TARGETS + 1).count() <= BROADCAST_TARGETS else df
 
 
-def shortfalls(plan: DataFrame) -> DataFrame:
-    return plan.filter("shortfall > 0")
+def draw(found: DataFrame, plan: DataFrame, seed: int = 0) -> DataFrame:
+    """(target_id, category, record): of each category the ``quota`` records of ``candidates`` with the smallest keys."""
+    quota = F.col("quota").cast("double")
+    upto = F.least(F.lit(1.0), (quota + 6 * F.sqrt(quota) + 8) / F.col("available")) * float(1 << 63)  # hardly ever over it; then the last bin is ranked
+    quotas = plan.filter("quota > 0").select("target_id", "field", "category", "quota", F.ceil(quota / EDGE_ROWS).alias("bins"), upto.alias("upto"))
+    keyed = found.join(_few(quotas), ["field", "category"]).withColumn("key", F.shiftrightunsigned(F.xxhash64("record", "target_id", F.lit(seed)), 1))
+    keyed = keyed.select("target_id", "category", "record", "quota", "key", F.least("bins", F.floor(F.col("key") / F.col("upto") * F.col("bins"))).alias("bin"))
+    group = ["target_id", "category"]
+    counts = keyed.groupBy(*group, "quota", "bin").agg(F.count(F.lit(1)).alias("n"))
+    sums = F.sum("n").over(Window.partitionBy(*group).orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ends = counts.withColumn("sums", sums).filter("sums >= quota AND sums - n < quota").select(*group, F.col("bin").alias("last"), (F.col("quota") - F.col("sums") + F.col("n")).alias("room"), (F.col("sums") == F.col("quota")).alias("full"))
+    near = keyed.join(_few(cut(ends)), group).filter("bin <= last")
+    whole = near.filter("bin < last OR full").select(*group, "record")
+    ranked = near.filter("bin = last AND NOT full").withColumn("k", F.row_number().over(Window.partitionBy(*group).orderBy("key", "record"))).filter("k <= room")
+    return whole.unionByName(ranked.select(*group, "record"))
+
+
+def report(plan: DataFrame, drawn: DataFrame) -> DataFrame:
+    """The plan with ``drawn``, ``shortfall`` (wanted less drawn) and its ``cause``: ``available`` where too few records have the value, ``size`` where the sample's size leaves no room."""
+    counts = drawn.groupBy("target_id", "category").agg(F.count(F.lit(1)).alias("drawn"))
+    short = F.greatest(F.col("wanted") - F.col("drawn"), F.lit(0))
+    cause = F.when(F.col("shortfall") > 0, F.when(F.col("available") < F.col("wanted"), "available").otherwise("size"))
+    return plan.join(counts, ["target_id", "category"], "left").fillna(0, ["drawn"]).withColumn("shortfall", short).withColumn("cause", cause)
+
+
+def shortfalls(told: DataFrame) -> DataFrame:
+    """Rows of ``report`` that cannot be met by what there is."""
+    return told.filter("cause = 'available'")

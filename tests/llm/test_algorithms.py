@@ -54,26 +54,33 @@ def test_allocate():
             assert sum(q) <= size
 
 
-def test_draw_takes_the_smallest_keys(spark):
+@pytest.mark.parametrize("edge_rows, broadcast", [(4096, 10_000), (7, 0)])
+def test_draw_takes_the_smallest_keys(spark, monkeypatch, edge_rows, broadcast):
+    monkeypatch.setattr(sample, "EDGE_ROWS", edge_rows)
+    monkeypatch.setattr(sample, "BROADCAST_TARGETS", broadcast)
     rng = random.Random(3)
     rows = [(None if rng.random() < 0.02 else rng.randrange(3000), rng.choice(["a", "a", "a", "b", "c", None])) for _ in range(6000)]
     first = {}
     rows = [r for r in rows if first.setdefault(r[0], r[1]) == r[1]]
     df = spark.createDataFrame(rows, "sid bigint, c string")
-    targets = spark.createDataFrame([(1, "c", "a", 0.5, 0, 200), (1, "c", "b", 0.5, 0, 200), (2, "c", "a", 0.9, 0, 100), (2, "c", "z", 0.1, 2, 100)], "target_id int, field string, category string, target_share double, min_rows int, sample_size int")
-    plan = sample.plan_quotas(sample.category_counts(df, "sid", ["c"]), targets)
-    short = {(r["target_id"], r["category"]): r["shortfall"] for r in sample.shortfalls(plan).collect()}
-    assert short == {(2, "z"): 10}
+    targets = spark.createDataFrame([(1, "c", "a", 0.5, 0, 200), (1, "c", "b", 0.5, 0, 200), (2, "c", "a", 0.9, 0, 100), (2, "c", "z", 0.1, 2, 100), (3, "c", "a", 0.99, 0, 50), (3, "c", "b", 0.01, 20, 50)], "target_id int, field string, category string, target_share double, min_rows int, sample_size int")
+    found = sample.candidates(df, "sid", ["c"])
+    plan = sample.plan_quotas(sample.category_counts(found), targets)
     quota = {(r["target_id"], r["category"]): r["quota"] for r in plan.collect()}
-    got = sample.draw(df, "sid", ["c"], plan).withColumn("key", F.expr("shiftrightunsigned(xxhash64(record, target_id, 0), 1)")).collect()
+    drawn = sample.draw(found, plan)
+    told = sample.report(plan, drawn).collect()
+    assert {(r["target_id"], r["category"]): (r["drawn"], r["shortfall"], r["cause"]) for r in told if r["shortfall"]} == {(2, "z"): (0, 10, "available"), (3, "a"): (30, 20, "size")}
+    assert [(r["target_id"], r["category"]) for r in sample.shortfalls(sample.report(plan, drawn)).collect()] == [(2, "z")]
     by = {}
-    for r in got:
+    for r in drawn.collect():
         by.setdefault((r["target_id"], r["category"]), set()).add(r["record"])
     assert {k: len(v) for k, v in by.items()} == {k: q for k, q in quota.items() if q}
-    keys = df.filter("c = 'a' AND sid IS NOT NULL").select("sid").distinct().withColumn("key", F.xxhash64("sid", F.lit(1), F.lit(0))).collect()
-    ranked = sorted(keys, key=lambda r: ((r["key"] % 2**64) >> (64 - sample.BIN_BITS), (r["key"] % 2**64) >> 1, r["key"], r["sid"]))
-    assert by[1, "a"] == {r["sid"] for r in ranked[: quota[1, "a"]]}
-    assert sample.draw(df.limit(0), "sid", ["c"], plan).count() == 0
+    for t, c in by:
+        keys = df.filter((F.col("c") == c) & F.col("sid").isNotNull()).select("sid").distinct().select(F.expr(f"shiftrightunsigned(xxhash64(sid, {t}, 0), 1)").alias("key"), "sid").collect()
+        assert by[t, c] == {r["sid"] for r in sorted(keys)[: quota[t, c]]}
+    nothing = sample.candidates(df.limit(0), "sid", ["c"])
+    assert sample.draw(nothing, plan).count() == 0
+    assert sample.shortfalls(sample.report(sample.plan_quotas(sample.category_counts(nothing), targets), drawn.limit(0))).count() == 6
 
 
 @pytest.mark.parametrize("capacity", [1, 7, 64])
