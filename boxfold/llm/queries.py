@@ -65,8 +65,7 @@ def p4_sample(spark: SparkSession, d: str) -> DataFrame:
 
 def _pieces(spark: SparkSession, d: str) -> DataFrame:
     sizes = _table(spark, d, "documents").select("doc_id", pack.byt5_size(F.col("text")).alias("size")).filter("size IS NOT NULL")
-    specs = [(r["spec_id"], r["capacity"]) for r in _table(spark, d, "pack_specs").select("spec_id", "capacity").limit(1000).collect()]
-    return pack.pack_documents(sizes, sorted(specs))
+    return pack.pack_documents(sizes, pack.stated_specs(_table(spark, d, "pack_specs")))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

@@ -83,16 +83,37 @@ def test_draw_takes_the_smallest_keys(spark, monkeypatch, edge_rows, broadcast):
     assert sample.shortfalls(sample.report(sample.plan_quotas(sample.category_counts(nothing), targets), drawn.limit(0))).count() == 6
 
 
-@pytest.mark.parametrize("capacity", [1, 7, 64])
+@pytest.mark.parametrize("capacity", [1, 7, 64, 1000])
 def test_packing_is_whole_and_tight(capacity):
     rng = np.random.default_rng(capacity)
-    sizes = rng.integers(1, capacity + 1, 500)
-    home, tier = pack.pack_sizes(sizes, capacity)
-    used = np.bincount(home, sizes, len(tier))
-    assert used.max() <= capacity and len(home) == 500 and (used > 0).all()
-    assert len(tier) <= -(-11 * sizes.sum() // (9 * capacity)) + 1
-    step = pack.deal_steps(used, 4)
-    assert np.bincount(step).max() <= 4
+    for sizes in (rng.integers(1, capacity + 1, 500), np.minimum(capacity, rng.pareto(1.2, 800).astype(int) + 1)):
+        home, window, tier = pack.pack_sizes(sizes, capacity)
+        used = np.bincount(home, sizes)
+        assert used.max() <= capacity and len(home) == len(sizes) and (used > 0).all()
+        assert len(used) <= -(-11 * sizes.sum() // (9 * capacity)) + 1
+        # a window holds no more than its tier's context size, is in one container, and a text is in no window of a shorter tier than its own
+        assert (np.bincount(window, sizes, len(tier)) <= capacity >> tier).all()
+        assert all(len(set(home[window == k])) == 1 for k in range(len(tier)))
+        own = np.array([min(pack.TIERS, (capacity // int(s)).bit_length() - 1) for s in sizes])
+        assert (tier[window] <= own).all()
+        step = pack.deal_steps(used.astype(np.int64), 4)
+        assert np.bincount(step).max() <= 4
+
+
+def test_gaps_of_long_windows_are_filled_from_shorter_tiers():
+    sizes = np.array([60, 33, 30, 20, 7, 3, 40])
+    home, window, tier = pack.pack_sizes(sizes, 100)
+    assert tier[window[0]] == 0 and home[6] == home[0] == window[0]  # 60 + 40 fill one window of 100
+    assert len(np.unique(home)) == 2 and set(tier[window[1:]]) >= {1}
+
+
+def test_numbers_are_unique_over_shards_and_turns(spark, monkeypatch):
+    monkeypatch.setattr(pack, "PACK_ROWS", 20)
+    sizes = spark.range(600).select(F.col("id").alias("doc_id"), (F.col("id") % 90 + 1).alias("size"))
+    pieces = pack.pack_documents(sizes, [(1, 100), (2, 300)], per_step=4, shard_rows=200)
+    steps = pieces.groupBy("spec_id", "step").agg(F.countDistinct("container").alias("n")).agg(F.max("n")).first()[0]
+    assert steps <= 4
+    assert pieces.groupBy("spec_id", "container").agg(F.countDistinct("step").alias("n"), F.sum("length").alias("u"), F.first("capacity").alias("c")).filter("n > 1 OR u > c").count() == 0
 
 
 def test_pieces_cover_every_text(spark):
@@ -113,6 +134,8 @@ def test_pieces_cover_every_text(spark):
     assert pack.pack_documents(spark.createDataFrame([], "doc_id bigint, size bigint"), [(1, 100)]).count() == 0
     with pytest.raises(ValueError):
         pack.pack_documents(spark.createDataFrame(docs, "doc_id bigint, size bigint"), [(1, 0)])
+    with pytest.raises(ValueError):
+        pack.stated_specs(spark.range(5).selectExpr("int(id) spec_id", "10 capacity"), most=4)
     sizes = spark.createDataFrame([("é",), ("",), (None,)], "text string").select(pack.byt5_size(F.col("text")).alias("s")).collect()
     assert [r["s"] for r in sizes] == [3, 1, None]
 
