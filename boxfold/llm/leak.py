@@ -3,15 +3,15 @@
 Every shard of the corpus gets an FM-index over its words: the suffix array (prefix doubling, only tied suffixes
 are sorted again), its Burrows-Wheeler transform as a wavelet matrix, and sampled suffix positions.  All phrases
 are searched backward at once by vectorised ranks, occurrences are located by walking to the next sampled
-position, and hits of one item in one document merge into spans to remove.  Map-only: texts are not shuffled,
-only leaking (document, item) rows leave a shard.
+position, and hits of one item in one document merge into spans to remove.  Texts are not shuffled, only leaking
+(document, item) rows leave a shard.
 
 Words are runs of letters and digits after width, accents' spelling, invisible characters, look-alike letters
 and letter case are set aside.  A phrase is any ``least_words`` consecutive words of a passage, or the whole
 passage if it is shorter.  Words that no passage has share one symbol, which no phrase holds.
 
 Defined results: a null document id stays one; null or empty texts and passages give no rows; a passage without words gives none; repeated
-document rows give repeated rows (``leaks`` returns them once); texts of any length are indexed whole.
+document rows come once; all passages of an item count as one item; texts of any length are indexed whole.
 """
 
 from __future__ import annotations
@@ -30,8 +30,10 @@ from boxfold.llm.unify import SLICE, TOP, text_slices, unify_points
 SHARD_WORDS = 1_000_000
 #: Every so many positions keep their place in the text.
 SAMPLE = 8
-#: Passages searched in one pass over the corpus; more are searched in further passes.
-BLOCK_ITEMS = 5_000
+#: Bytes of passages that every task holds, in one index search; a larger set of items is searched in further passes over the corpus.
+BLOCK_BYTES = 32_000_000
+#: Phrases searched at once, to bound what a search holds.
+SEARCH_PHRASES = 500_000
 
 _word_char: np.ndarray | None = None
 
@@ -84,32 +86,24 @@ def word_hashes(points: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.nd
 
 
 class Phrases:
-    """Phrases of the items as word symbols, longest length ``least_words``; symbols from 2 in order of ``vocabulary``."""
+    """Phrases of the items: ``words`` of all passages as symbols (from 2, in order of ``vocabulary``), and of each phrase its start there, length and item."""
 
     def __init__(self, items: list[tuple[int, str]], least_words: int) -> None:
         column = pa.array([p for _, p in items], pa.string())
-        words: list[np.ndarray] = []
+        hashes, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for _, points, starts in text_slices(column):
             out, new, _ = unify_points(points, starts, fold_case=True)
             begin, end = word_spans(out, new)
-            hashes = word_hashes(out, begin, end)
-            cut = np.searchsorted(begin, new)
-            words.extend(hashes[cut[k] : cut[k + 1]] for k in range(len(new) - 1))
-        self.vocabulary = np.unique(np.concatenate(words)) if words else np.zeros(0, np.uint64)
-        rows: dict[tuple, list[int]] = {}
-        for (item, _), hashes in zip(items, words):
-            ids = np.searchsorted(self.vocabulary, hashes) + 2
-            n = len(ids)
-            if n:
-                for k in range(max(1, n - least_words + 1)):
-                    rows.setdefault(tuple(ids[k : k + least_words].tolist()), []).append(item)
-        self.length = np.array([len(r) for r in rows], np.int64)
-        self.symbols = np.zeros((len(rows), least_words), np.int64)
-        for k, r in enumerate(rows):
-            self.symbols[k, : len(r)] = r
-        owners = [sorted(set(v)) for v in rows.values()]
-        self.owner_at = np.concatenate([[0], np.cumsum([len(o) for o in owners])]).astype(np.int64)
-        self.owner = np.array([x for o in owners for x in o], np.int64)
+            hashes.append(word_hashes(out, begin, end))
+            counts.append(np.diff(np.searchsorted(begin, new)))
+        every, count = np.concatenate(hashes), np.concatenate(counts).astype(np.int64)
+        self.vocabulary, place = np.unique(every, return_inverse=True)
+        self.words = (place.ravel() + 2).astype(np.int32)
+        n = np.where(count > 0, np.maximum(1, count - least_words + 1), 0)
+        ends, first = np.cumsum(n), np.cumsum(count) - count
+        self.start = np.repeat(first - (ends - n), n) + np.arange(int(n.sum()))
+        self.length = np.repeat(np.minimum(count, least_words), n)
+        self.item = np.repeat(np.array([i for i, _ in items], np.int64), n)
 
 
 def suffix_array(symbols: np.ndarray) -> np.ndarray:
@@ -192,13 +186,13 @@ class FMIndex:
         self.kept_before = np.concatenate([[0], np.cumsum(kept)])
         self.place = order[kept]
 
-    def search(self, phrases: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Phrases that occur, with their interval of suffixes."""
-        live = np.arange(len(phrases))
+    def search(self, words: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Phrases (runs of ``words``) that occur, with their interval of suffixes."""
+        live = np.arange(len(start))
         lo, hi = np.zeros(len(live), np.int64), np.full(len(live), len(self.last), np.int64)
         done = []
         for k in range(int(length.max(initial=0))):
-            symbol = phrases[live, length[live] - 1 - k]
+            symbol = words[start[live] + length[live] - 1 - k].astype(np.int64)
             known = symbol < len(self.before) - 1
             live, lo, hi, symbol = live[known], lo[known], hi[known], symbol[known]
             if not len(live):
@@ -258,24 +252,24 @@ class Shard:
     def hits(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
         """Per hit: text number, item, first and last word (as positions in the shard); and the shard's documents."""
         symbols = np.concatenate(self.symbols)
-        index, p = FMIndex(symbols), self.phrases
-        which, lo, hi = index.search(p.symbols, p.length)
-        count = hi - lo
-        ends = np.cumsum(count)
-        rows = np.repeat(lo - (ends - count), count) + np.arange(int(count.sum()))
-        place, which = index.locate(rows), np.repeat(which, count)
+        index, p, found = FMIndex(symbols), self.phrases, []
+        for k in range(0, len(p.start), SEARCH_PHRASES):
+            some = slice(k, k + SEARCH_PHRASES)
+            which, lo, hi = index.search(p.words, p.start[some], p.length[some])
+            count = hi - lo
+            ends = np.cumsum(count)
+            rows = np.repeat(lo - (ends - count), count) + np.arange(int(count.sum()))
+            found.append((index.locate(rows), np.repeat(which + k, count)))
+        place, which = (np.concatenate(x) for x in zip(*found))
         size = p.length[which]
         # exact: every word of the phrase stands there
-        for k in range(p.symbols.shape[1]):
+        for k in range(int(size.max(initial=0))):
             inside = size > k
-            if not (symbols[np.where(inside, place + k, 0)] == np.where(inside, p.symbols[which, k], symbols[0])).all():
+            if not (symbols[place[inside] + k] == p.words[p.start[which[inside]] + k]).all():
                 raise AssertionError("index and text disagree")
-        owners = p.owner_at[which + 1] - p.owner_at[which]
-        ends = np.cumsum(owners)
-        item = p.owner[np.repeat(p.owner_at[which] - (ends - owners), owners) + np.arange(int(owners.sum()))]
-        place, size = np.repeat(place, owners), np.repeat(size, owners)
         text = np.searchsorted(np.flatnonzero(symbols == 0), place)
-        return text, item, place, place + size - 1, pa.concat_arrays(self.docs)
+        hit = np.unique(np.column_stack([text, p.item[which], place, place + size - 1]), axis=0)
+        return *hit.T, pa.concat_arrays(self.docs)
 
     def rows(self) -> Iterator[pa.RecordBatch]:
         if not self.words:
@@ -285,8 +279,6 @@ class Shard:
         self.clear()
         if not len(text):
             return
-        order = np.lexsort((first, item, text))
-        text, item, first, last = text[order], item[order], first[order], last[order]
         pair = np.concatenate([[True], (text[1:] != text[:-1]) | (item[1:] != item[:-1])])
         # spans of one pair that meet or overlap become one
         group = np.cumsum(pair) - 1
@@ -312,20 +304,20 @@ LEAK_SCHEMA = T.StructType([
 def leaks(corpus: DataFrame, items: DataFrame, *, doc: str = "doc_id", text: str = "text", item: str = "item_id", passage: str = "passage", least_words: int = 12) -> DataFrame:
     """(doc_id, item_id, n_phrases, spans): documents that hold a phrase of an item, and the code points of the stored text to remove.
 
-    Items are held by every task, ``BLOCK_ITEMS`` at most; a larger set is searched in further passes."""
+    Items are held by every task, ``BLOCK_BYTES`` of passages at most; a larger set is divided by item, one pass over the corpus each."""
     stated = items.select(F.col(item).cast("long").alias("i"), F.col(passage).alias("p")).filter(F.col("i").isNotNull() & (F.length("p") > 0)).distinct()
-    blocks = -(-max(1, stated.count()) // BLOCK_ITEMS)
+    blocks = -(-max(1, stated.agg(F.sum(F.octet_length("p"))).first()[0] or 0) // BLOCK_BYTES)
     rows = corpus.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text")).filter(F.length("text") > 0)
     out = None
     for b in range(blocks):
-        part = stated if blocks == 1 else stated.filter(F.pmod(F.xxhash64("i", "p"), F.lit(blocks)) == b)
+        part = stated if blocks == 1 else stated.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b)
         found = _search(rows, Phrases(sorted(map(tuple, part.collect())), least_words))
         out = found if out is None else out.unionByName(found)
-    return out
+    return out.distinct()
 
 
 def _search(rows: DataFrame, phrases: Phrases) -> DataFrame:
-    if not len(phrases.length):
+    if not len(phrases.start):
         return rows.sparkSession.createDataFrame([], LEAK_SCHEMA)
     shared = rows.sparkSession.sparkContext.broadcast(phrases)
 

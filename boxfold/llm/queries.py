@@ -81,7 +81,7 @@ def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return p7_leaks(spark, d).select("doc_id", "item_id")
+    return p7_leaks(spark, d).select("doc_id", "item_id").distinct()
 
 
 def p8_classes(spark: SparkSession, d: str) -> DataFrame:
