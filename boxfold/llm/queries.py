@@ -85,8 +85,8 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_classes(spark: SparkSession, d: str) -> DataFrame:
-    """One row per document: its class is the digest of its one form."""
-    return unify.same_looking_classes(_table(spark, d, "documents")).select(F.col("record").alias("doc_id"), F.hex("look").alias("class_id"))
+    """One row per document: its class is the smallest document that looks the same, its links are those whose text is stored differently."""
+    return unify.class_members(_table(spark, d, "documents")).select(F.col("record").alias("doc_id"), F.col("class").alias("class_id"), "n_links")
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:

@@ -30,12 +30,14 @@ from pyspark.sql import types as T
 from boxfold.lineage import cut
 
 #: Letters that look alike in the same case, each followed by the letter that stands for it.
-CYRILLIC_LOOK_ALIKES = "АA ВB ЕE КK МM НH ОO РP СC ТT УY ХX ЅS ІI ЈJ ҮY ԚQ ԜW ӀI аa еe оo рp сc уy хx ѕs іi јj ԁd һh ԛq ԝw үy ӏl"
-GREEK_LOOK_ALIKES = "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX οo νv αa ιi ρp υu κк ϲc ϳj ϹC ͿJ"
+CYRILLIC_LOOK_ALIKES = "АA ВB ЕE КK МM НH ОO РP СC ТT УY ХX ЅS ІI ЈJ ҮY ԚQ ԜW ӀI аa еe оo рp сc уy хx ѕs іi јj ԁd һh ԛq ԝw үy ӏl ѴV ѵv ԌG"
+GREEK_LOOK_ALIKES = "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX οo νv αa ιi ρp υu κк ϲc ϳj ϹC ͿJ ΓГ ΠП ΦФ ϜF"
 
 #: Code points of a slice at most, unless a single text is longer; keeps the temporaries of a slice near 50 MB.
 SLICE = 1_000_000
 TOP = sys.maxunicode + 1
+#: A text is of the head if more than 1 / HEAD of all records hold it, so there are fewer than HEAD of them.
+HEAD = 1024
 HANGUL_L, HANGUL_V, HANGUL_T, HANGUL_S = 0x1100, 0x1161, 0x11A7, 0xAC00
 
 
@@ -288,17 +290,39 @@ def same_looking_classes(df: DataFrame, record: str = "doc_id", text: str = "tex
     return unify_text(rows).select("record", F.unhex(F.sha2(F.encode("text", "UTF-8"), 256)).alias("look"), "exact")
 
 
+def _texts(rows: DataFrame) -> DataFrame:
+    """(look, exact, n, least): every different text once, with how many records hold it and the smallest of them."""
+    return rows.groupBy("look", "exact").agg(F.count(F.lit(1)).alias("n"), F.min("record").alias("least"))
+
+
+def class_members(df: DataFrame, record: str = "doc_id", text: str = "text") -> DataFrame:
+    """(record, class, n_links): one row per record with non-empty text; its class is the smallest record that looks the same,
+    its links are the records of the class whose text is stored differently.
+
+    Texts that many records hold - at most ``HEAD`` of them can exist - are broadcast, the others are joined by shuffle."""
+    rows = cut(same_looking_classes(df, record, text))
+    texts = cut(_texts(rows))
+    whole = texts.groupBy("look").agg(F.sum("n").alias("all"), F.min("least").alias("class"))
+    told = texts.join(whole, "look").select("look", "exact", "n", "class", (F.col("all") - F.col("n")).alias("n_links"))
+    bound = (texts.agg(F.sum("n")).first()[0] or 0) / HEAD
+    head = told.filter(F.col("n") > bound).drop("n")
+    tail = told.filter(F.col("n") <= bound).drop("n")
+    hot = rows.join(F.broadcast(head), ["look", "exact"], "left")
+    out = ["record", "class", "n_links"]
+    return hot.filter("n_links IS NOT NULL").select(*out).unionByName(hot.filter("n_links IS NULL").select("record", "look", "exact").join(tail, ["look", "exact"]).select(*out))
+
+
 def same_looking_pairs(df: DataFrame, record: str = "doc_id", text: str = "text") -> DataFrame:
     """(a, b) with a < b: records whose texts differ as stored but have the same form.
 
     Pairs are formed between different texts, then expanded to their records: exact copies are never paired with
     each other, so the work is in proportion to the result."""
     rows = cut(same_looking_classes(df, record, text))  # three uses below, one pass over the texts
-    forms = rows.groupBy("look").agg(F.min("exact").alias("lo"), F.max("exact").alias("hi")).filter("lo <> hi").select("look")
-    rows = rows.join(forms, "look", "left_semi")
-    texts = rows.select("look", "exact").distinct()
-    other = texts.select("look", F.col("exact").alias("exact_b"))
-    links = texts.join(other, "look").filter("exact < exact_b")
+    texts = _texts(rows).select("look", "exact")
+    several = texts.groupBy("look").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("look")
+    texts = cut(texts.join(several, "look"))
+    rows = rows.join(texts, ["look", "exact"])
+    links = texts.join(texts.select("look", F.col("exact").alias("exact_b")), "look").filter("exact < exact_b")
     sides = links.join(rows.select("look", "exact", F.col("record").alias("x")), ["look", "exact"])
     both = sides.join(rows.select("look", F.col("exact").alias("exact_b"), F.col("record").alias("y")), ["look", "exact_b"])
     return both.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()

@@ -4,7 +4,7 @@ import unicodedata
 import pyarrow as pa
 import pytest
 
-from boxfold.llm.unify import has_no_width, look_alikes, same_looking_classes, same_looking_pairs, text_slices, unify_array, unify_text
+from boxfold.llm.unify import class_members, has_no_width, look_alikes, same_looking_classes, same_looking_pairs, text_slices, unify_array, unify_text
 
 LOOK = {ord(a): b for a, b in look_alikes().items()}
 GONE = {o: None for o in range(0x110000) if has_no_width(chr(o))}
@@ -36,7 +36,7 @@ def test_equal_just_where_the_plain_forms_are(seed):
     assert all(len(x) <= len(unicodedata.normalize("NFC", plain(s))) for s, x in zip(source, made))
 
 
-@pytest.mark.parametrize("a,b", [("ｆｕｌｌ　１", "full 1"), ("café", "café"), ("a​b﻿", "ab"), ("x y", "x y"), ("раураl", "paypal"), ("ﬁn", "fin"), ("ﾊﾞ", "バ"), ("각", "각"), ("Ω", "Ω"), ("ΑΒ", "AB")])
+@pytest.mark.parametrize("a,b", [("ｆｕｌｌ　１", "full 1"), ("café", "café"), ("a​b﻿", "ab"), ("x y", "x y"), ("раураl", "paypal"), ("ﬁn", "fin"), ("ﾊﾞ", "バ"), ("각", "각"), ("Ω", "Ω"), ("ΑΒ", "AB"), ("ΓΠΦ", "ГПФ"), ("Ѓ", "Γ́")])
 def test_same(a, b):
     x, y = unify_array(pa.array([a, b])).to_pylist()
     assert x == y
@@ -72,10 +72,14 @@ def test_pairs_against_brute_force(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     want = {(i, j) for i, a in rows for j, b in rows if i < j and a and b and a != b and plain(a) == plain(b)}
     assert {tuple(r) for r in same_looking_pairs(df).collect()} == want
+    told = {r["record"]: (r["class"], r["n_links"]) for r in class_members(df).collect()}
+    assert told == {i: (min(j for j, b in rows if b and plain(b) == plain(a)), sum(i in p for p in want)) for i, a in rows if a}
+    assert class_members(df.limit(0)).count() == 0
     assert same_looking_pairs(df.limit(0)).count() == 0
 
 
 def test_copies_cost_no_pairs(spark):
     df = spark.createDataFrame([(i, "same text" if i else "same text") for i in range(2000)], SCHEMA)
     assert same_looking_pairs(df).count() == 1999
+    assert {(r["class"], r["n_links"]) for r in class_members(df).collect()} == {(0, 1), (0, 1999)}
     assert same_looking_classes(df).select("look").distinct().count() == 1
