@@ -119,10 +119,44 @@ SELECT sid_a, sid_b FROM l WHERE sid_a <> sid_b
 
 _P6 = "SELECT spec_id, doc_id FROM documents, pack_specs WHERE strlen(text) + 1 > capacity"
 
+
+
+def _literal(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _forms(name: str, source: str, key: str, text: str, fold_case: bool) -> str:
+    """Common table ``name``(key, stored, form): the one form of every text, from a table of single characters and the normal form of what it gives."""
+    table = unify.expansions(fold_case)
+    sides = ", ".join(f"unnest([{', '.join(_literal(x) for x in side)}])" for side in (table.keys(), table.values()))
+    return f"""{name}_map AS (SELECT * FROM (SELECT {sides}) AS t(c, r)),
+{name}_chars AS (SELECT {key}, unnest(string_split({text}, '')) AS c, generate_subscripts(string_split({text}, ''), 1) AS k FROM {source} WHERE length({text}) > 0),
+{name}_made AS (SELECT {key}, nfc_normalize(string_agg(coalesce(r, c), '' ORDER BY k)) AS form FROM {name}_chars LEFT JOIN {name}_map USING (c) GROUP BY {key}),
+{name} AS (SELECT {key}, {text} AS stored, form FROM {name}_made JOIN {source} USING ({key}))"""
+
+
+_WORD = r"[\p{L}\p{N}\x{300}-\x{36F}]+"
+
+_P7 = f"""
+WITH {_forms("d", "documents", "doc_id", "text", True)}, {_forms("e", "eval_items", "item_id", "passage", True)},
+dw AS (SELECT doc_id, regexp_extract_all(form, '{_WORD}') AS w FROM d),
+ew AS (SELECT item_id, regexp_extract_all(form, '{_WORD}') AS w FROM e),
+ep AS (SELECT item_id, least(12, len(w)) AS n, unnest(range(1, greatest(1, len(w) - 11) + 1)) AS k, w FROM ew WHERE len(w) > 0),
+eg AS (SELECT DISTINCT item_id, n, array_to_string(w[k : k + n - 1], ' ') AS phrase FROM ep),
+dp AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS k, w FROM dw, (SELECT DISTINCT n FROM eg) WHERE len(w) >= n),
+dg AS (SELECT DISTINCT doc_id, n, array_to_string(w[k : k + n - 1], ' ') AS phrase FROM dp)
+SELECT DISTINCT doc_id, item_id FROM dg JOIN eg USING (n, phrase)
+"""
+
+_P8 = f"WITH {_forms('d', 'documents', 'doc_id', 'text', False)}"
+
 SQL = {
     "p1_found": _P1 + "SELECT field, code, mark FROM m WHERE mark IS NOT NULL",
     "p1_frequencies": _P1 + "SELECT field, code, occurrences, records, mark FROM m",
     "p3_found": _P3,
     "p4_found": _P4,
     "p6_found": _P6,
+    "p7_found": _P7,
+    "p8_found": _P8 + " SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM d a JOIN d b ON a.form = b.form AND a.stored <> b.stored AND a.doc_id < b.doc_id",
+    "p8_classes": _P8 + ", n AS (SELECT form, stored, count(*) AS n FROM d GROUP BY 1, 2), a AS (SELECT form, count(*) AS n, min(doc_id) AS class_id FROM d GROUP BY 1) SELECT doc_id, class_id, a.n - n.n AS n_links FROM d JOIN n USING (form, stored) JOIN a USING (form)",
 }

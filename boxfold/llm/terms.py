@@ -94,10 +94,9 @@ def term_frequencies(df: DataFrame, fields: Sequence[str], record: str, rare_rec
     texts.append(F.struct(F.lit(None).cast("string").alias("field"), F.lit(None).cast("string").alias("code")))  # one row for the record itself
     triples = df.select(F.col(f"`{record}`").alias("record"), F.explode(F.array(*texts)).alias("t")).select("record", "t.field", "t.code").filter("code IS NOT NULL OR field IS NULL")
     triples = cut(triples.groupBy("record", "field", "code").agg(F.count(F.lit(1)).alias("n")))
-    n_records = triples.filter("field IS NULL AND record IS NOT NULL").count()
+    n_records, bound = triples.agg(F.count_if(F.expr("field IS NULL AND record IS NOT NULL")), F.count_if(F.expr("field IS NOT NULL"))).first()
     terms = triples.filter("field IS NOT NULL").select("field", "code", "n", F.col("record").isNotNull().cast("int").alias("held"))
     words = build_dictionary(terms)
-    bound = words.agg(F.sum("n")).first()[0] or 0
     head = words.filter(F.col("n") > bound / HEAD).select("field", "code", "id")
     tail = words.filter(F.col("n") <= bound / HEAD).select("field", "code", "id")
     common_terms = terms.join(F.broadcast(head), ["field", "code"], "left")

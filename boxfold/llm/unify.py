@@ -81,34 +81,47 @@ def _link(c: str, parent: dict[str, str], find) -> None:
             parent[find(c)] = find(other)
 
 
+def expand(c: str, fold_case: bool, letters: dict[str, str]) -> str:
+    """What one character becomes, decomposed (Hangul syllables stay whole)."""
+    if has_no_width(c):
+        return ""
+    if unicodedata.category(c) == "Zs":
+        return " "
+    text = unicodedata.normalize("NFKD", c) if not 0xAC00 <= ord(c) < 0xD7A4 else c
+    if fold_case:
+        text = unicodedata.normalize("NFKD", text.casefold()) if text.casefold() != text else text
+    return "".join(letters.get(x, x) for x in text if not has_no_width(x))
+
+
+def _characters() -> Iterator[str]:
+    """Characters that may change; those left out never do."""
+    for o in [*range(0x33480), *range(0xE0000, 0xE01F0)]:
+        if not (0xD800 <= o < 0xE000 or 0x4E00 <= o < 0xA000 or 0xAC00 <= o < 0xD7A4 or 0x20000 <= o < 0x2F800):
+            yield chr(o)
+
+
+def expansions(fold_case: bool = False) -> dict[str, str]:
+    """Every character that changes, with what it becomes."""
+    letters = letter_classes() if fold_case else look_alikes()
+    made = ((c, expand(c, fold_case, letters)) for c in _characters() if c != "\0")
+    return {c: x for c, x in made if x != c}
+
+
 class Tables:
     """expansion of code point c: data[start[c]:start[c] + length[c]]; mark classes; sorted pairs that compose."""
 
     def __init__(self, fold_case: bool) -> None:
         letters = letter_classes() if fold_case else look_alikes()
-
-        def expand(c: str) -> str:
-            if has_no_width(c):
-                return ""
-            if unicodedata.category(c) == "Zs":
-                return " "
-            text = unicodedata.normalize("NFKD", c) if not 0xAC00 <= ord(c) < 0xD7A4 else c
-            if fold_case:
-                text = unicodedata.normalize("NFKD", text.casefold()) if text.casefold() != text else text
-            return "".join(letters.get(x, x) for x in text if not has_no_width(x))
-
         self.length = np.ones(TOP, np.int32)
         self.start = np.zeros(TOP, np.int32)
         self.mark = np.zeros(TOP, np.uint8)
         data: list[int] = []
         same = np.arange(TOP, dtype=np.uint32)
         pairs: dict[int, int] = {}
-        for o in [*range(0x33480), *range(0xE0000, 0xE01F0)]:
-            if 0xD800 <= o < 0xE000 or 0x4E00 <= o < 0xA000 or 0xAC00 <= o < 0xD7A4 or 0x20000 <= o < 0x2F800:
-                continue
-            c = chr(o)
+        for c in _characters():
+            o = ord(c)
             self.mark[o] = unicodedata.combining(c)
-            out = expand(c)
+            out = expand(c, fold_case, letters)
             if out != c:
                 self.length[o], self.start[o] = len(out), len(data)
                 data.extend(map(ord, out))
@@ -119,7 +132,7 @@ class Tables:
         self.data = np.concatenate([np.array(data, np.uint32), same])
         plain = (self.length == 1) & (self.start == 0)
         if data:
-            first = next(o for o in range(TOP) if self.length[o] != 1 or self.start[o] or expand(chr(o)) != chr(o))
+            first = next(o for o in range(TOP) if self.length[o] != 1 or self.start[o] or expand(chr(o), fold_case, letters) != chr(o))
             plain[first] = False
         self.start[plain] = np.flatnonzero(plain) + len(data)
         for pair, o in list(pairs.items()):  # a composed letter of one script may stand for another letter
