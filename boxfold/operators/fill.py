@@ -1,17 +1,20 @@
 """Filling missing cells from similar records, with provenance.
 
-Two sources, in this order: a determinant dictionary (a column that determines the field in the complete
-records, verified before use), then the record of the same group nearest in time.  Every filled cell names the
-way it was filled and the donor.
-
-All of it runs in the JVM.  A group's timeline first collapses to one donor per instant, which also absorbs
-repeated deliveries; the nearest earlier and later donors are two running windows.  Groups above ``hot_rows``
-are cut into chunks of time, and the last donor before and the first after each chunk are carried over, so that
-no task holds a whole hot group.
+Two sources, in this order: determinant dictionaries (columns that determine the field in the complete records,
+verified before use), left-joined to the missing cells; then, for what is left, the record of the same group nearest
+in time.  Every filled cell names the way it was filled, the record its value comes from (``source``), and the donor.
+A dictionary over the group itself names its donor too: all records of the group that have the field support the
+entry, and the donor is the nearest of them.  Entries of other determinants are supported by records of any group;
+their source is the smallest of these, their donor is the nearest record of the cell's own group, if there is one.
+
+All of it runs in the JVM.  The table is read once for the dictionaries and once for the timelines.  A group's timeline first
+collapses to one donor per instant, which also absorbs repeated deliveries; the nearest earlier and later donors are
+two running windows.  Groups above ``hot_rows`` are cut into chunks of time by range, as many as their rows need, and the last
+donor before and the first after each chunk are carried over, so that no task holds a whole hot group.
 
 Defined results: rows without group or time have no donor; rows without record id are neither filled nor donors;
-of equally near donors the earlier, then the smaller id; repeated deliveries of a record give one row; an empty
-table gives no rows; other columns are ignored.
+of equally near donors the earlier, then the smaller id; repeated deliveries of a record give one row; of a record's
+differing values the least counts; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,9 +27,6 @@ from pyspark.sql import functions as F
 
 from boxfold.lineage import cut
 
-#: Cuts of one hot group's timeline at most; each is a chunk boundary.
-MOST_CHUNKS = 512
-
 
 def credit_rules() -> dict[str, Column]:
     """Where a cell of the credit table counts as present."""
@@ -38,60 +38,82 @@ def credit_rules() -> dict[str, Column]:
     }
 
 
-def mine_dependencies(df: DataFrame, present: Mapping[str, Column], determinants: Sequence[str], min_confidence: float, min_support: int) -> tuple[DataFrame, list[tuple[str, str]]]:
-    """Dictionary (det, key, and per field its only value) over complete records, and the verified (field, det) pairs."""
-    fields = list(present)
-    sides = [F.struct(F.lit(d).alias("det"), F.col(f"`{d}`").cast("string").alias("key")) for d in determinants]
-    rows = df.select(F.explode(F.array(*sides)).alias("s"), *[F.when(present[f], F.col(f).cast("string")).alias(f) for f in fields]).select("s.det", "s.key", *fields)
-    stats = rows.filter(F.col("key").isNotNull()).groupBy("det", "key").agg(*[a for f in fields for a in (F.count(f).alias(f"n_{f}"), F.min(f).alias(f"lo_{f}"), F.max(f).alias(f"hi_{f}"))])
-    stats = cut(stats.select("det", "key", *[x for f in fields for x in (
-        (F.col(f"n_{f}") >= min_support).alias(f"seen_{f}"),
-        F.when((F.col(f"n_{f}") >= min_support) & (F.col(f"lo_{f}") == F.col(f"hi_{f}")), F.col(f"lo_{f}")).alias(f))]))
-    found = stats.groupBy("det").agg(*[a for f in fields for a in (F.sum(F.col(f"seen_{f}").cast("long")).alias(f"seen_{f}"), F.count(f).alias(f))]).collect()  # one row per determinant
-    ok = [(f, r["det"]) for r in sorted(found, key=lambda r: determinants.index(r["det"])) for f in fields if r[f"seen_{f}"] and r[f] >= min_confidence * r[f"seen_{f}"]]
-    return stats, ok
-
-
-def fill_cells(df: DataFrame, *, record: str, group: str, time: str, present: Mapping[str, Column], determinants: Sequence[str] = (),
-               min_confidence: float = 0.9, min_support: int = 2, hot_rows: int = 1_000_000) -> DataFrame:
-    """One row per missing cell that can be filled: ``record``, ``field``, ``value`` (as text), ``donor``, ``donor_at``, ``method``."""
-    fields = list(present)
-    flags = [present[f].alias(f"_has{k}") for k, f in enumerate(fields)]
-    values = [F.col(f"`{f}`").cast("string").alias(f"_val{k}") for k, f in enumerate(fields)]
-    dets = [F.col(f"`{d}`").cast("string").alias(f"_det{k}") for k, d in enumerate(determinants)]
-    base = df.select(F.col(f"`{record}`").alias("_rec"), F.col(f"`{group}`").alias("_grp"), F.col(f"`{time}`").alias("_at"), *flags, *values, *dets).filter(F.col("_rec").isNotNull())
-    n = range(len(fields))
+def mine_dependencies(df: DataFrame, record: str, present: Mapping[str, Column], determinants: Sequence[str], min_confidence: float, min_support: int) -> tuple[DataFrame, list[tuple[str, str]]]:
+    """Dictionary (det, key, and per field the smallest record that supports its only value) over complete records, and the verified (field, det) pairs.
 
-    timed = base.filter(F.col("_grp").isNotNull() & F.col("_at").isNotNull())
+    Values are compared by 64 bits of hash, so that one hash aggregation over all determinants does."""
+    fields, m = list(present), len(determinants)
+    n = range(len(fields))
+    keys = [f"_key{j}" for j in range(m)]
+    rows = df.select(F.col(f"`{record}`").alias("_rec"), *[F.col(f"`{d}`").cast("string").alias(k) for d, k in zip(determinants, keys)], *[F.when(present[f], F.xxhash64(F.col(f).cast("string"))).alias(f"_h{k}") for k, f in enumerate(fields)]).filter("_rec IS NOT NULL")
+    aggregates = [a for k in n for a in (F.count(f"_h{k}").alias(f"n{k}"), F.min(f"_h{k}").alias(f"lo{k}"), F.max(f"_h{k}").alias(f"hi{k}"), F.min(F.when(F.col(f"_h{k}").isNotNull(), F.col("_rec"))).alias(f"r{k}"))]
+    stats = rows.groupingSets([[F.col(k)] for k in keys], *[F.col(k) for k in keys]).agg(F.grouping_id().alias("_g"), *aggregates)
+    which = F.array(*[F.lit((1 << m) - 1 - (1 << (m - 1 - j))) for j in range(m)])
+    seen = [F.col(f"n{k}") >= min_support for k in n]
+    stats = cut(stats.select((F.array_position(which, F.col("_g").cast("int")) - 1).cast("int").alias("det"), F.coalesce(*keys).alias("key"), *[x for k in n for x in (
+        seen[k].alias(f"seen{k}"), F.when(seen[k] & (F.col(f"lo{k}") == F.col(f"hi{k}")), F.col(f"r{k}")).alias(f"r{k}"))]).filter("key IS NOT NULL"))
+    found = stats.groupBy("det").agg(*[a for k in n for a in (F.count_if(f"seen{k}").alias(f"seen{k}"), F.count(f"r{k}").alias(f"n{k}"))]).collect()  # one row per determinant
+    ok = [(k, r["det"]) for r in sorted(found) for k in n if r[f"seen{k}"] and r[f"n{k}"] >= min_confidence * r[f"seen{k}"]]
+    return stats, [(fields[k], determinants[j]) for k, j in ok]
+
+
+def _timeline(timed: DataFrame, n: range, spread: bool) -> DataFrame:
+    """One row per instant of a group with the smallest donor of each field (kind 0), and one per record that lacks something (kind 1)."""
     some = reduce(lambda a, b: a | b, [F.col(f"_has{k}") for k in n])
     lacks = reduce(lambda a, b: a | b, [~F.col(f"_has{k}") for k in n])
-    donors = timed.filter(some).groupBy("_grp", "_at").agg(*[F.min(F.when(F.col(f"_has{k}"), F.struct("_rec", f"_val{k}"))).alias(f"_m{k}") for k in n])
-    rec_type = base.schema["_rec"].dataType.simpleString()
-    donors = donors.select("_grp", "_at", F.lit(0).alias("_kind"), F.lit(None).cast(rec_type).alias("_rec"), *[F.lit(True).alias(f"_has{k}") for k in n],
-                           *[F.when(F.col(f"_m{k}").isNotNull(), F.struct(F.col("_at").alias("at"), F.col(f"_m{k}._rec").alias("rec"), F.col(f"_m{k}._val{k}").alias("val"))).alias(f"_d{k}") for k in n])
-    wanting = timed.filter(lacks).select("_grp", "_at", F.lit(1).alias("_kind"), "_rec", *[f"_has{k}" for k in n], *[F.lit(None).cast(donors.schema[f"_d{k}"].dataType).alias(f"_d{k}") for k in n]).distinct()
-    line = donors.unionByName(wanting)
-
-    hot = timed.groupBy("_grp").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows).select("_grp")
-    split = not hot.isEmpty()
-    if split:
-        cuts = timed.join(hot, "_grp", "left_semi").groupBy("_grp").agg(F.percentile_approx("_at", [i / MOST_CHUNKS for i in range(1, MOST_CHUNKS)], 10_000).alias("_cuts"))
-        line = line.join(cut(cuts), "_grp", "left").withColumn("_chunk", F.coalesce(F.size(F.filter("_cuts", lambda c: c <= F.col("_at"))), F.lit(0))).withColumn("_hot", F.col("_cuts").isNotNull()).drop("_cuts")
-        line = cut(line)
-    else:
-        line = line.withColumn("_chunk", F.lit(0))
-
-    running = lambda *order: Window.partitionBy("_grp", "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    kinds = F.when(some & lacks, F.array(F.lit(0), F.lit(1))).when(some, F.array(F.lit(0))).otherwise(F.array(F.lit(1)))
+    donor = F.col("_kind") == 0
+    rows = timed.withColumn("_kind", F.explode(kinds))
+    rows = rows.select("_grp", "_at", "_kind", F.when(~donor, F.col("_rec")).alias("_want"), *[(donor | F.col(f"_has{k}")).alias(f"_has{k}") for k in n], *[F.when(donor & F.col(f"_has{k}"), F.col("_rec")).alias(f"_r{k}") for k in n])
+    rows = rows if spread else rows.repartition("_grp")  # the one shuffle: both the instants and the windows are of a group
+    return rows.groupBy("_grp", "_at", "_kind", "_want", *[f"_has{k}" for k in n]).agg(*[F.min(f"_r{k}").alias(f"_r{k}") for k in n])
+
+
+def _neighbours(line: DataFrame, n: range, keys: Sequence[str]) -> DataFrame:
+    """Rows of kind 1 with the nearest earlier (_p) and later (_q) donor of each field among the rows with the same keys."""
+    line = line.select("*", *[F.when(F.col(f"_r{k}").isNotNull(), F.struct(F.col("_at").alias("at"), F.col(f"_r{k}").alias("rec"))).alias(f"_d{k}") for k in n])
+    running = lambda *order: Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ahead, back = running(F.col("_at").desc(), "_kind"), running("_at", "_kind")
-    near = line.select("*", *[F.last(f"_d{k}", True).over(back).alias(f"_p{k}") for k in n], *[F.last(f"_d{k}", True).over(ahead).alias(f"_q{k}") for k in n]).filter("_kind = 1")
-    if split:
-        ends = line.filter("_hot AND _kind = 0").groupBy("_grp", "_chunk").agg(*[F.max_by(f"_d{k}", F.when(F.col(f"_d{k}").isNotNull(), F.col("_at"))).alias(f"_l{k}") for k in n], *[F.min_by(f"_d{k}", F.when(F.col(f"_d{k}").isNotNull(), F.col("_at"))).alias(f"_f{k}") for k in n])
-        # a chunk without donors still needs what is carried over it
-        ends = line.filter("_hot").select("_grp", "_chunk").distinct().join(ends, ["_grp", "_chunk"], "left")
-        past = Window.partitionBy("_grp").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-        future = Window.partitionBy("_grp").orderBy(F.col("_chunk").desc()).rowsBetween(Window.unboundedPreceding, -1)
-        carried = ends.select("_grp", "_chunk", *[F.last(f"_l{k}", True).over(past).alias(f"_cp{k}") for k in n], *[F.last(f"_f{k}", True).over(future).alias(f"_cq{k}") for k in n])
-        near = near.join(carried, ["_grp", "_chunk"], "left").withColumns({f"_p{k}": F.coalesce(f"_p{k}", f"_cp{k}") for k in n} | {f"_q{k}": F.coalesce(f"_q{k}", f"_cq{k}") for k in n})
+    return line.select("*", *[F.last(f"_d{k}", True).over(back).alias(f"_p{k}") for k in n], *[F.last(f"_d{k}", True).over(ahead).alias(f"_q{k}") for k in n]).filter("_kind = 1")
+
+
+def _hot_neighbours(timed: DataFrame, n: range, chunks: int) -> DataFrame:
+    """The same for hot groups: their timelines are cut by range of (group, time, record), donors are carried over the cuts."""
+    line = _timeline(timed, n, True).repartitionByRange(chunks, "_grp", "_at", "_kind", "_want").withColumn("_chunk", F.spark_partition_id())
+    line = cut(line)
+    near = _neighbours(line, n, ["_grp", "_chunk"])
+    when = lambda k: F.when(F.col(f"_r{k}").isNotNull(), F.col("_at"))
+    end = lambda k: F.struct(F.col("_at").alias("at"), F.col(f"_r{k}").alias("rec"))
+    ends = line.groupBy("_grp", "_chunk").agg(*[F.max_by(end(k), when(k)).alias(f"_l{k}") for k in n], *[F.min_by(end(k), when(k)).alias(f"_f{k}") for k in n])  # one row per chunk
+    past = Window.partitionBy("_grp").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    future = Window.partitionBy("_grp").orderBy(F.col("_chunk").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("_grp", "_chunk", *[F.last(f"_l{k}", True).over(past).alias(f"_cp{k}") for k in n], *[F.last(f"_f{k}", True).over(future).alias(f"_cq{k}") for k in n])
+    near = near.join(carried, ["_grp", "_chunk"], "left")
+    return near.withColumns({f"_p{k}": F.coalesce(f"_p{k}", f"_cp{k}") for k in n} | {f"_q{k}": F.coalesce(f"_q{k}", f"_cq{k}") for k in n})
+
+
+def find_donors(df: DataFrame, *, record: str, group: str, time: str, present: Mapping[str, Column], determinants: Sequence[str] = (),
+                min_confidence: float = 0.9, min_support: int = 2, hot_rows: int = 1_000_000) -> DataFrame:
+    """One row per missing cell that can be filled: ``record``, ``field``, ``source``, ``donor``, ``donor_at``, ``method``."""
+    fields = list(present)
+    n = range(len(fields))
+    base = df.select(F.col(f"`{record}`").alias("_rec"), F.col(f"`{group}`").alias("_grp"), F.col(f"`{time}`").alias("_at"), *[present[f].alias(f"_has{k}") for k, f in enumerate(fields)],
+                     *[F.col(f"`{d}`").cast("string").alias(f"_det{j}") for j, d in enumerate(determinants)]).filter("_rec IS NOT NULL")
+    stats, ok = mine_dependencies(df, record, present, determinants, min_confidence, min_support) if determinants else (None, [])
+    entries = lambda f, d: stats.filter(F.col("det") == list(determinants).index(d)).select("key", F.col(f"r{fields.index(f)}").alias("source")).filter("source IS NOT NULL")
+
+    timed = base.filter(F.col("_grp").isNotNull() & F.col("_at").isNotNull()).drop(*[c for c in base.columns if c.startswith("_det")])
+    near = None
+    if timed.count() > hot_rows:  # else no group can be hot
+        hot = timed.groupBy("_grp").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
+        hot = cut(hot)
+        if not hot.isEmpty():
+            chunks = 2 * hot.agg(F.sum("_n")).first()[0] // hot_rows + 1
+            near = _hot_neighbours(timed.join(F.broadcast(hot.select("_grp")), "_grp", "left_semi"), n, chunks)  # hot groups number fewer than rows / hot_rows
+            timed = timed.join(F.broadcast(hot.select("_grp")), "_grp", "left_anti")
+    columns = ["_grp", "_at", "_want", *[f"{x}{k}" for x in ("_has", "_p", "_q") for k in n]]
+    cold = _neighbours(_timeline(timed, n, False), n, ["_grp"]).select(*columns)
+    near = cold if near is None else near.select(*columns).unionByName(cold)
 
     micros = lambda c: F.unix_micros(c) if dict(base.dtypes)["_at"] == "timestamp" else c
 
@@ -100,23 +122,36 @@ def fill_cells(df: DataFrame, *, record: str, group: str, time: str, present: Ma
         earlier = q.isNull() | (micros(F.col("_at")) - micros(p["at"]) <= micros(q["at"]) - micros(F.col("_at")))
         return F.when(p.isNotNull() & earlier, p).otherwise(q)
 
-    cells = F.array(*[F.when(~F.col(f"_has{k}"), F.struct(F.lit(f).alias("field"), nearest(k).alias("donor"))) for k, f in enumerate(fields)])
-    by_group = near.select("_rec", F.explode(F.filter(cells, lambda c: c.isNotNull())).alias("c")).select("_rec", "c.field", "c.donor.rec", "c.donor.at", "c.donor.val").filter("rec IS NOT NULL").distinct()
-
-    ok: list[tuple[str, str]] = []
-    if determinants:
-        stats, ok = mine_dependencies(df.filter(F.col(f"`{record}`").isNotNull()), present, determinants, min_confidence, min_support)
-    if not ok:
-        found = by_group.select("_rec", "field", F.col("val").alias("value"), F.col("rec").alias("donor"), F.col("at").alias("donor_at"), F.lit("group").alias("method"))
-    else:
-        ways = []
-        for order, (f, d) in enumerate(ok):
-            k, j = fields.index(f), list(determinants).index(d)
-            missing = base.filter(~F.col(f"_has{k}") & F.col(f"_det{j}").isNotNull()).select("_rec", F.col(f"_det{j}").alias("key")).distinct()
-            ways.append(missing.join(stats.filter((F.col("det") == d) & F.col(f).isNotNull()).select("key", F.col(f).alias("dep")), "key").select("_rec", F.lit(f).alias("field"), F.struct(F.lit(order).alias("order"), "dep", F.lit(f"dependency:{d}").alias("how")).alias("way")))
-        known = reduce(DataFrame.unionByName, ways).groupBy("_rec", "field").agg(F.min("way").alias("way"))
-        found = by_group.join(known, ["_rec", "field"], "full").select("_rec", "field", F.coalesce("way.dep", "val").alias("value"), F.col("rec").alias("donor"), F.col("at").alias("donor_at"), F.coalesce("way.how", F.lit("group")).alias("method"))
-    return found.withColumnRenamed("_rec", record)
+    # a dictionary over the group itself: an entry of the cell's group names the nearest record that supports it
+    for f, d in ok:
+        if d == group:
+            k = fields.index(f)
+            near = near.join(entries(f, d).select(F.col("key").alias(f"_e{k}"), F.lit(True).alias(f"_in{k}")), F.col("_grp").cast("string") == F.col(f"_e{k}"), "left").drop(f"_e{k}")
+    by_group = [f for f, d in ok if d == group]
+    cells = F.array(*[F.when(~F.col(f"_has{k}"), F.struct(F.lit(f).alias("field"), nearest(k).alias("donor"), (F.coalesce(F.col(f"_in{k}"), F.lit(False)) if f in by_group else F.lit(False)).alias("named"))) for k, f in enumerate(fields)])
+    found = near.select(F.col("_want").alias("_rec"), F.explode(F.filter(cells, lambda c: c.isNotNull())).alias("c")).select("_rec", "c.field", F.col("c.donor.rec").alias("donor"), F.col("c.donor.at").alias("donor_at"), F.when(F.col("c.named"), f"dependency:{group}").alias("known")).filter("donor IS NOT NULL")
+
+    others = [(f, d) for f, d in ok if d != group]
+    if not others:
+        return found.select(F.col("_rec").alias(record), "field", F.col("donor").alias("source"), "donor", "donor_at", F.coalesce("known", F.lit("group")).alias("method"))
+    ways = []
+    for order, (f, d) in enumerate(others):
+        k, j = fields.index(f), list(determinants).index(d)
+        missing = base.filter(~F.col(f"_has{k}") & F.col(f"_det{j}").isNotNull()).select("_rec", F.col(f"_det{j}").alias("key")).distinct()
+        ways.append(missing.join(entries(f, d), "key").select("_rec", F.lit(f).alias("field"), F.struct(F.lit(order).alias("order"), "source", F.lit(f"dependency:{d}").alias("how")).alias("way")))
+    told = reduce(DataFrame.unionByName, ways).groupBy("_rec", "field").agg(F.min("way").alias("way"))
+    both = found.join(told, ["_rec", "field"], "full")
+    return both.select(F.col("_rec").alias(record), "field", F.when(F.col("known").isNotNull() | F.col("way").isNull(), F.col("donor")).otherwise(F.col("way.source")).alias("source"), "donor", "donor_at", F.coalesce("known", "way.how", F.lit("group")).alias("method"))
+
+
+def fill_cells(df: DataFrame, *, record: str, present: Mapping[str, Column], **how) -> DataFrame:
+    """``find_donors`` with the ``value`` (as text) of the source."""
+    fields = list(present)
+    cells = cut(find_donors(df, record=record, present=present, **how))
+    values = df.select(F.col(f"`{record}`").alias("_src"), *[F.when(present[f], F.col(f"`{f}`").cast("string")).alias(f"_v{k}") for k, f in enumerate(fields)])
+    values = values.join(cells.select(F.col("source").alias("_src")).distinct(), "_src", "left_semi").groupBy("_src").agg(*[F.min(f"_v{k}").alias(f"_v{k}") for k in range(len(fields))])
+    value = F.coalesce(*[F.when(F.col("field") == f, F.col(f"_v{k}")) for k, f in enumerate(fields)])
+    return cells.join(values, F.col("source") == F.col("_src")).select(record, "field", value.alias("value"), "source", "donor", "donor_at", "method")
 
 
 def apply_fills(df: DataFrame, cells: DataFrame, *, record: str, present: Mapping[str, Column]) -> DataFrame:
