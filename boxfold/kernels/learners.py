@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 import numpy as np
 
 from boxfold.kernels import geometry as geo
+from boxfold.kernels import scoring
 from boxfold.kernels.geometry import EMPTY, MISSING_HIGH, MISSING_LOW, UNLABELLED
 
 
@@ -469,21 +470,25 @@ class Agglomerative(Learner):
         return merged
 
 
-def predict(boxes: Boxes, s: Samples, g=1.0, membership=geo.gfmm) -> np.ndarray:
-    """Class of the box of greatest membership; between classes the nearest midpoint, then the earlier box."""
-    out = np.empty(len(s), np.int64)
-    v, w = np.minimum(boxes.v, boxes.w), np.maximum(boxes.v, boxes.w)
-    lacks = (boxes.v == MISSING_LOW) | (boxes.w == MISSING_HIGH)
-    middle = (boxes.v + boxes.w) / 2
-    for i in range(len(s)):
-        b = membership(s.xl[i], s.xu[i], v, w, g) if membership is not geo.fmnn else geo.fmnn(s.xl[i], v, w, g)
-        top = np.flatnonzero(b == b.max())
-        if len(top) > 1 and len(np.unique(boxes.c[top])) > 1:
-            here = ~lacks[top] & (s.xl[i] != MISSING_LOW) & (s.xu[i] != MISSING_HIGH)
-            away = np.where(here, np.abs(middle[top] - (s.xl[i] + s.xu[i]) / 2), 0).sum(axis=1)
-            top = top[[int(np.where(here.any(axis=1), away, 2147483647).argmin())]]
-        out[i] = boxes.c[top[0]]
-    return out
+def as_model(boxes: Boxes, learner: str = "online", g=1.0, rule: str | None = None, **how) -> scoring.Model:
+    """Boxes as a learner leaves them, ready for scoring."""
+    kind = kind_of(learner)
+    cats = {"onehot": lambda: {"bits": boxes.a}, "eiol": lambda: {"hist": [list(row) for row in boxes.a]}, "freqcat": lambda: {"slots": (boxes.a, boxes.b)}}.get(kind, dict)()
+    return scoring.Model(np.arange(boxes.size), boxes.v.copy(), boxes.w.copy(), boxes.c.copy(), boxes.n.copy(), boxes.m.copy(), kind, rule or rule_of(learner), g, **cats, **how)
+
+
+def predict(boxes: Boxes, s: Samples, g=1.0, learner: str = "online", rule: str | None = None, **how) -> np.ndarray:
+    """Class of the box of greatest membership; between classes the nearest, then the earlier box."""
+    return scoring.winners(as_model(boxes, learner, g, rule, **how), s.xl, s.xu, s.cat)
+
+
+def kind_of(learner: str) -> str:
+    """The membership a learner's boxes are scored by."""
+    return {"fmnn": "fmnn", "efmnn": "fmnn", "knefmnn": "fmnn", "rfmnn": "fmnn", "inf": "free", "eiol": "eiol", "onehot": "onehot", "freqcat": "freqcat"}.get(learner, "gfmm")
+
+
+def rule_of(learner: str) -> str:
+    return "corners" if learner == "rfmnn" else "manhattan"
 
 
 # Categorical learners --------------------------------------------------------------------------------------------

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from boxfold.kernels import learners as kl
+from boxfold.kernels import scoring
 from boxfold.lineage import cut
 from boxfold.operators import fit as fitting
 from boxfold.operators import score
@@ -27,11 +29,12 @@ class _BoxParams(HasFeaturesCol, HasLabelCol, HasPredictionCol):
     theta = Param(Params._dummy(), "theta", "longest edge of a box", TypeConverters.toFloat)
     gamma = Param(Params._dummy(), "gamma", "slope of membership", TypeConverters.toFloat)
     orderCol = Param(Params._dummy(), "orderCol", "column that gives the order of learning", TypeConverters.toString)
+    boundary = Param(Params._dummy(), "boundary", "how classes of equal membership are told apart: manhattan, or probability (by the weight of samples)", TypeConverters.toString)
     partRows = Param(Params._dummy(), "partRows", "rows of a part; parts are learnt side by side", TypeConverters.toInt)
 
     def __init__(self) -> None:
         super().__init__()
-        self._setDefault(featuresCol="features", labelCol="label", predictionCol="prediction", learner="improved", theta=0.5, gamma=1.0, orderCol="seq", partRows=fitting.MOST_ROWS)
+        self._setDefault(featuresCol="features", labelCol="label", predictionCol="prediction", learner="improved", theta=0.5, gamma=1.0, orderCol="seq", partRows=fitting.MOST_ROWS, boundary="manhattan")
 
     def _features(self, df: DataFrame):
         c = self.getFeaturesCol()
@@ -40,7 +43,7 @@ class _BoxParams(HasFeaturesCol, HasLabelCol, HasPredictionCol):
 
 class BoxClassifier(Estimator, _BoxParams):
     @keyword_only
-    def __init__(self, *, featuresCol="features", labelCol="label", predictionCol="prediction", learner="improved", theta=0.5, gamma=1.0, orderCol="seq", partRows=fitting.MOST_ROWS) -> None:
+    def __init__(self, *, featuresCol="features", labelCol="label", predictionCol="prediction", learner="improved", theta=0.5, gamma=1.0, orderCol="seq", partRows=fitting.MOST_ROWS, boundary="manhattan") -> None:
         super().__init__()
         self._set(**self._input_kwargs)
 
@@ -59,8 +62,9 @@ class BoxModel(Model, _BoxParams):
     def _transform(self, dataset: DataFrame) -> DataFrame:
         """Map-only: every row keeps its columns and gets the class of its box."""
         d = len(self.boxes.first()["v"])
-        kind, rule = {"fmnn": "fmnn", "efmnn": "fmnn", "knefmnn": "fmnn", "rfmnn": "fmnn", "inf": "free"}.get(self.getOrDefault("learner"), "gfmm"), "corners" if self.getOrDefault("learner") == "rfmnn" else "manhattan"
-        (model,) = score.blocks_of(self.boxes, d, kind=kind, rule=rule, gamma=self.getOrDefault("gamma"))
+        learner = self.getOrDefault("learner")
+        kind, rule = kl.kind_of(learner), self.getOrDefault("boundary") if self.getOrDefault("boundary") != "manhattan" else kl.rule_of(learner)
+        model = score.one_block(self.boxes, d, kind=kind, rule=rule, gamma=self.getOrDefault("gamma"))
         shared = dataset.sparkSession.sparkContext.broadcast(model)
         x = F.transform(self._features(dataset), lambda v: F.coalesce(v.cast("double"), F.lit(float("nan"))))
         name = self.getPredictionCol()
@@ -73,11 +77,8 @@ class BoxModel(Model, _BoxParams):
             for batch in batches:
                 values = batch.column(batch.num_columns - 1)
                 bounds = pa.RecordBatch.from_arrays([pa.array(np.arange(len(values))), values, values], names=["sid", "xl", "xu"])
-                out = [np.zeros(0)]
-                for _, xl, xu in score._tiles(bounds, d, len(m.ids)):
-                    _, low, high, _, first, _, _, _, near = score._evidence(m, score.tile_membership(m, xl, xu), xl, xu, False)
-                    out.append(np.where(low == high, first, near).astype(float))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(out))], names=schema.names)
+                xl, xu = score._bounds(bounds, d)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scoring.winners(m, xl, xu).astype(float))], names=schema.names)
 
         return base.select(*[F.col(f"`{c}`") for c in kept], x.alias("_x")).mapInArrow(run, schema)
 

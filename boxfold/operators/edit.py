@@ -31,7 +31,7 @@ def _halves(samples: DataFrame, n_iters: int, learner: str, seed: int, params: d
             if len(train) and len(test):
                 boxes = kl.make(learner, **params).fit(fitting.to_samples(pdf.iloc[train], learner))
                 s = fitting.to_samples(pdf.iloc[test], learner).marked()
-                right[test] = kl.predict(boxes, s, np.asarray(params.get("gamma", 1.0), float)) == s.y
+                right[test] = kl.predict(boxes, s, params.get("gamma", 1.0), learner) == s.y
         return pd.DataFrame({"sid": pdf["sid"], "iter": key[-1], "right": right})
 
     return fitting.spread(spread, keys).groupBy(*keys).applyInPandas(run, "sid bigint, iter int, right boolean")

@@ -10,9 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from boxfold.kernels import scoring
 from boxfold.operators import fit as fitting
 from boxfold.operators import prepare, score
 
+#: Members of an ensemble at most.
+MOST_MEMBERS = 10_000
 
 #: Rows of one part of a member, about; a member of no more rows is one fold, as it is without parts.
 PART_ROWS = 20_000
@@ -88,44 +91,54 @@ def random_boxes(samples: DataFrame, members: DataFrame, learner: str, max_sampl
     return fit_members(project(rows, members), learner, part_rows, seed, **params)
 
 
-def member_predictions(samples: DataFrame, boxes: DataFrame, d: int, features: DataFrame | None = None, kind: str = "gfmm", rule: str = "manhattan", gamma=1.0) -> DataFrame:
-    """(member_id, sid, y_pred) of every member, over its own features if given.
+def member_predictions(samples: DataFrame, boxes: DataFrame, d: int, features: DataFrame | None = None, kind: str = "gfmm", rule: str = "manhattan", gamma=1.0, attribute: bool = False) -> DataFrame:
+    """(member_id, sid, y_pred) of every member, over its own features if given; ``attribute``: (member_id, sid, box_id), the box a sample counts for.
 
     All members that fit in one block of boxes are asked in one pass over the samples; nothing is shuffled."""
     lists = {r["member_id"]: list(r["features"]) for r in features.select("member_id", "features").collect()} if features is not None else {}
-    cells = 0
+    counts = boxes.groupBy("member_id").agg(F.count(F.lit(1)).alias("n")).orderBy("member_id").limit(MOST_MEMBERS + 1).collect()
+    if len(counts) > MOST_MEMBERS:
+        raise ValueError(f"more than {MOST_MEMBERS} members")
     passes: list[list] = [[]]
-    for m in prepare.stated(boxes, "member_id"):
-        own = lists.get(m, list(range(d)))
-        (model,) = score.blocks_of(boxes.filter(F.col("member_id") == m), len(own), kind=kind, rule=rule, gamma=gamma)
-        if len(model.ids):
-            size = 2 * len(own) * len(model.ids)
-            if cells + size > score.BLOCK_CELLS and passes[-1]:
-                passes.append([])
-                cells = 0
-            passes[-1].append((m, own, model))
-            cells += size
+    cells = 0
+    for r in counts:
+        size = 2 * d * r["n"]
+        if size > score.BLOCK_CELLS:
+            raise ValueError(f"member {r['member_id']} has {r['n']} boxes, more than a block; coarsen it first")
+        if cells + size > score.BLOCK_CELLS and passes[-1]:
+            passes.append([])
+            cells = 0
+        passes[-1].append(r["member_id"])
+        cells += size
+    names = ["member_id", "box_id", "v", "w", "c", *[c for c in ("n_samples", "centroid") if c in boxes.columns]]
     out = None
     for group in passes:
-        one = _ask(samples, group, d, boxes.schema["member_id"].dataType.simpleString())
+        rows = boxes.filter(F.col("member_id").isin(group)).select(*names).orderBy("member_id", "box_id").toArrow()  # of one block's size
+        member = rows["member_id"].to_numpy()
+        models = []
+        for m in group:
+            own = lists.get(m, list(range(d)))
+            part = rows.slice(int(np.searchsorted(member, m, "left")), int((member == m).sum()))
+            models.append((m, own, score.as_model(part, len(own), kind=kind, rule=rule, gamma=gamma)))
+        one = _ask(samples, models, d, boxes.schema["member_id"].dataType.simpleString(), attribute)
         out = one if out is None else out.unionByName(one)
     return out
 
 
-def _ask(samples: DataFrame, members: list, d: int, member_type: str) -> DataFrame:
+def _ask(samples: DataFrame, members: list, d: int, member_type: str, attribute: bool) -> DataFrame:
     shared = samples.sparkSession.sparkContext.broadcast(members)
+    name = "box_id" if attribute else "y_pred"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        most = max((len(m.ids) for _, _, m in shared.value), default=1)
         for batch in batches:
-            for sid, xl, xu in score._tiles(batch, d, most):
+            for sid, xl, xu, _ in score._tiles(batch, d, 1):
                 for member, own, model in shared.value:
-                    lo, hi = xl[:, own], xu[:, own]
-                    _, low, high, _, first, _, _, _, near = score._evidence(model, score.tile_membership(model, lo, hi), lo, hi, False)
-                    yield pa.RecordBatch.from_pydict({"member_id": np.full(len(sid), member), "sid": sid, "y_pred": np.where(low == high, first, near)}, schema=kinds)
+                    if len(model.ids):
+                        told = scoring.speakers(model, xl[:, own], xu[:, own]) if attribute else scoring.winners(model, xl[:, own], xu[:, own])
+                        yield pa.RecordBatch.from_pydict({"member_id": np.full(len(sid), member), "sid": sid, name: told}, schema=kinds)
 
-    kinds = pa.schema([("member_id", pa.int64() if member_type == "bigint" else pa.int32()), ("sid", pa.int64()), ("y_pred", pa.int32())])
-    return score._ready(samples, d).mapInArrow(run, f"member_id {member_type}, sid bigint, y_pred int")
+    kinds = pa.schema([("member_id", pa.int64() if member_type == "bigint" else pa.int32()), ("sid", pa.int64()), (name, pa.int64() if attribute else pa.int32())])
+    return score._ready(samples, d).mapInArrow(run, f"member_id {member_type}, sid bigint, {name} {'bigint' if attribute else 'int'}")
 
 
 def majority(votes: DataFrame) -> DataFrame:

@@ -1,206 +1,172 @@
 """Scoring samples against a model's boxes.
 
-The boxes are the stated set, the samples are all rows: every task holds the boxes of one block, of checked size,
+The boxes are the stated set, the samples are all rows: every task holds blocks of boxes, of checked size,
 and walks its samples in Arrow batches, feature by feature over a (samples x boxes) tile.  Nothing is joined and
-nothing is shuffled; a model larger than a block is scored block by block and the evidence of the blocks combined.
+nothing is shuffled; the evidence of a model's blocks is combined where the samples are, up to ``PASS_BLOCKS`` blocks in
+one pass over them, and a still larger model takes further passes.
 
-``samples``: sid, xl, xu (ARRAY<DOUBLE>, NULL or NaN missing), optionally cat (ARRAY<BIGINT>) .
-``boxes``: box_id, v, w, c, optionally n_samples, centroid, e, f, bits, hist.
-Samples without arrays and boxes without corners are left out.
+``samples``: sid, xl, xu (ARRAY<DOUBLE>, NULL or NaN missing), for mixed models cat: values (``eiol``), bit sets (``onehot``) or codes (``freqcat``).
+``boxes``: box_id, v, w, c, optionally n_samples, centroid; for mixed models hist, bits, or e and f.
+Samples without arrays and boxes without corners or the categories their kind needs are left out; a missing value is one of its own
+(``eiol``), has no bit (``onehot``), or is at distance 0 from every value (``freqcat``).
 """
 
 from __future__ import annotations
 
-import random
 from collections.abc import Iterator
-from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxfold.functions.distance import MISSING_HIGH, MISSING_LOW, NO_DISTANCE
+from boxfold.functions.distance import MISSING_HIGH, MISSING_LOW
+from boxfold.kernels import scoring
+from boxfold.kernels.geometry import EMPTY
+from boxfold.kernels.scoring import MIXED, Model, chosen, tile_distance, tile_membership  # noqa: F401  re-exported
 
-#: Doubles of box corners in one block at most (32 MB), and cells of a tile.
-BLOCK_CELLS, TILE = 4_000_000, 1_000_000
+#: Doubles of boxes in one block at most (32 MB), blocks of one pass, and cells of a tile.
+BLOCK_CELLS, PASS_BLOCKS, TILE = 4_000_000, 8, 1_000_000
+MOST_BLOCKS = 64
 
-EVIDENCE = "sid bigint, top double, c_low int, c_high int, first_id bigint, first_c int, near double, near_n double, near_id bigint, near_c int"
+EVIDENCE = "sid bigint, top double, c_low bigint, c_high bigint, first_id bigint, first_c bigint, near double, near_n double, near_id bigint, near_c bigint"
 CLASSES = "sid bigint, c int, membership double, box_id bigint"
+NEEDS = {"eiol": ["hist"], "onehot": ["bits"], "freqcat": ["e", "f"]}
 
 
-@dataclass
-class Model:
-    """Boxes of one block as arrays, in order of box_id."""
+def _usable(boxes: DataFrame, d: int, kind: str) -> DataFrame:
+    whole = boxes.filter((F.size("v") == d) & (F.size("w") == d)) if d else boxes
+    for c in NEEDS.get(kind, []):
+        whole = whole.filter(F.col(c).isNotNull())
+    return whole
 
-    ids: np.ndarray
-    v: np.ndarray
-    w: np.ndarray
-    c: np.ndarray
-    n: np.ndarray
-    centroid: np.ndarray
-    kind: str = "gfmm"
-    rule: str = "manhattan"
-    gamma: object = 1.0
 
-    def __post_init__(self) -> None:
-        self.lacks = (self.v == MISSING_LOW) | (self.w == MISSING_HIGH)
-        self.lo, self.hi = np.minimum(self.v, self.w), np.maximum(self.v, self.w)
-        self.middle = (self.v + self.w) / 2
-        self.g = np.broadcast_to(np.asarray(self.gamma, float), (self.v.shape[1],))
+def load_block(boxes: DataFrame, d: int, own: bool = False, **how) -> Model:
+    """One block from the driver's hand; ``own``: every box is a class of its own, named by its id."""
+    kind = how.get("kind", "gfmm")
+    names = [c for c in ("n_samples", "centroid") if c in boxes.columns]
+    return as_model(_usable(boxes, d, kind).select("box_id", *(["v", "w"] if d else []), "c", *names, *NEEDS.get(kind, [])).orderBy("box_id").toArrow(), d, own, **how)
 
 
-def load_block(boxes: DataFrame, d: int, **how) -> Model:
-    names = [c for c in ("n_samples", "centroid") if c in boxes.columns]
-    rows = boxes.filter((F.size("v") == d) & (F.size("w") == d)).select("box_id", "v", "w", "c", *names).orderBy("box_id").toArrow()
-    n = rows.num_rows
-    v = np.array(rows["v"].to_pylist(), float).reshape(n, d)
-    w = np.array(rows["w"].to_pylist(), float).reshape(n, d)
+def as_model(rows: pa.Table, d: int, own: bool = False, **how) -> Model:
+    """Boxes in order of box_id as arrays."""
+    kind, n, names = how.get("kind", "gfmm"), rows.num_rows, rows.column_names
+    wide = lambda c, t, empty: np.array([[empty if x is None else x for x in row] for row in rows[c].to_pylist()], t).reshape(n, -1 if n else d)
+    v, w = (wide(c, float, np.nan) if d else np.zeros((n, 0)) for c in ("v", "w"))
     count = np.nan_to_num(np.array(rows["n_samples"].to_pylist(), float), nan=1.0) if "n_samples" in names else np.ones(n)
     centre = (v + w) / 2
     if "centroid" in names:
         for k, m in enumerate(rows["centroid"].to_pylist()):
             if m is not None and len(m) == d:
                 centre[k] = m
-    return Model(np.array(rows["box_id"].to_pylist(), np.int64), v, w, np.array([-1 if c is None else c for c in rows["c"].to_pylist()], np.int64), count, centre, **how)
-
-
-def blocks_of(boxes: DataFrame, d: int, **how) -> list[Model]:
-    """The model in blocks of bounded size."""
-    n = boxes.count()
-    k = max(1, -(-n * 2 * d // BLOCK_CELLS))
-    if k > 64:
-        raise ValueError(f"{n} boxes of {d} features are no model to hold in memory; coarsen it first")
-    parts = [boxes] if k == 1 else [boxes.filter(F.pmod(F.xxhash64("box_id"), F.lit(k)) == b) for b in range(k)]
-    return [load_block(p, d, **how) for p in parts]
-
-
-def tile_membership(m: Model, xl: np.ndarray, xu: np.ndarray) -> np.ndarray:
-    """(samples x boxes) memberships."""
-    if m.kind == "fmnn":
-        total = np.zeros((len(xl), len(m.c)))
-        side = lambda z, g: np.maximum(0.0, 1.0 - np.maximum(0.0, g * np.minimum(1.0, z)))
-        for j, g in enumerate(m.g):
-            total += side(xl[:, j, None] - m.w[None, :, j], g) + side(m.v[None, :, j] - xl[:, j, None], g)
-        return total / (2.0 * len(m.g))
-    least = np.ones((len(xl), len(m.c)))
-    for j, g in enumerate(m.g):
-        for z in (xu[:, j, None] - m.hi[None, :, j], m.lo[None, :, j] - xl[:, j, None]):
-            z = z / (m.hi[:, j] - m.lo[:, j] + 1.0)[None] * (1.0 / g) if m.kind == "free" else z * g
-            np.minimum(least, 1.0 - np.maximum(0.0, np.minimum(1.0, z)), out=least)
-    return least
-
-
-def tile_distance(m: Model, xl: np.ndarray, xu: np.ndarray) -> np.ndarray:
-    """(samples x boxes) distances of the rule that breaks ties between classes."""
-    out = np.zeros((len(xl), len(m.c)))
-    if m.rule == "corners":
-        for j in range(xl.shape[1]):
-            out += np.abs(xl[:, j, None] - m.v[None, :, j]) + np.abs(xl[:, j, None] - m.w[None, :, j])
-        return out / (2.0 * xl.shape[1])
-    middle = (xl + xu) / 2.0
-    if m.rule == "centroid":
-        for j in range(xl.shape[1]):
-            out += (m.centroid[None, :, j] - middle[:, j, None]) ** 2
-        return np.sqrt(out)
-    lacks = (xl == MISSING_LOW) | (xu == MISSING_HIGH)
-    seen = np.zeros_like(out, bool)
-    for j in range(xl.shape[1]):
-        there = ~lacks[:, j, None] & ~m.lacks[None, :, j]
-        out += np.where(there, np.abs(middle[:, j, None] - m.middle[None, :, j]), 0.0)
-        seen |= there
-    return np.where(seen, out, float(NO_DISTANCE))
+    if kind == "onehot":
+        how["bits"] = wide("bits", np.int64, 0)
+    elif kind == "freqcat":
+        how["slots"] = wide("e", np.int64, EMPTY), wide("f", np.int64, EMPTY)
+    elif kind == "eiol":
+        how["hist"] = [[dict(h) for h in row] for row in rows["hist"].to_pylist()]
+    ids = np.array(rows["box_id"].to_pylist(), np.int64)
+    return Model(ids, v, w, ids if own else np.array([-1 if c is None else c for c in rows["c"].to_pylist()], np.int64), count, centre, **how)
+
+
+def n_blocks(boxes: DataFrame, d: int, kind: str = "gfmm") -> int:
+    """Blocks of bounded size that the model takes."""
+    cats = {"onehot": F.size("bits"), "freqcat": F.size("e") * 2, "eiol": F.aggregate("hist", F.lit(0), lambda a, h: a + 2 * F.size(h))}.get(kind, F.lit(0))
+    cells = _usable(boxes, d, kind).agg(F.sum(F.lit(2 * d + 2) + cats)).first()[0] or 0
+    k = max(1, -(-cells // BLOCK_CELLS))
+    if k > MOST_BLOCKS:
+        raise ValueError(f"a model of {cells} numbers can't be held by a task; coarsen it first")
+    return k
+
+
+def blocks_of(boxes: DataFrame, d: int, **how) -> Iterator[Model]:
+    """The model in blocks, one after the other."""
+    k = n_blocks(boxes, d, how.get("kind", "gfmm"))
+    for b in range(k):
+        yield load_block(boxes if k == 1 else boxes.filter(F.pmod(F.xxhash64("box_id"), F.lit(k)) == b), d, **how)
+
+
+def one_block(boxes: DataFrame, d: int, **how) -> Model:
+    if n_blocks(boxes, d, how.get("kind", "gfmm")) > 1:
+        raise ValueError("this needs a model of one block; coarsen it first")
+    return load_block(boxes, d, **how)
+
+
+def _passes(boxes: DataFrame, d: int, **how) -> Iterator[list]:
+    """Broadcast blocks, at most ``PASS_BLOCKS`` of them together."""
+    together, some = [], False
+    for m in blocks_of(boxes, d, **how):
+        if len(m.ids):
+            some = True
+            together.append(boxes.sparkSession.sparkContext.broadcast(m))
+        if len(together) == PASS_BLOCKS:
+            yield together
+            together = []
+    if not some:
+        raise ValueError("a model without boxes predicts nothing")
+    if together:
+        yield together
 
 
 def _bounds(batch: pa.RecordBatch, d: int) -> tuple[np.ndarray, np.ndarray]:
-    take = lambda k: batch.column(k).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, d)
+    take = lambda k: batch.column(k).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, d) if d else np.zeros((batch.num_rows, 0))
     xl, xu = take(1), take(2)
     return np.where(np.isnan(xl), MISSING_LOW, xl), np.where(np.isnan(xu), MISSING_HIGH, xu)
 
 
-def _evidence(m: Model, b: np.ndarray, xl: np.ndarray, xu: np.ndarray, always: bool) -> list[np.ndarray]:
-    """Distances are worked out where classes are torn, or always, where another block may tear them."""
-    top = b.max(axis=1)
-    tied = b == top[:, None]
-    low = np.where(tied, m.c[None], np.iinfo(np.int64).max).min(axis=1)
-    high = np.where(tied, m.c[None], np.iinfo(np.int64).min).max(axis=1)
-    first = tied.argmax(axis=1)
-    near, away = first.copy(), np.zeros(len(b))
-    torn = np.flatnonzero((low != high) | always)
-    if len(torn):
-        dist = np.where(tied[torn], tile_distance(m, xl[torn], xu[torn]), np.inf)
-        away[torn] = dist.min(axis=1)
-        if m.rule == "centroid":  # of equally near boxes the one with more samples
-            dist = np.where(dist == away[torn, None], -m.n[None], np.inf)
-        near[torn] = dist.argmin(axis=1)
-    weight = m.n[near] if m.rule == "centroid" else np.zeros(len(b))
-    return [top, low, high, m.ids[first], m.c[first], away, -weight, m.ids[near], m.c[near]]
-
-
-@lru_cache(maxsize=None)
-def chosen(n: int) -> int:
-    """Which of n equal boxes speaks: always the same one for the same n."""
-    return random.Random(0).choice(range(n))
-
-
-def _probability(m: Model, b: np.ndarray) -> np.ndarray:
-    """Class by weighted samples among the tied boxes; of certain boxes of one sample a chosen one goes first."""
-    out = np.empty(len(b), np.int64)
-    top = b.max(axis=1)
-    for i in range(len(b)):
-        rows = np.flatnonzero(b[i] == top[i])
-        classes = np.unique(m.c[rows])
-        single = rows[m.n[rows] == 1]
-        if len(classes) == 1:
-            out[i] = classes[0]
-        elif top[i] == 1 and len(single):
-            out[i] = m.c[single[chosen(len(single))]]
-        else:
-            mass = np.array([(b[i, rows] * m.n[rows])[m.c[rows] == c].sum() for c in classes])
-            count = np.array([m.n[rows][m.c[rows] == c].sum() for c in classes])
-            out[i] = classes[np.lexsort((classes, -count, -mass))[0]]
-    return out
-
-
-def _tiles(batch: pa.RecordBatch, d: int, n_boxes: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+def _categories(batch: pa.RecordBatch) -> np.ndarray | None:
+    if batch.num_columns < 4:
+        return None
+    flat = batch.column(3).flatten()
+    return flat.to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+
+
+def _tiles(batch: pa.RecordBatch, d: int, n_boxes: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray | None]]:
     xl, xu = _bounds(batch, d)
+    cat = _categories(batch)
     step = max(1, TILE // max(1, n_boxes))
     for k in range(0, len(xl), step):
-        yield batch.column(0).slice(k, step), xl[k : k + step], xu[k : k + step]
+        yield batch.column(0).slice(k, step), xl[k : k + step], xu[k : k + step], None if cat is None else cat[k : k + step]
 
 
-def _ready(samples: DataFrame, d: int) -> DataFrame:
+def _ready(samples: DataFrame, d: int, kind: str = "gfmm") -> DataFrame:
     fill = lambda c: F.transform(c, lambda x: F.coalesce(x.cast("double"), F.lit(float("nan"))))
-    return samples.filter((F.size("xl") == d) & (F.size("xu") == d)).select(F.col("sid").cast("bigint"), fill("xl"), fill("xu"))
+    rows = samples.filter((F.size("xl") == d) & (F.size("xu") == d))
+    numbers = [F.col("sid").cast("bigint"), fill("xl"), fill("xu")]
+    if kind not in MIXED:
+        return rows.select(*numbers)
+    cast, missing = ("string", str(EMPTY)) if kind == "eiol" else ("bigint", 0 if kind == "onehot" else EMPTY)
+    return rows.filter(F.col("cat").isNotNull()).select(*numbers, F.transform("cat", lambda x: F.coalesce(x.cast(cast), F.lit(missing).cast(cast))))
 
 
-def evidence(samples: DataFrame, boxes: DataFrame, d: int, kind: str = "gfmm", rule: str = "manhattan", gamma=1.0) -> DataFrame:
+def evidence(samples: DataFrame, boxes: DataFrame, d: int, kind: str = "gfmm", rule: str = "manhattan", gamma=1.0, own: bool = False, **how) -> DataFrame:
     """Per sample: greatest membership, classes of the boxes that have it, the first and the nearest of them."""
-    ready, spark, parts = _ready(samples, d), samples.sparkSession, []
-    blocks = blocks_of(boxes, d, kind=kind, rule=rule, gamma=gamma)
-    if not sum(len(m.ids) for m in blocks):
-        raise ValueError("a model without boxes predicts nothing")
-    for model in blocks:
-        shared = spark.sparkContext.broadcast(model)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, always=len(blocks) > 1) -> Iterator[pa.RecordBatch]:
-            m = shared.value
+    names = ["sid", "top", "c_low", "c_high", "first_id", "first_c", "near", "near_n", "near_id", "near_c"]
+    passes = list(_passes(boxes, d, kind=kind, rule=rule, gamma=gamma, own=own, **how))  # handles of broadcasts
+    several = len(passes) > 1
+    ready = _ready(samples, d, kind)
+
+    def asks(shared: list):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            most = max(len(s.value.ids) for s in shared)
             for batch in batches:
-                for sid, xl, xu in _tiles(batch, d, len(m.ids)):
-                    found = _evidence(m, tile_membership(m, xl, xu), xl, xu, always)
-                    kinds = [pa.float64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.int64(), pa.int32()]
-                    names = ["sid", "top", "c_low", "c_high", "first_id", "first_c", "near", "near_n", "near_id", "near_c"]
-                    yield pa.RecordBatch.from_arrays([sid, *[pa.array(x, t) for x, t in zip(found, kinds)]], names=names)
-
-        if len(model.ids):
-            parts.append(ready.mapInArrow(run, EVIDENCE))
-    if len(parts) == 1:
-        return parts[0]
-    both = parts[0]
-    for p in parts[1:]:
+                for sid, xl, xu, cat in _tiles(batch, d, most):
+                    found = None
+                    for s in shared:
+                        m = s.value
+                        e = scoring.evidence(m, tile_membership(m, xl, xu, cat), xl, xu, several or len(shared) > 1)
+                        found = e if found is None else scoring.combine(found, e)
+                    yield pa.RecordBatch.from_arrays([sid, *[pa.array(x) for x in found]], names=names)
+
+        return run
+
+    runs = [ready.mapInArrow(asks(shared), EVIDENCE) for shared in passes]
+    if not several:
+        return runs[0]
+    both = runs[0]
+    for p in runs[1:]:
         both = both.unionByName(p)
-    best = both.groupBy("sid").agg(F.collect_list(F.struct(*[c for c in both.columns if c != "sid"])).alias("e"))  # one entry per block
+    best = both.groupBy("sid").agg(F.collect_list(F.struct(*[c for c in both.columns if c != "sid"])).alias("e"))  # one entry per pass
     best = best.withColumn("e", F.filter("e", lambda x: x["top"] == F.array_max(F.transform("e", lambda y: y["top"]))))
     first = F.array_min(F.transform("e", lambda x: F.struct(x["first_id"], x["first_c"])))
     near = F.array_min(F.transform("e", lambda x: F.struct(x["near"], x["near_n"], x["near_id"], x["near_c"])))
@@ -208,58 +174,75 @@ def evidence(samples: DataFrame, boxes: DataFrame, d: int, kind: str = "gfmm", r
                        first["first_id"].alias("first_id"), first["first_c"].alias("first_c"), near["near"].alias("near"), near["near_n"].alias("near_n"), near["near_id"].alias("near_id"), near["near_c"].alias("near_c"))
 
 
-def predict(samples: DataFrame, boxes: DataFrame, d: int, kind: str = "gfmm", rule: str = "manhattan", gamma=1.0) -> DataFrame:
-    """(sid, y_pred, box_id, membership): class of the box of greatest membership, between classes by the rule."""
-    e = evidence(samples, boxes, d, kind, rule, gamma)
+def predict(samples: DataFrame, boxes: DataFrame, d: int, kind: str = "gfmm", rule: str = "manhattan", gamma=1.0, **how) -> DataFrame:
+    """(sid, y_pred, box_id, membership): class of the box of greatest membership, between classes by the rule
+    (``manhattan``, ``corners``, ``centroid``, or ``probability``: by the weight of samples)."""
+    if rule == "probability":
+        return _by_probability(samples, boxes, d, kind, gamma, **how)
+    e = evidence(samples, boxes, d, kind, rule, gamma, **how)
     torn = F.col("c_low") != F.col("c_high")
-    return e.select("sid", F.when(torn, F.col("near_c")).otherwise(F.col("first_c")).alias("y_pred"), F.when(torn, F.col("near_id")).otherwise(F.col("first_id")).alias("box_id"), F.col("top").alias("membership"))
+    return e.select("sid", F.when(torn, F.col("near_c")).otherwise(F.col("first_c")).cast("int").alias("y_pred"), F.when(torn, F.col("near_id")).otherwise(F.col("first_id")).alias("box_id"), F.col("top").alias("membership"))
 
 
-def attribute(samples: DataFrame, boxes: DataFrame, d: int, kind: str = "gfmm", rule: str = "manhattan", gamma=1.0) -> DataFrame:
-    """(sid, box_id, c): the one box each sample counts for, nearest of those of greatest membership."""
-    model = boxes.withColumn("_c", F.col("c")).withColumn("c", F.col("box_id").cast("int"))  # every box a class of its own
-    ids = boxes.select("box_id", "c")
-    return predict(samples, model.drop("_c"), d, kind, rule, gamma).select("sid", "box_id").join(ids, "box_id").select("sid", "box_id", "c")
+def attribute(samples: DataFrame, boxes: DataFrame, d: int, kind: str = "gfmm", rule: str = "manhattan", gamma=1.0, **how) -> DataFrame:
+    """(sid, box_id, c): the one box each sample counts for, nearest of those of greatest membership (or by the weight of samples)."""
+    if rule == "probability":
+        found = _by_probability(samples, boxes, d, kind, gamma, **how)
+    else:
+        e = evidence(samples, boxes, d, kind, rule, gamma, own=True, **how)
+        found = e.select("sid", F.when(F.col("c_low") != F.col("c_high"), F.col("near_id")).otherwise(F.col("first_id")).alias("box_id"))
+    return found.select("sid", "box_id").join(boxes.select("box_id", "c"), "box_id").select("sid", "box_id", "c")
 
 
-def predict_probability(samples: DataFrame, boxes: DataFrame, d: int, gamma=1.0) -> DataFrame:
-    """(sid, y_pred): between classes the one with the greater weight of samples."""
-    (model,) = blocks_of(boxes, d, gamma=gamma)
-    shared = samples.sparkSession.sparkContext.broadcast(model)
+def _by_probability(samples: DataFrame, boxes: DataFrame, d: int, kind: str, gamma, **how) -> DataFrame:
+    shared = samples.sparkSession.sparkContext.broadcast(one_block(boxes, d, kind=kind, gamma=gamma, **how))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            for sid, xl, xu in _tiles(batch, d, len(m.ids)):
-                yield pa.RecordBatch.from_arrays([sid, pa.array(_probability(m, tile_membership(m, xl, xu)), pa.int32())], names=["sid", "y_pred"])
+            for sid, xl, xu, cat in _tiles(batch, d, len(m.ids)):
+                b = tile_membership(m, xl, xu, cat)
+                at = scoring.most_likely(m, b)
+                yield pa.RecordBatch.from_arrays([sid, pa.array(m.c[at], pa.int32()), pa.array(m.ids[at]), pa.array(b[np.arange(len(b)), at])], names=["sid", "y_pred", "box_id", "membership"])
 
-    return _ready(samples, d).mapInArrow(run, "sid bigint, y_pred int")
+    return _ready(samples, d, kind).mapInArrow(run, "sid bigint, y_pred int, box_id bigint, membership double")
+
+
+def predict_probability(samples: DataFrame, boxes: DataFrame, d: int, gamma=1.0, **how) -> DataFrame:
+    """(sid, y_pred): between classes the one with the greater weight of samples."""
+    return predict(samples, boxes, d, rule="probability", gamma=gamma, **how).select("sid", "y_pred")
 
 
-def class_memberships(samples: DataFrame, boxes: DataFrame, d: int, kind: str = "gfmm", gamma=1.0) -> DataFrame:
+def class_memberships(samples: DataFrame, boxes: DataFrame, d: int, kind: str = "gfmm", gamma=1.0, **how) -> DataFrame:
     """(sid, c, membership, box_id): per sample and class the greatest membership and the first box that has it."""
     parts = []
-    for model in blocks_of(boxes, d, kind=kind, gamma=gamma):
-        shared = samples.sparkSession.sparkContext.broadcast(model)
+    for shared in _passes(boxes, d, kind=kind, gamma=gamma, **how):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            m = shared.value
-            classes = np.unique(m.c)
+            most = max(len(s.value.ids) for s in shared)
             for batch in batches:
-                for sid, xl, xu in _tiles(batch, d, len(m.ids)):
-                    b = tile_membership(m, xl, xu)
-                    for c in classes:
-                        own = np.flatnonzero(m.c == c)
-                        best = b[:, own].argmax(axis=1)
-                        yield pa.RecordBatch.from_arrays([sid, pa.array(np.full(len(b), c), pa.int32()), pa.array(b[np.arange(len(b)), own[best]]), pa.array(m.ids[own[best]])], names=["sid", "c", "membership", "box_id"])
-
-        parts.append(_ready(samples, d).mapInArrow(run, CLASSES))
-    if len(parts) == 1:
-        return parts[0]
+                for sid, xl, xu, cat in _tiles(batch, d, most):
+                    best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+                    for s in shared:
+                        m = s.value
+                        b = tile_membership(m, xl, xu, cat)
+                        for c in np.unique(m.c).tolist():
+                            own = np.flatnonzero(m.c == c)
+                            at = b[:, own].argmax(axis=1)
+                            value, box = b[np.arange(len(b)), own[at]], m.ids[own[at]]
+                            if c in best:
+                                old, kept = best[c]
+                                ahead = (value > old) | ((value == old) & (box < kept))
+                                value, box = np.where(ahead, value, old), np.where(ahead, box, kept)
+                            best[c] = value, box
+                    for c, (value, box) in best.items():
+                        yield pa.RecordBatch.from_arrays([sid, pa.array(np.full(len(value), c), pa.int32()), pa.array(value), pa.array(box)], names=["sid", "c", "membership", "box_id"])
+
+        parts.append(_ready(samples, d, kind).mapInArrow(run, CLASSES))
     both = parts[0]
     for p in parts[1:]:
         both = both.unionByName(p)
-    return both.groupBy("sid", "c").agg(F.max("membership").alias("membership"), F.max_by("box_id", F.struct("membership", -F.col("box_id"))).alias("box_id"))
+    return both if len(parts) == 1 else both.groupBy("sid", "c").agg(F.max("membership").alias("membership"), F.max_by("box_id", F.struct("membership", -F.col("box_id"))).alias("box_id"))
 
 
 def class_probabilities(memberships: DataFrame) -> DataFrame:
@@ -268,10 +251,11 @@ def class_probabilities(memberships: DataFrame) -> DataFrame:
     return memberships.join(sums, "sid").select("sid", "c", F.when(F.col("_s") == 0, F.col("membership")).otherwise(F.col("membership") / F.col("_s")).alias("proba"))
 
 
-def explain(samples: DataFrame, boxes: DataFrame, d: int, kind: str = "gfmm", rule: str = "manhattan", gamma=1.0) -> DataFrame:
-    """(sid, y_pred, c, membership, v, w): the prediction, and per class the box that speaks for it."""
-    corners = boxes.select("box_id", "v", "w")
-    return class_memberships(samples, boxes, d, kind, gamma).join(corners, "box_id").join(predict(samples, boxes, d, kind, rule, gamma).select("sid", "y_pred"), "sid").select("sid", "y_pred", "c", "membership", "v", "w")
+def explain(samples: DataFrame, boxes: DataFrame, d: int, kind: str = "gfmm", rule: str = "manhattan", gamma=1.0, **how) -> DataFrame:
+    """(sid, y_pred, c, membership, v, w and the categories of the box): the prediction, and per class the box that speaks for it."""
+    sides = boxes.select("box_id", "v", "w", *NEEDS.get(kind, []))
+    told = class_memberships(samples, boxes, d, kind, gamma, **how).join(sides, "box_id")
+    return told.join(predict(samples, boxes, d, kind, rule, gamma, **how).select("sid", "y_pred"), "sid").select("sid", "y_pred", "c", "membership", "v", "w", *NEEDS.get(kind, []))
 
 
 def accuracy(predicted: DataFrame, y: str = "y", y_pred: str = "y_pred") -> DataFrame:

@@ -6,13 +6,12 @@ import itertools
 import random
 from collections.abc import Mapping, Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxfold.kernels import geometry as geo
 from boxfold.kernels import learners as kl
+from boxfold.kernels import scoring
 from boxfold.lineage import cut
 from boxfold.operators import ensemble
 from boxfold.operators import fit as fitting
@@ -49,8 +48,8 @@ def cross_validate(samples: DataFrame, learner: str, candidates: Sequence[dict],
             fold = kl.make(learner, **params)
             boxes = fold.fit(fitting.to_samples(train, learner))
             s = fitting.to_samples(test, learner).marked()
-            kind = geo.fmnn if isinstance(fold, kl.Fmnn) else geo.free_range if isinstance(fold, kl.InfOnlineGfmm) else geo.gfmm
-            right = float((kl.predict(boxes, s, np.asarray(params.get("gamma", 1.0), float), kind) == s.y).sum())
+            how = {k: params[k] for k in ("alpha", "distance") if k in params and kl.kind_of(learner) in scoring.MIXED and not (k == "alpha" and learner != "eiol")}
+            right = float((kl.predict(boxes, s, params.get("gamma", 1.0), learner, **how) == s.y).sum())
         return pd.DataFrame([[*key, right, n]], columns=[*keys, "right", "n"])
 
     schema = ", ".join(f"`{c}` {types[c]}" for c in keys) + ", right double, n bigint"
