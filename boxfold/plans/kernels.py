@@ -1,4 +1,6 @@
-"""Queries of the scalar operators: memberships, distances, overlaps, contractions - over records with a box, and pairs of boxes."""
+"""Queries of the scalar operators: memberships, distances, overlaps, contractions - over records with all boxes of a model, and pairs of boxes.
+
+Over records they tell, of all boxes, the greatest value, the first box that has it, and the mean."""
 
 from __future__ import annotations
 
@@ -8,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boxfold.functions import contract, distance, membership, overlap
+from boxfold.operators import prune, score
 from boxfold.plans import inputs
 from boxfold.plans.inputs import A1, A2, B1, B2, HI, LO, L, U, V, W, with_
 
@@ -16,13 +19,23 @@ SQL: dict[str, str] = {}
 GAINS = [1.5, 0.5]
 
 
+def _told(rows: DataFrame, value: Column, by: tuple[str, ...] = ("sid",)) -> DataFrame:
+    values = rows.select(*by, "box_id", F.round(value, 9).alias("value")).filter("value IS NOT NULL")
+    return values.groupBy(*by).agg(F.max("value").alias("value"), F.max_by("box_id", F.struct("value", -F.col("box_id"))).alias("box_id"), F.round(F.avg(F.when(F.col("value") < distance.NO_DISTANCE, F.col("value"))), 6).alias("mean"))
+
+
+def _told_sql(value: str, source: str, where: str | None = None, by: str = "sid", names: str = "sid") -> str:
+    inner = f"SELECT {names}, box_id, round({value}, 9) AS value FROM {source}" + (f" WHERE {where}" if where else "")
+    return f"SELECT {by}, max(value) AS value, arg_max(box_id, (value, -box_id)) AS box_id, round(avg(value) FILTER (value < {distance.NO_DISTANCE}), 6) AS mean FROM ({inner}) WHERE value IS NOT NULL GROUP BY {by}"
+
+
 def _on_records(name: str, value: Callable[[], Column], sql: str, where: str | None = None) -> None:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        rows = inputs.record_box(spark, d)
-        return (rows.filter(where) if where else rows).select("sid", "box_id", F.round(value(), 9).alias("value"))
+        rows = inputs.record_boxes(spark, d)
+        return _told(rows.filter(where) if where else rows, value())
 
     QUERIES[name] = run
-    SQL[name] = with_(inputs.POINTS) + f"SELECT sid, box_id, round({sql}, 9) AS value FROM sb" + (f" WHERE {where}" if where else "")
+    SQL[name] = with_(inputs.POINTS) + _told_sql(sql, "sb", where)
 
 
 def _corners() -> tuple:
@@ -55,12 +68,11 @@ def _records() -> None:
 
 def missing_free_range(spark: SparkSession, d: str) -> DataFrame:
     """Missing bounds marked in a free range, and the distance over what is present."""
-    rows = inputs.record_box(spark, d)
-    bounds = [distance_pair for distance_pair in (_free(j) for j in (0, 1))]
+    bounds = [_free(j) for j in (0, 1)]
     xl, xu = [b[0] for b in bounds], [b[1] for b in bounds]
     v, w = inputs.corners()
     value = distance.manhattan_present(xl, xu, v, w, distance.FREE_LOW, distance.FREE_HIGH)
-    return rows.select("sid", "box_id", xl[0].alias("low"), xu[0].alias("high"), F.round(value, 9).alias("value"))
+    return _told(inputs.record_boxes(spark, d).withColumns({"low": xl[0], "high": xu[0]}), value, ("sid", "low", "high"))
 
 
 def _free(j: int) -> tuple[Column, Column]:
@@ -69,17 +81,20 @@ def _free(j: int) -> tuple[Column, Column]:
     return mark_missing(F.col(f"x{j}"), F.col(f"x{j}"), free=True)
 
 
-SQL["missing_free_range"] = with_(inputs.POINTS) + """SELECT sid, box_id, coalesce(x0, 1e9) AS low, coalesce(x0, -1e9) AS high,
-  round(CASE WHEN x0 IS NULL AND x1 IS NULL THEN 2147483647.0::DOUBLE ELSE coalesce(abs(x0 - (v0 + w0) / 2), 0) + coalesce(abs(x1 - (v1 + w1) / 2), 0) END, 9) AS value FROM sb"""
+SQL["missing_free_range"] = with_(inputs.POINTS) + _told_sql(
+    "CASE WHEN x0 IS NULL AND x1 IS NULL THEN 2147483647.0::DOUBLE ELSE coalesce(abs(x0 - (v0 + w0) / 2), 0) + coalesce(abs(x1 - (v1 + w1) / 2), 0) END", "sb",
+    by="sid, low, high", names="sid, coalesce(x0, 1e9) AS low, coalesce(x0, -1e9) AS high")
 QUERIES["missing_free_range"] = missing_free_range
 
 
 def pair_hash(spark: SparkSession, d: str) -> DataFrame:
-    return inputs.record_box(spark, d).select("sid", "box_id", distance.pair_code(F.col("sid"), F.col("box_id")).alias("code"))
+    """Of every record's codes with all boxes: the least, the greatest and how many differ."""
+    codes = inputs.record_boxes(spark, d).select("sid", distance.pair_code(F.col("sid"), F.col("box_id")).alias("code"))
+    return codes.groupBy("sid").agg(F.min("code").alias("least"), F.max("code").alias("greatest"), F.countDistinct("code").alias("n"))
 
 
 QUERIES["pair_hash"] = pair_hash
-SQL["pair_hash"] = with_(inputs.POINTS) + "SELECT sid, box_id, greatest(sid, box_id) * (greatest(sid, box_id) + 1) // 2 + least(sid, box_id) AS code FROM sb"
+SQL["pair_hash"] = with_(inputs.POINTS) + "SELECT sid, min(code) AS least, max(code) AS greatest, count(DISTINCT code) AS n FROM (SELECT sid, greatest(sid, box_id) * (greatest(sid, box_id) + 1) // 2 + least(sid, box_id) AS code FROM sb) GROUP BY 1"
 
 
 # Pairs of boxes ----------------------------------------------------------------------------------------------------
@@ -168,25 +183,33 @@ def _parted_columns(parted: Column) -> list[Column]:
     return [F.round(F.get(parted[c], F.lit(j)), 6).alias(f"{c}_{j}") for c in ("v1", "w1", "v2", "w2") for j in (0, 1)]
 
 
+def _similarity(name: str, how: dict, sql: str) -> None:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        """All pairs of boxes of one model that are similar at all."""
+        return prune.similar_pairs(inputs.boxes(spark, d), 2, keys=["model_id"], **how).select("a_id", "b_id", F.round("similarity", 9).alias("value"))
+
+    QUERIES[name] = run
+    SQL[name] = with_(inputs.POINTS) + f"SELECT a_id, b_id, round({sql}, 9) AS value FROM ab WHERE {sql} > 0"
+
+
 def _pairs() -> None:
-    _on_pairs("similarity_pairs_mid", lambda *s: [F.round(membership.pair_similarity(*s), 9).alias("value")], f"round(greatest({inputs.gfmm(A1, B1, A2, B2)}, {inputs.gfmm(A2, B2, A1, B1)}), 9) AS value")
-    _on_pairs("similarity_pairs_short", lambda *s: [F.round(membership.pair_similarity(*s, measure="short"), 9).alias("value")], f"round({inputs.gfmm(B1, A1, A2, B2)}, 9) AS value")
-    _on_pairs("similarity_pairs_long", lambda *s: [F.round(membership.pair_similarity(*s, measure="long"), 9).alias("value")], f"round({inputs.gfmm(A1, B1, B2, A2)}, 9) AS value")
+    for name, how, sql in (("mid", {}, f"greatest({inputs.gfmm(A1, B1, A2, B2)}, {inputs.gfmm(A2, B2, A1, B1)})"), ("short", {"measure": "short"}, inputs.gfmm(B1, A1, A2, B2)), ("long", {"measure": "long"}, inputs.gfmm(A1, B1, B2, A2))):
+        _similarity(f"similarity_pairs_{name}", how, sql)
     rival = "(ca <> cb OR ca = -1)"
     apart = lambda *s: ((F.col("a_c") != F.col("b_c")) | (F.col("a_c") == -1)) & overlap.overlaps(*s)
     _on_pairs("overlap_pairs", lambda *s: [F.col("a_c").alias("a_class"), F.col("b_c").alias("b_class")], "ca AS a_class, cb AS b_class", apart, f"{rival} AND {_MEET}")
-    _on_pairs("overlap_free_range", lambda *s: [overlap.overlaps_free(*s).alias("meets")], "(least(b0, d0) >= greatest(a0, c0) AND least(b1, d1) >= greatest(a1, c1)) AS meets")
     meets = "(least(b0, d0) >= greatest(a0, c0) AND least(b1, d1) >= greatest(a1, c1))"
+    _on_pairs("overlap_free_range", lambda *s: [F.col("a_c").alias("a_class"), F.col("b_c").alias("b_class")], "ca AS a_class, cb AS b_class", lambda *s: overlap.overlaps_free(*s), meets)
     width = ["least(d0 - a0, b0 - c0)", "least(d1 - a1, b1 - c1)"]
     zero = f"({width[0]} = 0 AND {width[1]} = 0)"
     first = f"CASE WHEN {zero} OR {width[0]} <> 0 THEN {width[0]} ELSE 1e308 END <= CASE WHEN {zero} OR {width[1]} <> 0 THEN {width[1]} ELSE 1e308 END"
-    _on_pairs("overlap_rfmnn_dim", lambda *s: [overlap.least_overlap_dim(*s).alias("dim")], f"CASE WHEN {meets} THEN CASE WHEN {first} THEN 0 ELSE 1 END END AS dim")
+    _on_pairs("overlap_rfmnn_dim", lambda *s: [overlap.least_overlap_dim(*s).alias("dim")], f"CASE WHEN {first} THEN 0 ELSE 1 END AS dim", lambda *s: overlap.least_overlap_dim(*s).isNotNull(), meets)
     case, dim = _fmnn_sql()
     found = lambda *s: overlap.fmnn_case(*s)
-    _on_pairs("overlap_case_fmnn", lambda *s: [F.col("found.case").alias("case_no"), F.col("found.dim").alias("dim")], f"{case} AS case_no, {dim} AS dim", found=found)
+    _on_pairs("overlap_case_fmnn", lambda *s: [F.col("found.case").alias("case_no"), F.col("found.dim").alias("dim")], f"{case} AS case_no, {dim} AS dim", lambda *s: F.col("found").isNotNull(), f"({case}) IS NOT NULL", found=found)
     e_case, e_dim = _efmnn_sql()
     e_found = lambda *s: overlap.efmnn_case(*s, s[1])  # noqa: E731  the sample is the upper corner
-    _on_pairs("overlap_case_efmnn", lambda *s: [F.col("found.case").alias("case_no"), F.col("found.dim").alias("dim")], f"{e_case} AS case_no, {e_dim} AS dim", found=e_found)
+    _on_pairs("overlap_case_efmnn", lambda *s: [F.col("found.case").alias("case_no"), F.col("found.dim").alias("dim")], f"{e_case} AS case_no, {e_dim} AS dim", lambda *s: F.col("found").isNotNull(), f"({e_case}) IS NOT NULL", found=e_found)
     same = "ca = cb"
     _on_pairs("containment_pairs", lambda *s: [F.col("a_c").alias("c")], "ca AS c", lambda *s: (F.col("a_c") == F.col("b_c")) & overlap.contains(*s), f"{same} AND {_IN}")
 
@@ -235,10 +258,10 @@ SQL["split_rfmnn"] = _split_sql()
 
 def _on_mixed(name: str, value: Callable[[], Column], sql: str, where: str) -> None:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return inputs.record_mixed_box(spark, d).filter(where).select("sid", "box_id", F.round(value(), 9).alias("value"))
+        return _told(inputs.record_mixed_boxes(spark, d).filter(where), value())
 
     QUERIES[name] = run
-    SQL[name] = with_(inputs.CODES) + f"SELECT sid, box_id, round({sql}, 9) AS value FROM rb WHERE {where}"
+    SQL[name] = with_(inputs.CODES) + _told_sql(sql, "rb", where)
 
 
 def _bits() -> list[Column]:
@@ -250,26 +273,34 @@ _TOTAL = "list_sum(map_values(hist[1]))::DOUBLE"
 _HIST = f"coalesce(hist[1][c0], 0)::DOUBLE / {_TOTAL}"
 
 
+_NUMBER = inputs.gfmm(L, U, LO, HI)
+
+
 def _categories() -> None:
     coded = "k0 IS NOT NULL AND k1 IS NOT NULL AND bits IS NOT NULL"
     _on_mixed("membership_bits", lambda: membership.shares_bits(_bits(), membership.elements("bits", 2)), _SHARED, coded)
     counted = "hist IS NOT NULL AND c0 IS NOT NULL"
     _on_mixed("membership_histogram", lambda: membership.histogram_fit([F.col("c0")], membership.elements("hist", 1)), _HIST, counted)
-    _on_mixed("membership_mixed", lambda: membership.mixed(membership.shares_bits(_bits(), membership.elements("bits", 2)), membership.histogram_fit([F.col("c0")], membership.elements("hist", 1)), 0.6),
-              f"0.6::DOUBLE * ({_SHARED}) + 0.4::DOUBLE * ({_HIST})", f"{coded} AND {counted}")
-    _on_mixed("membership_onehot", lambda: membership.onehot(membership.histogram_fit([F.col("c0")], membership.elements("hist", 1)), membership.shares_bits(_bits(), membership.elements("bits", 2))), f"(({_HIST}) + ({_SHARED})) / 2", f"{coded} AND {counted}")
+    number = lambda: membership.gfmm(*inputs.bounds(), *membership.ordered(*inputs.corners()))
+    shared = lambda: membership.shares_bits(_bits(), membership.elements("bits", 2))
+    _on_mixed("membership_mixed", lambda: membership.mixed(number(), membership.histogram_fit([F.col("c0")], membership.elements("hist", 1)), 0.6), f"0.6::DOUBLE * {_NUMBER} + 0.4::DOUBLE * ({_HIST})", counted)
+    _on_mixed("membership_onehot", lambda: membership.onehot(number(), shared()), f"({_NUMBER} + ({_SHARED})) / 2", coded)
+    _on_mixed("membership_onehot_numeric", lambda: membership.onehot(number(), None), _NUMBER, coded)
+    _on_mixed("membership_onehot_categorical", lambda: membership.onehot(None, shared()), _SHARED, coded)
+    two = lambda: [F.create_map(F.col("c0"), F.lit(2).cast("bigint"), F.lit("z"), F.col("box_id")), F.create_map(F.col("c0"), F.lit(3).cast("bigint"))]  # noqa: E731  shares are of the first feature's total
+    _on_mixed("membership_histogram_two", lambda: membership.histogram_fit([F.col("c0"), F.col("c0")], two()), "(2::DOUBLE / (2 + box_id) + 3::DOUBLE / (2 + box_id)) / 2", counted + " AND c0 <> 'z'")
     _on_mixed("bit_features", lambda: membership.bit_features(membership.elements("bits", 2)).cast("double"), "(CASE WHEN bits[1] <> 0 THEN 1 ELSE 0 END + CASE WHEN bits[2] <> 0 THEN 1 ELSE 0 END)::DOUBLE", coded)
     grown = lambda: F.map_zip_with(F.get("hist", F.lit(0)), F.create_map(F.col("c0"), F.lit(1).cast("bigint")), lambda k, a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))
     _on_mixed("entropy_increase", lambda: distance.entropy_growth(grown(), F.get("hist", F.lit(0))), "0", counted)
     bits = lambda counts: f"list_sum(list_transform({counts}, lambda x: CASE WHEN x > 0 THEN -(x / list_sum({counts})::DOUBLE) * log2(x / list_sum({counts})::DOUBLE) ELSE 0 END))"
     now = "map_values(hist[1])"
     after = f"(CASE WHEN list_contains(map_keys(hist[1]), c0) THEN list_transform(map_entries(hist[1]), lambda t: CASE WHEN t.key = c0 THEN t.value + 1 ELSE t.value END) ELSE list_append({now}, 1) END)"
-    SQL["entropy_increase"] = with_(inputs.CODES, f"g AS (SELECT sid, box_id, {now} AS old, {after} AS new FROM rb WHERE {counted})") + f"SELECT sid, box_id, round({bits('new')} - list_sum(old)::DOUBLE / list_sum(new)::DOUBLE * ({bits('old')}), 9) AS value FROM g"
+    SQL["entropy_increase"] = with_(inputs.CODES, f"g AS (SELECT sid, box_id, {now} AS old, {after} AS new FROM rb WHERE {counted})") + _told_sql(f"{bits('new')} - list_sum(old)::DOUBLE / list_sum(new)::DOUBLE * ({bits('old')})", "g")
 
 
 def membership_freqcat(spark: SparkSession, d: str) -> DataFrame:
     """Two-slot membership by the distance table; a record's code and a slot look their distance up in it."""
-    rows = inputs.record_mixed_box(spark, d).filter("k0 IS NOT NULL AND k1 IS NOT NULL AND e IS NOT NULL AND f IS NOT NULL")
+    rows = inputs.record_mixed_boxes(spark, d).filter("k0 IS NOT NULL AND k1 IS NOT NULL AND e IS NOT NULL AND f IS NOT NULL")
     gaps = inputs.table(spark, d, "cat_dist")
     found = {}
     for j in (0, 1):
@@ -280,10 +311,17 @@ def membership_freqcat(spark: SparkSession, d: str) -> DataFrame:
             rows = rows.join(look, (F.least(f"k{j}", code) == F.col("_a")) & (F.greatest(f"k{j}", code) == F.col("_b")) & code.isNotNull(), "left").drop("_a", "_b")
             found[slot, j] = F.col(name)
     value = membership.slot_fit([found["e", 0], found["e", 1]], [found["f", 0], found["f", 1]], membership.elements("e", 2), membership.elements("f", 2))
-    return rows.select("sid", "box_id", F.round(value, 9).alias("value"))
+    return _told(rows, value)
 
 
-def _freqcat_sql() -> str:
+def membership_freqcat_mixed(spark: SparkSession, d: str) -> DataFrame:
+    """The lesser of the numeric and the two-slot membership, by the scoring kernel: per record the greatest over all boxes."""
+    told = score.predict(inputs.mixed_samples(spark, d, "freqcat"), inputs.boxes(spark, d, "mixed_bag"), 2, kind="freqcat", distance=inputs.gaps(spark, d))
+    return told.select("sid", F.round("membership", 9).alias("value"))
+
+
+def freqcat_sql() -> tuple[str, str]:
+    """Two-slot membership and its source, records with all boxes and the distances they look up."""
     joins, fits = "", []
     for j in (0, 1):
         for s in ("e", "f"):
@@ -292,18 +330,20 @@ def _freqcat_sql() -> str:
         high = f"(CASE WHEN {lo} = 1 AND e[{j + 1}] IS NOT NULL THEN 1.0::DOUBLE ELSE {hi} END)"
         low = f"(CASE WHEN {high} = 1 AND f[{j + 1}] IS NOT NULL THEN 1.0::DOUBLE ELSE {lo} END)"
         fits.append(f"least({low}, {high})")
-    return with_(inputs.CODES) + f"SELECT sid, box_id, round(least({fits[0]}, {fits[1]}), 9) AS value FROM rb{joins} WHERE k0 IS NOT NULL AND k1 IS NOT NULL AND e IS NOT NULL AND f IS NOT NULL"
+    return f"least({fits[0]}, {fits[1]})", f"rb{joins}"
 
 
-QUERIES["membership_freqcat"] = membership_freqcat
-SQL["membership_freqcat"] = _freqcat_sql()
+_FREQCAT, _FREQCAT_ROWS = freqcat_sql()
+QUERIES |= {"membership_freqcat": membership_freqcat, "membership_freqcat_mixed": membership_freqcat_mixed}
+SQL["membership_freqcat"] = with_(inputs.CODES) + _told_sql(_FREQCAT, _FREQCAT_ROWS, "k0 IS NOT NULL AND k1 IS NOT NULL AND e IS NOT NULL AND f IS NOT NULL")
+SQL["membership_freqcat_mixed"] = with_(inputs.CODES) + f"SELECT sid, round(max(least({_NUMBER}, {_FREQCAT})), 9) AS value FROM {_FREQCAT_ROWS} WHERE e IS NOT NULL AND f IS NOT NULL GROUP BY 1"
 
 
 def _mixed_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of boxes of one member of the mixed model."""
     b = inputs.boxes(spark, d, "mixed_bag").filter("member_id IS NOT NULL")
-    a = b.select("member_id", *[F.col(c).alias(f"a_{c}") for c in ("box_id", "e", "f", "hist", "n_samples")])
-    z = b.select("member_id", *[F.col(c).alias(f"b_{c}") for c in ("box_id", "e", "f", "hist", "n_samples")])
+    a = b.select("member_id", *[F.col(c).alias(f"a_{c}") for c in ("box_id", "v", "w", "e", "f", "hist", "n_samples")])
+    z = b.select("member_id", *[F.col(c).alias(f"b_{c}") for c in ("box_id", "v", "w", "e", "f", "hist", "n_samples")])
     return a.join(z, "member_id").filter("a_box_id <> b_box_id")
 
 
@@ -313,12 +353,19 @@ def overlap_categorical(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.col("a_box_id").alias("a_id"), F.col("b_box_id").alias("b_id"), overlap.categorical_overlap(two("a_e", 2), two("a_f", 2), two("b_e", 2), two("b_f", 2)).alias("meets"))
 
 
-def overlap_histogram(spark: SparkSession, d: str) -> DataFrame:
+def overlap_histogram(spark: SparkSession, d: str, numeric: bool = False) -> DataFrame:
     rows = _mixed_pairs(spark, d).filter("a_hist IS NOT NULL AND b_hist IS NOT NULL AND a_n_samples > 0 AND b_n_samples > 0")
     meets = overlap.histogram_overlap(membership.elements("a_hist", 1), F.col("a_n_samples"), membership.elements("b_hist", 1), F.col("b_n_samples"))
+    if numeric:
+        meets = meets & overlap.overlaps(*_sides())
     return rows.select(F.col("a_box_id").alias("a_id"), F.col("b_box_id").alias("b_id"), meets.alias("meets"))
 
 
+def overlap_mixed(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes overlap by their numbers, and in every category share a value of equal frequency."""
+    return overlap_histogram(spark, d, True)
+
+
 def _cat_sql() -> str:
     tests = []
     for j in (1, 2):
@@ -328,21 +375,23 @@ def _cat_sql() -> str:
     return f"SELECT a.box_id AS a_id, b.box_id AS b_id, ({tests[0]} AND {tests[1]}) AS meets FROM hyperbox a JOIN hyperbox b ON a.model_id = 'mixed_bag' AND b.model_id = 'mixed_bag' AND a.member_id = b.member_id AND a.box_id <> b.box_id WHERE a.e IS NOT NULL AND a.f IS NOT NULL AND b.e IS NOT NULL AND b.f IS NOT NULL"
 
 
-QUERIES |= {"overlap_categorical": overlap_categorical, "overlap_mixed_hist": overlap_histogram}
+QUERIES |= {"overlap_categorical": overlap_categorical, "overlap_mixed_hist": overlap_histogram, "overlap_mixed": overlap_mixed}
 SQL["overlap_categorical"] = _cat_sql()
-SQL["overlap_mixed_hist"] = """SELECT a.box_id AS a_id, b.box_id AS b_id, len(list_filter(map_keys(a.hist[1]), lambda k: coalesce(a.hist[1][k]::DOUBLE / a.n_samples = b.hist[1][k]::DOUBLE / b.n_samples, false))) > 0 AS meets
-FROM hyperbox a JOIN hyperbox b ON a.model_id = 'mixed_bag' AND b.model_id = 'mixed_bag' AND a.member_id = b.member_id AND a.box_id <> b.box_id WHERE a.hist IS NOT NULL AND b.hist IS NOT NULL AND a.n_samples > 0 AND b.n_samples > 0"""
+_SHARE = "len(list_filter(map_keys(a.hist[1]), lambda k: coalesce(a.hist[1][k]::DOUBLE / a.n_samples = b.hist[1][k]::DOUBLE / b.n_samples, false))) > 0"
+_MIXED_MEET = "a.v[1] <= a.w[1] AND a.v[2] <= a.w[2] AND b.v[1] <= b.w[1] AND b.v[2] <= b.w[2] AND " + inputs.gfmm(["a.w[1]", "a.w[2]"], ["a.v[1]", "a.v[2]"], ["b.v[1]", "b.v[2]"], ["b.w[1]", "b.w[2]"]) + " = 1"
+SQL["overlap_mixed_hist"], SQL["overlap_mixed"] = [f"""SELECT a.box_id AS a_id, b.box_id AS b_id, {meets} AS meets
+FROM hyperbox a JOIN hyperbox b ON a.model_id = 'mixed_bag' AND b.model_id = 'mixed_bag' AND a.member_id = b.member_id AND a.box_id <> b.box_id WHERE a.hist IS NOT NULL AND b.hist IS NOT NULL AND a.n_samples > 0 AND b.n_samples > 0""" for meets in (_SHARE, f"({_SHARE} AND {_MIXED_MEET})")]
 
 
 def replace_slots(spark: SparkSession, d: str) -> DataFrame:
-    """One slot of a chosen feature replaced."""
-    rows = inputs.record_mixed_box(spark, d).filter("k0 IS NOT NULL AND e IS NOT NULL AND f IS NOT NULL")
+    """One slot of a chosen feature replaced, in all boxes: sums of the slots afterwards."""
+    rows = inputs.record_mixed_boxes(spark, d).filter("k0 IS NOT NULL AND e IS NOT NULL AND f IS NOT NULL")
     new = contract.replace_slots(membership.elements("e", 2), membership.elements("f", 2), F.lit(0), F.col("k0"), F.lit(None).cast("int"))
-    return rows.select("sid", "box_id", F.get(new["e"], F.lit(0)).alias("e0"), F.get(new["e"], F.lit(1)).alias("e1"), F.get(new["f"], F.lit(0)).alias("f0"), F.get(new["f"], F.lit(1)).alias("f1"))
+    return rows.groupBy("sid").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.get(new[c], F.lit(j))).alias(f"{c}{j}") for c in ("e", "f") for j in (0, 1)])
 
 
 QUERIES["replace_slots"] = replace_slots
-SQL["replace_slots"] = with_(inputs.CODES) + "SELECT sid, box_id, k0::INT AS e0, e[2] AS e1, f[1] AS f0, f[2] AS f1 FROM rb WHERE k0 IS NOT NULL AND e IS NOT NULL AND f IS NOT NULL"
+SQL["replace_slots"] = with_(inputs.CODES) + "SELECT sid, count(*) AS n, sum(k0)::BIGINT AS e0, sum(e[2])::BIGINT AS e1, sum(f[1])::BIGINT AS f0, sum(f[2])::BIGINT AS f1 FROM rb WHERE k0 IS NOT NULL AND e IS NOT NULL AND f IS NOT NULL GROUP BY 1"
 
 _records()
 _pairs()

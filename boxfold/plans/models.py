@@ -229,11 +229,6 @@ def prune_keep_empty(spark, d):
     return prune.prune(inputs.labelled(spark, d), inputs.boxes(spark, d, MODEL), 2, keep_empty=True).select("box_id")
 
 
-@query()
-def prune_boxes(spark, d):
-    return prune.prune(inputs.labelled(spark, d), inputs.boxes(spark, d, MODEL), 2).select("box_id", "c")
-
-
 _INSIDE = f"i AS (SELECT a_id, b_id FROM ab WHERE ca = cb AND {inputs.gfmm(['a0', 'a1'], ['b0', 'b1'], ['c0', 'c1'], ['d0', 'd1'])} = 1 AND (NOT {inputs.gfmm(['c0', 'c1'], ['d0', 'd1'], ['a0', 'a1'], ['b0', 'b1'])} = 1 OR b_id < a_id))"
 
 
