@@ -116,10 +116,9 @@ def parts_for(samples: DataFrame, rows: int) -> int:
     return max(1, -(-samples.count() // rows))
 
 
-def partitioned(samples: DataFrame, learner: str, rows: int = 5_000, seed: int = 0, **params) -> DataFrame:
-    """Fit in random parts of about ``rows`` samples with even shares of every class; boxes carry their ``partition_id``, numbers are unique over all."""
-    k = parts_for(samples, rows)
-    split = prepare.stratified_folds(samples, "sid", "y", k, seed, "partition_id")
+def partitioned(samples: DataFrame, learner: str, rows: int = 5_000, **params) -> DataFrame:
+    """Fit in parts of about ``rows`` samples, dealt in order with even shares of every class; boxes carry their ``partition_id``, numbers are unique over all."""
+    split = prepare.dealt(samples, "y", parts_for(samples, rows))
     boxes = fit(split, learner, ["partition_id"], most_rows=max(MOST_ROWS, 4 * rows), **params)
     return boxes.withColumn("box_id", F.col("partition_id").cast("bigint") * (1 << 32) + F.col("box_id"))
 

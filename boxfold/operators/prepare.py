@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxfold.functions.distance import FREE_HIGH, FREE_LOW, MISSING_HIGH, MISSING_LOW
+from boxfold.operators import dictionary
 
 UNLABELLED = -1
 
@@ -89,6 +90,18 @@ def stratified_folds(df: DataFrame, record: str, y: str, k: int, seed: int = 0,
     return joined.withColumn(name, F.pmod(F.col("_before") + F.col("_inside"), F.lit(k)).cast("int")).drop("_key", "_bin", "_b", "_y", "_before", "_inside")
 
 
+def dealt(df: DataFrame, y: str, k: int, order: Sequence[str] = ("seq", "sid"), name: str = "partition_id") -> DataFrame:
+    """Rows dealt class by class, in their order, to k parts: every part has its share of every class and of all times.
+
+    A row's place comes from a range partition by class and order, so no class is sorted in one task."""
+    if k == 1:
+        return df.withColumn(name, F.lit(0))
+    placed = dictionary.dense_ids(df, [y, *order], "_place")
+    first = placed.groupBy(y).agg(F.min("_place").alias("_first"))  # one row per class
+    matched = placed.join(F.broadcast(first.withColumnRenamed(y, "_class")), F.col(y).eqNullSafe(F.col("_class")))
+    return matched.withColumn(name, F.pmod(F.col("_place") - F.col("_first"), F.lit(k)).cast("int")).drop("_place", "_first", "_class")
+
+
 def _ranked(df: DataFrame, by: Sequence[str], record: str, seed: int) -> DataFrame:
     """``_rank`` from 1 by a random key inside each group, ``_size`` of the group; bins keep every sort small."""
     keyed = df.withColumn("_key", shuffle_key(F.struct(*by, record) if by else F.col(record), seed)).withColumn("_bin", F.shiftrightunsigned("_key", 52))

@@ -120,7 +120,7 @@ _MEET = f"{inputs.gfmm(B1, A1, A2, B2)} = 1"
 _IN = f"{inputs.gfmm(A1, B1, A2, B2)} = 1"
 
 
-def _fmnn_sql(dims: int = 2) -> tuple[str, str]:
+def fmnn_case_sql(dims: int = 2) -> tuple[str, str]:
     """SQL of the case and feature; a row per feature is ranked by amount."""
     rows, oks = [], []
     for j in range(dims):
@@ -141,12 +141,13 @@ def _choose(rows: list[tuple[str, str, int]], ok: str) -> tuple[str, str]:
     return case, dim
 
 
-def _efmnn_sql() -> tuple[str, str]:
+def efmnn_case_sql(sample: tuple[str, str] = tuple(B1)) -> tuple[str, str]:
+    """``sample``: the sample at hand, which decides between equal boxes."""
     rows, oks = [], []
     for j in range(2):
         a, b, c, e = A1[j], B1[j], A2[j], B2[j]
         near = f"{e} - {a} < {b} - {c}"
-        case = (f"CASE WHEN {a} = {c} AND {b} = {e} THEN CASE WHEN {b} = {b} THEN 91 ELSE 92 END "
+        case = (f"CASE WHEN {a} = {c} AND {b} = {e} THEN CASE WHEN {b} = {sample[j]} THEN 91 ELSE 92 END "
                 f"WHEN {a} = {c} AND {b} < {e} AND {b} > {c} THEN 3 WHEN {b} = {e} AND {a} < {c} AND {b} > {c} THEN 4 WHEN {a} = {c} AND {b} > {e} AND {e} > {a} THEN 5 WHEN {b} = {e} AND {a} > {c} AND {e} > {a} THEN 6 "
                 f"WHEN {a} < {c} AND {b} < {e} AND {b} > {c} THEN 1 WHEN {a} > {c} AND {b} > {e} AND {e} > {a} THEN 2 "
                 f"WHEN {a} <= {c} AND {b} > {e} THEN CASE WHEN {near} THEN 71 ELSE 72 END WHEN {a} > {c} AND {b} <= {e} THEN CASE WHEN {near} THEN 81 ELSE 82 END END")
@@ -155,7 +156,7 @@ def _efmnn_sql() -> tuple[str, str]:
     return _choose(rows, " AND ".join(oks))
 
 
-def _gfmm_sql() -> tuple[str, str]:
+def gfmm_case_sql() -> tuple[str, str]:
     rows, touch = [], []
     for j in range(2):
         a, b, c, e = A1[j], B1[j], A2[j], B2[j]
@@ -168,14 +169,30 @@ def _gfmm_sql() -> tuple[str, str]:
     return f"coalesce({touch[0]}, {touch[1]}, {case})", f"CASE WHEN ({touch[0]}) IS NOT NULL THEN 0 WHEN ({touch[1]}) IS NOT NULL THEN 1 ELSE {dim} END"
 
 
-def _parted_sql(changes: dict[str, list[tuple[str, str]]], source: str, extra: str = "") -> str:
-    """Corners after a step: per corner (a low, b high of the first box; c, d of the tested) the cases that change it."""
-    out = []
+#: Which cases change which corner, and to what ({a} low, {b} high of the first box; {c}, {d} of the tested).
+GFMM_STEP = {
+    "v1": [("2", "({d} + {a}) / 2 + 1e-5"), ("31", "{d} + 1e-5"), ("7", "least({a} + 1e-5, {b})")], "w1": [("1", "({b} + {c}) / 2"), ("32", "{c} - 1e-5"), ("6", "greatest({b} - 1e-5, {a})")],
+    "v2": [("1", "({b} + {c}) / 2 + 1e-5"), ("42", "{b} + 1e-5"), ("5", "least({c} + 1e-5, {d})")], "w2": [("2", "({d} + {a}) / 2"), ("41", "{a} - 1e-5"), ("8", "greatest({d} - 1e-5, {c})")],
+}
+FMNN_STEP = {
+    "v1": [("2, 92", "({d} + {a}) / 2"), ("31, 5, 71", "{d} + 1e-5")], "w1": [("1, 91", "({c} + {b}) / 2"), ("32, 4, 72", "{c} - 1e-5")],
+    "v2": [("1, 91", "({c} + {b}) / 2 + 1e-5"), ("42, 3, 82", "{b} + 1e-5")], "w2": [("2, 92", "({d} + {a}) / 2 - 1e-5"), ("41, 6, 81", "{a} - 1e-5")],
+}
+
+
+def corner_sql(changes: dict[str, list[tuple[str, str]]]) -> dict[str, str]:
+    """Corners v1_0 … w2_1 after a step, from a0 … d1, cs and dim."""
+    out = {}
     for corner, names in (("v1", A1), ("w1", B1), ("v2", A2), ("w2", B2)):
         for j in range(2):
             sub = lambda t: t.replace("{a}", A1[j]).replace("{b}", B1[j]).replace("{c}", A2[j]).replace("{d}", B2[j])  # noqa: B023, E731
             whens = " ".join(f"WHEN dim = {j} AND cs IN ({cases}) THEN {sub(value)}" for cases, value in changes[corner])
-            out.append(f"round(CASE {whens} ELSE {names[j]} END, 6) AS {corner}_{j}")
+            out[f"{corner}_{j}"] = f"CASE {whens} ELSE {names[j]} END"
+    return out
+
+
+def _parted_sql(changes: dict[str, list[tuple[str, str]]], source: str, extra: str = "") -> str:
+    out = [f"round({value}, 6) AS {name}" for name, value in corner_sql(changes).items()]
     return with_(inputs.POINTS, source) + f"SELECT a_id, b_id, {', '.join(out)} FROM k{extra}"
 
 
@@ -204,29 +221,22 @@ def _pairs() -> None:
     zero = f"({width[0]} = 0 AND {width[1]} = 0)"
     first = f"CASE WHEN {zero} OR {width[0]} <> 0 THEN {width[0]} ELSE 1e308 END <= CASE WHEN {zero} OR {width[1]} <> 0 THEN {width[1]} ELSE 1e308 END"
     _on_pairs("overlap_rfmnn_dim", lambda *s: [overlap.least_overlap_dim(*s).alias("dim")], f"CASE WHEN {first} THEN 0 ELSE 1 END AS dim", lambda *s: overlap.least_overlap_dim(*s).isNotNull(), meets)
-    case, dim = _fmnn_sql()
+    case, dim = fmnn_case_sql()
     found = lambda *s: overlap.fmnn_case(*s)
     _on_pairs("overlap_case_fmnn", lambda *s: [F.col("found.case").alias("case_no"), F.col("found.dim").alias("dim")], f"{case} AS case_no, {dim} AS dim", lambda *s: F.col("found").isNotNull(), f"({case}) IS NOT NULL", found=found)
-    e_case, e_dim = _efmnn_sql()
+    e_case, e_dim = efmnn_case_sql()
     e_found = lambda *s: overlap.efmnn_case(*s, s[1])  # noqa: E731  the sample is the upper corner
     _on_pairs("overlap_case_efmnn", lambda *s: [F.col("found.case").alias("case_no"), F.col("found.dim").alias("dim")], f"{e_case} AS case_no, {e_dim} AS dim", lambda *s: F.col("found").isNotNull(), f"({e_case}) IS NOT NULL", found=e_found)
     same = "ca = cb"
     _on_pairs("containment_pairs", lambda *s: [F.col("a_c").alias("c")], "ca AS c", lambda *s: (F.col("a_c") == F.col("b_c")) & overlap.contains(*s), f"{same} AND {_IN}")
 
-    g_case, g_dim = _gfmm_sql()
+    g_case, g_dim = gfmm_case_sql()
     _on_pairs("contract_gfmm", lambda *s: _parted_columns(contract.part_gfmm(s[0], s[1], F.col("a_c"), s[2], s[3], F.col("b_c"), F.col("found"))), "0", apart, found=contract.gfmm_case)
-    SQL["contract_gfmm"] = _parted_sql({
-        "v1": [("2", "({d} + {a}) / 2 + 1e-5"), ("31", "{d} + 1e-5"), ("7", "least({a} + 1e-5, {b})")], "w1": [("1", "({b} + {c}) / 2"), ("32", "{c} - 1e-5"), ("6", "greatest({b} - 1e-5, {a})")],
-        "v2": [("1", "({b} + {c}) / 2 + 1e-5"), ("42", "{b} + 1e-5"), ("5", "least({c} + 1e-5, {d})")], "w2": [("2", "({d} + {a}) / 2"), ("41", "{a} - 1e-5"), ("8", "greatest({d} - 1e-5, {c})")],
-    }, f"k AS (SELECT *, {g_case} AS cs, {g_dim} AS dim FROM ab WHERE {rival} AND {_MEET})")
-    step = {
-        "v1": [("2, 92", "({d} + {a}) / 2"), ("31, 5, 71", "{d} + 1e-5")], "w1": [("1, 91", "({c} + {b}) / 2"), ("32, 4, 72", "{c} - 1e-5")],
-        "v2": [("1, 91", "({c} + {b}) / 2 + 1e-5"), ("42, 3, 82", "{b} + 1e-5")], "w2": [("2, 92", "({d} + {a}) / 2 - 1e-5"), ("41, 6, 81", "{a} - 1e-5")],
-    }
+    SQL["contract_gfmm"] = _parted_sql(GFMM_STEP, f"k AS (SELECT *, {g_case} AS cs, {g_dim} AS dim FROM ab WHERE {rival} AND {_MEET})")
     _on_pairs("contract_fmnn", lambda *s: _parted_columns(contract.part_by_case(*s, F.col("found.case"), F.col("found.dim"))), "0", lambda *s: F.col("found").isNotNull(), found=found)
-    SQL["contract_fmnn"] = _parted_sql(step, f"k AS (SELECT *, {case} AS cs, {dim} AS dim FROM ab)", " WHERE cs IS NOT NULL")
+    SQL["contract_fmnn"] = _parted_sql(FMNN_STEP, f"k AS (SELECT *, {case} AS cs, {dim} AS dim FROM ab)", " WHERE cs IS NOT NULL")
     _on_pairs("contract_efmnn", lambda *s: _parted_columns(contract.part_by_case(*s, F.col("found.case"), F.col("found.dim"))), "0", lambda *s: F.col("found").isNotNull(), found=e_found)
-    SQL["contract_efmnn"] = _parted_sql(step, f"k AS (SELECT *, {e_case} AS cs, {e_dim} AS dim FROM ab)", " WHERE cs IS NOT NULL")
+    SQL["contract_efmnn"] = _parted_sql(FMNN_STEP, f"k AS (SELECT *, {e_case} AS cs, {e_dim} AS dim FROM ab)", " WHERE cs IS NOT NULL")
 
 
 def split_rfmnn(spark: SparkSession, d: str) -> DataFrame:

@@ -339,15 +339,6 @@ def _fit_query(name: str, learner: str, rows: int = 4_000, unlabelled: bool = Tr
     QUERIES[name] = run
 
 
-_fit_query("fit_fmnn", "fmnn", unlabelled=False, missing=False, theta=0.1)
-_fit_query("fit_efmnn", "efmnn", unlabelled=False, missing=False, theta=0.1)
-_fit_query("fit_knefmnn", "knefmnn", unlabelled=False, missing=False, theta=0.1, k_neighbors=5)
-_fit_query("fit_rfmnn", "rfmnn", unlabelled=False, missing=False, theta=0.1)
-_fit_query("fit_online_gfmm", "online", theta=0.1, theta_min=0.1)
-_fit_query("fit_online_gfmm_passes", "online", unlabelled=False, missing=False, theta=0.2, theta_min=0.1, alpha=0.7)
-_fit_query("fit_iol_gfmm", "improved", theta=0.1)
-_fit_query("fit_semi_supervised", "improved", missing=False, theta=0.1, gamma=2.0)
-_fit_query("fit_inf_gfmm", "inf", theta=0.3, min_membership_expansion=0.5)
 _fit_query("fit_agglo_sm", "agglomerative", rows=150, unlabelled=False, missing=False, theta=0.2, min_simil=0.8)
 _fit_query("fit_agglo2", "agglomerative2", rows=500, unlabelled=False, missing=False, theta=0.2, min_simil=0.8)
 
