@@ -80,6 +80,8 @@ class Learner:
     theta: float = 0.5
     gamma: float | list[float] = 1.0
     boxes: Boxes | None = field(default=None, repr=False)
+    #: Passes over the samples of the last fit.
+    passes: int = field(default=1, init=False, repr=False)
 
     def begin(self, s: Samples) -> None:
         if self.boxes is None:
@@ -244,8 +246,9 @@ class OnlineGfmm(Learner):
     def fit(self, s: Samples) -> Boxes:
         s = s.marked()
         self.begin(s)
-        least, self.limit, right = min(self.theta_min, self.theta), self.theta, 0.0
+        least, self.limit, right, self.passes = min(self.theta_min, self.theta), self.theta, 0.0, 0
         while self.limit >= least and right < 1:
+            self.passes += 1
             for i in range(len(s)):
                 self.learn(s, i)
             self.limit *= self.alpha
@@ -401,7 +404,7 @@ class Agglomerative(Learner):
             self.new(s, i)
         self.floor = max(self.min_simil, 1 - self.g.max() * self.theta)
         while self.round() if self.exhaustive else self.sweep():
-            pass
+            self.passes += 1
         return self.boxes
 
     def partners(self, j: int) -> np.ndarray:
@@ -593,8 +596,9 @@ class OneHotGfmm(OnlineGfmm):
     def fit(self, s: Samples) -> Boxes:
         s = s.marked()
         self.begin(s)
-        least, self.limit, right = min(self.theta_min, self.theta), self.theta, 0.0
+        least, self.limit, right, self.passes = min(self.theta_min, self.theta), self.theta, 0.0, 0
         while self.limit >= least and right < 1:
+            self.passes += 1
             for i in range(len(s)):
                 self.learn(s, i)
             self.limit *= self.alpha

@@ -2,18 +2,34 @@
 
 from __future__ import annotations
 
-import tempfile
+import random
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the session names; a machine-local one only where none is set (tests)."""
+    """Use the folder the session names in ``spark.checkpoint.dir``.
+
+    Where none is named, a local session of one process uses a temporary folder; on a cluster that is an error, as a folder of one machine would not do."""
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="boxfold-ck-"))
+    if not named:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        import tempfile  # one machine: executors and driver are one process
+
+        named = tempfile.mkdtemp(prefix="boxfold-ck-")
+    spark.sparkContext.setCheckpointDir(named)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    root = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    return f"{root}/{name}-{random.SystemRandom().getrandbits(48):x}"
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -2,14 +2,15 @@
 
 A learner looks at its samples in the order of ``seq``, so a group is one task.  Its size is checked: a group of
 more than ``most_rows`` is refused, and ``partitioned`` is the way for large data - stratified parts of bounded size
-are fitted side by side, and the bare union of their boxes is returned: independent models, one a part, whose number grows
-with the rows.  Boxes of different parts are neither merged nor parted; ``granular.fit`` merges and coarsens.
+are fitted side by side, and the bare union of their boxes is returned: independent models, one a part.
+``granular.merge_parts`` makes one model of them, whose boxes of different classes don't meet.
 
 ``samples``: sid, seq, xl, xu, y, optionally n_samples, centroid and cat (codes, bit sets or values).
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
 
 import numpy as np
@@ -76,10 +77,14 @@ def boxes_frame(boxes: kl.Boxes | None, learner: str) -> pd.DataFrame:
     return out
 
 
-def spread(df: DataFrame, keys: Sequence[str], most: int = 2_000) -> DataFrame:
+#: Groups of one task, about, where there are more of them than this many tasks.
+SPREAD_TASKS, GROUPS_PER_TASK = 2_000, 16
+
+
+def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Groups over tasks by their number: adaptive execution goes by bytes and would run small but heavy groups in one task."""
     groups = df.select(*keys).distinct().count()
-    return df.repartition(min(max(1, 2 * groups), most), *keys)
+    return df.repartition(max(1, min(2 * groups, max(SPREAD_TASKS, groups // GROUPS_PER_TASK))), *keys)
 
 
 def fit(samples: DataFrame, learner: str, by: Sequence[str] = (), initial: DataFrame | None = None, most_rows: int = MOST_ROWS, **params) -> DataFrame:
@@ -112,6 +117,23 @@ def fit(samples: DataFrame, learner: str, by: Sequence[str] = (), initial: DataF
     return boxes if by else boxes.drop("_one")
 
 
+def fit_summary(samples: DataFrame, learner: str, by: Sequence[str], most_rows: int = MOST_ROWS, **params) -> DataFrame:
+    """Per group: rows learnt, boxes made, passes over the rows, seconds taken."""
+    keys = list(by)
+    types = dict(samples.dtypes)
+    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", n_rows bigint, n_boxes bigint, n_passes int, seconds double"
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) > most_rows:
+            raise ValueError(f"{len(pdf)} samples in one fold, {most_rows} at most; fit in parts")
+        pdf = pdf.sort_values([c for c in ("seq", "sid") if c in pdf], kind="stable")
+        fold, began = kl.make(learner, **params), time.perf_counter()
+        boxes = fold.fit(to_samples(pdf, learner))
+        return pd.DataFrame([[*key, len(pdf), boxes.size, fold.passes, time.perf_counter() - began]], columns=[*keys, "n_rows", "n_boxes", "n_passes", "seconds"])
+
+    return spread(samples, keys).groupBy(*keys).applyInPandas(run, schema)
+
+
 def parts_for(samples: DataFrame, rows: int) -> int:
     return max(1, -(-samples.count() // rows))
 
@@ -123,9 +145,9 @@ def partitioned(samples: DataFrame, learner: str, rows: int = 5_000, **params) -
     return boxes.withColumn("box_id", F.col("partition_id").cast("bigint") * (1 << 32) + F.col("box_id"))
 
 
-def as_samples(boxes: DataFrame) -> DataFrame:
-    """Boxes as interval samples for a further fit, with their weights and centroids."""
-    return boxes.select(F.col("box_id").alias("sid"), F.col("box_id").alias("seq"), F.col("v").alias("xl"), F.col("w").alias("xu"), F.col("c").alias("y"), "n_samples", "centroid", *[c for c in ("level", "partition_id", "member_id") if c in boxes.columns])
+def as_samples(boxes: DataFrame, *keep: str) -> DataFrame:
+    """Boxes as interval samples for a further fit, with their weights and centroids, and the columns to keep."""
+    return boxes.select(F.col("box_id").alias("sid"), F.col("box_id").alias("seq"), F.col("v").alias("xl"), F.col("w").alias("xu"), F.col("c").alias("y"), "n_samples", "centroid", *[c for c in ("level", "partition_id", "member_id", *keep) if c in boxes.columns])
 
 
 SAMPLE_SCHEMA = T.StructType([T.StructField("sid", T.LongType()), T.StructField("seq", T.LongType()), T.StructField("xl", T.ArrayType(T.DoubleType())), T.StructField("xu", T.ArrayType(T.DoubleType())), T.StructField("y", T.IntegerType())])

@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxfold.kernels import learners as kl
 from boxfold.lineage import cut
-from boxfold.operators import ensemble, prune, score
+from boxfold.operators import dictionary, ensemble, prune, score
 from boxfold.operators import fit as fitting
 from boxfold.operators import prepare
 
-#: Boxes of one class at most where boxes inside others are looked for one by one.
-MOST_BOXES = 200_000
+#: Boxes up to which containment is looked for, or a level learnt, in one fold; more are worked on cell by cell.
+FOLD_BOXES = 20_000
 
 
 def level_of(thetas: Sequence[float]) -> dict[float, int]:
@@ -23,8 +25,6 @@ def level_of(thetas: Sequence[float]) -> dict[float, int]:
 
 
 def _merge_contained(pdf: pd.DataFrame) -> pd.DataFrame:
-    if len(pdf) > MOST_BOXES:
-        raise ValueError(f"{len(pdf)} boxes of one class, {MOST_BOXES} at most")
     boxes = fitting.to_boxes(pdf, "online")
     if boxes is None:
         return pdf[["box_id", "v", "w", "c", "n_samples", "centroid"]]
@@ -33,15 +33,68 @@ def _merge_contained(pdf: pd.DataFrame) -> pd.DataFrame:
     return out.assign(box_id=pdf.sort_values("box_id")["box_id"].to_numpy()[kept])
 
 
-def remove_contained(boxes: DataFrame) -> DataFrame:
-    """Boxes left after each box inside another of its class gave its weight to it; class by class, side by side."""
-    same = fitting.spread(boxes, ["c"]).groupBy("c").applyInPandas(lambda pdf: _merge_contained(pdf), fitting.BOX_FIELDS)
-    return same
+def _cells(boxes: DataFrame, width: float, shift: tuple[float, ...]) -> DataFrame:
+    """``cell``: where a box's midpoint lies in a grid of the first features, shifted by parts of a cell."""
+    at = [F.floor((F.get("v", F.lit(j)) + F.get("w", F.lit(j))) / 2 / width + s) for j, s in enumerate(shift)]
+    return boxes.withColumn("cell", F.concat_ws("/", *at))
+
+
+def _grid(boxes: DataFrame, d: int, edge: float) -> tuple[float, list[tuple[float, ...]]]:
+    """Width of cells of about ``FOLD_BOXES`` boxes, four edges at least, and all shifts by half a cell in the first two features.
+
+    Boxes of edges up to ``edge`` that meet have midpoints no farther apart, so with one of the shifts they share a cell."""
+    n = boxes.count()
+    spans = boxes.agg(*[f(F.get(c, F.lit(j))).alias(f"{c}{j}") for j in range(min(d, 2)) for f, c in ((F.min, "v"), (F.max, "w"))]).first()
+    area = np.prod([max((spans[f"w{j}"] or 0.0) - (spans[f"v{j}"] or 0.0), 4 * edge) for j in range(min(d, 2))])
+    width = max(4 * edge, float(area * FOLD_BOXES / (2 * max(n, 1))) ** (1 / min(d, 2)))
+    return width, list(itertools.product((0.0, 0.5), repeat=min(d, 2)))
+
 
+def _numbered(boxes: DataFrame) -> DataFrame:
+    return dictionary.dense_ids(boxes.withColumnRenamed("box_id", "_old"), ["cell", "_old"], "_new").withColumn("box_id", F.col("_new") + 1).drop("_new", "_old", "cell")
 
-def first_level(samples: DataFrame, n_partitions: int, theta: float, gamma=1.0, homogeneous: bool = False, seed: int = 0) -> DataFrame:
+
+def _width(boxes: DataFrame) -> tuple[int, float]:
+    edge = F.array_max(F.zip_with("v", "w", lambda a, b: b - a))
+    row = boxes.agg(F.max(F.size("v")).alias("d"), F.max(edge).alias("e")).first()
+    return row["d"] or 0, max(row["e"] or 0.0, 1e-9)
+
+
+def remove_contained(boxes: DataFrame) -> DataFrame:
+    """Boxes left after each box inside another of its class gave its weight to it; class by class, and cell by cell where boxes are many."""
+    if boxes.count() <= FOLD_BOXES:
+        return fitting.spread(boxes, ["c"]).groupBy("c").applyInPandas(lambda pdf: _merge_contained(pdf), fitting.BOX_FIELDS)
+    d, edge = _width(boxes)
+    width, shifts = _grid(boxes, d, edge)
+    for shift in shifts:
+        boxes = cut(fitting.spread(_cells(boxes, width, shift), ["c", "cell"]).groupBy("c", "cell").applyInPandas(lambda pdf: _merge_contained(pdf), fitting.BOX_FIELDS))
+    return boxes
+
+
+def coarsen(boxes: DataFrame, theta: float, gamma=1.0, min_membership_aggregation: float = 0.5) -> DataFrame:
+    """A coarser level: boxes learnt from boxes as weighted interval samples, up to edges of theta.
+
+    Up to ``FOLD_BOXES`` boxes are one fold; more are learnt cell by cell, and then, with the grid shifted in every way, boxes that
+    still meet a box of another class are parted, which only shrinks them: no two boxes of different classes meet in the end."""
+    how = dict(gamma=gamma, min_membership_aggregation=min_membership_aggregation)
+    if boxes.count() <= FOLD_BOXES:
+        return fitting.fit(fitting.as_samples(boxes), "coarsen", theta=theta, **how)
+    d, edge = _width(boxes)
+    width, shifts = _grid(boxes, d, max(edge, theta))
+    for k, shift in enumerate([shifts[0], *shifts]):  # learnt in the cells as they are; then parted in them and in all shifted ones
+        cells = fitting.as_samples(_cells(boxes, width, shift), "cell")
+        boxes = cut(_numbered(fitting.fit(cells, "coarsen", ["cell"], theta=theta if k == 0 else -1.0, **how)))
+    return boxes
+
+
+def merge_parts(boxes: DataFrame, theta: float, gamma=1.0) -> DataFrame:
+    """One model from the models of parts: contained boxes are taken out, near ones merged up to theta, rivals parted; its size goes by the space, not by the rows."""
+    return coarsen(cut(remove_contained(boxes.select("box_id", "v", "w", "c", "n_samples", "centroid"))), theta, gamma)
+
+
+def first_level(samples: DataFrame, n_partitions: int, theta: float, gamma=1.0, homogeneous: bool = False) -> DataFrame:
     """Boxes of stratified parts, learnt without contraction; ``homogeneous``: class by class, the unlabelled last."""
-    parts = prepare.stratified_folds(samples, "sid", "y", n_partitions, seed, "partition_id")
+    parts = prepare.dealt(samples, "y", n_partitions)
     if homogeneous:
         last = F.when(F.col("y") == -1, F.lit((1 << 31) - 1)).otherwise(F.col("y")).cast("bigint")
         parts = parts.withColumn("seq", last * F.lit(1 << 31) + F.col("seq"))
@@ -50,14 +103,14 @@ def first_level(samples: DataFrame, n_partitions: int, theta: float, gamma=1.0,
 
 
 def fit(samples: DataFrame, thetas: Sequence[float] = (0.1, 0.2, 0.3), n_partitions: int = 4, gamma=1.0, min_membership_aggregation: float = 0.5, homogeneous: bool = False,
-        seed: int = 0, validation: DataFrame | None = None, d: int | None = None, threshold: float = 0.5, keep_empty: bool = False) -> DataFrame:
+        validation: DataFrame | None = None, d: int | None = None, threshold: float = 0.5, keep_empty: bool = False) -> DataFrame:
     """Boxes of all levels, finest (level 0) first; each level is learnt from the one before."""
-    base = cut(remove_contained(first_level(samples, n_partitions, thetas[0], gamma, homogeneous, seed)))
+    base = cut(remove_contained(first_level(samples, n_partitions, thetas[0], gamma, homogeneous)))
     if validation is not None:
         base = cut(prune.prune(validation, base, d, threshold, keep_empty, rule="centroid", gamma=gamma))
     levels = [base.withColumn("level", F.lit(0))]
     for k, theta in enumerate(thetas[1:], 1):
-        base = cut(fitting.fit(fitting.as_samples(base), "coarsen", theta=theta, gamma=gamma, min_membership_aggregation=min_membership_aggregation))
+        base = cut(coarsen(base, theta, gamma, min_membership_aggregation))
         levels.append(base.withColumn("level", F.lit(k)))
     out = levels[0]
     for x in levels[1:]:
@@ -69,12 +122,8 @@ def predict(samples: DataFrame, boxes: DataFrame, d: int, level: int = -1, gamma
     """(sid, y_pred) at one level, or (-1) the majority over the levels."""
     if level >= 0:
         return score.predict(samples, boxes.filter(F.col("level") == level), d, rule="centroid", gamma=gamma).select("sid", "y_pred")
-    levels = prepare.stated(boxes, "level")
-    votes = None
-    for k in levels:
-        one = predict(samples, boxes, d, k, gamma)
-        votes = one if votes is None else votes.unionByName(one)
-    return ensemble.majority(votes)
+    levels = boxes.withColumn("member_id", F.col("level"))
+    return ensemble.majority(ensemble.member_predictions(samples, levels, d, rule="centroid", gamma=gamma))
 
 
 def memberships(samples: DataFrame, boxes: DataFrame, d: int, level: int = -1, gamma=1.0) -> DataFrame:

@@ -6,12 +6,12 @@ import itertools
 import random
 from collections.abc import Mapping, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxfold.kernels import learners as kl
-from boxfold.kernels import scoring
 from boxfold.lineage import cut
 from boxfold.operators import ensemble
 from boxfold.operators import fit as fitting
@@ -32,6 +32,19 @@ def cross_validate(samples: DataFrame, learner: str, candidates: Sequence[dict],
     """(candidate, [by,] accuracy, folds): mean accuracy over the folds; candidates are numbered from 0.
 
     A group holds the samples once per (candidate, fold), ``most_rows`` at most; larger data is tuned in parts ``by``."""
+    def one(params: dict, train: pd.DataFrame, test: pd.DataFrame) -> np.ndarray:
+        boxes = kl.make(learner, **params).fit(fitting.to_samples(train, learner))
+        return kl.predict(boxes, fitting.to_samples(test, learner).marked(), params.get("gamma", 1.0), learner, **_scoring(learner, params))
+
+    return _validate(samples, candidates, k, seed, by, most_rows, one)
+
+
+def _scoring(learner: str, params: Mapping) -> dict:
+    """What scoring a mixed model takes besides its boxes."""
+    return {c: params[c] for c in {"eiol": ("alpha",), "freqcat": ("distance",)}.get(kl.kind_of(learner), ()) if c in params}
+
+
+def _validate(samples: DataFrame, candidates: Sequence[dict], k: int, seed: int, by: Sequence[str], most_rows: int, predict) -> DataFrame:
     folded = prepare.stratified_folds(samples, "sid", "y", k, seed)
     spread = folded.withColumn("candidate", F.explode(F.array(*[F.lit(i) for i in range(len(candidates))]))).withColumn("held", F.explode(F.array(*[F.lit(i) for i in range(k)])))
     keys = [*by, "candidate", "held"]
@@ -40,17 +53,10 @@ def cross_validate(samples: DataFrame, learner: str, candidates: Sequence[dict],
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         if len(pdf) > most_rows:
             raise ValueError(f"{len(pdf)} samples in one fold, {most_rows} at most; tune in parts")
-        params, held = candidates[key[-2]], key[-1]
         pdf = pdf.sort_values(["seq", "sid"], kind="stable")
-        train, test = pdf[pdf["fold"] != held], pdf[pdf["fold"] == held]
-        right, n = 0.0, len(test)
-        if len(train) and n:
-            fold = kl.make(learner, **params)
-            boxes = fold.fit(fitting.to_samples(train, learner))
-            s = fitting.to_samples(test, learner).marked()
-            how = {k: params[k] for k in ("alpha", "distance") if k in params and kl.kind_of(learner) in scoring.MIXED and not (k == "alpha" and learner != "eiol")}
-            right = float((kl.predict(boxes, s, params.get("gamma", 1.0), learner, **how) == s.y).sum())
-        return pd.DataFrame([[*key, right, n]], columns=[*keys, "right", "n"])
+        train, test = pdf[pdf["fold"] != key[-1]], pdf[pdf["fold"] == key[-1]]
+        right = float((predict(candidates[key[-2]], train, test) == test["y"].to_numpy()).sum()) if len(train) and len(test) else 0.0
+        return pd.DataFrame([[*key, right, len(test)]], columns=[*keys, "right", "n"])
 
     schema = ", ".join(f"`{c}` {types[c]}" for c in keys) + ", right double, n bigint"
     runs = fitting.spread(spread, keys).groupBy(*keys).applyInPandas(run, schema).filter("n > 0")
@@ -83,3 +89,30 @@ def tuned_members(drawn: DataFrame, learner: str, candidates: Sequence[dict], k:
         boxes = ensemble.fit_members(drawn.filter(F.col("member_id").isin(own)), learner, part_rows, seed, **candidates[c])
         out = boxes if out is None else out.unionByName(boxes)
     return out
+
+
+def tuned_random_boxes(samples: DataFrame, members: DataFrame, learner: str, candidates: Sequence[dict], max_samples: float = 0.5, k: int = 5, seed: int = 0, part_rows: int | None = None) -> DataFrame:
+    """Tuned members that each have their own features (``members`` has features) and a stratified share of the rows."""
+    drawn = prepare.draw_stratified(prepare.per_member(samples, members), "sid", "y", max_samples, seed=seed)
+    return tuned_members(cut(ensemble.project(drawn, members)), learner, candidates, k, seed, part_rows)
+
+
+def nested(candidate: Mapping, prefix: str = "base_estimator__") -> tuple[dict, dict]:
+    """Parameters of an ensemble, and, from under their prefix, those of its members."""
+    return {k: v for k, v in candidate.items() if not k.startswith(prefix)}, {k.removeprefix(prefix): v for k, v in candidate.items() if k.startswith(prefix)}
+
+
+def cross_validate_ensemble(samples: DataFrame, learner: str, candidates: Sequence[dict], k: int = 5, seed: int = 0, by: Sequence[str] = (), most_rows: int = fitting.MOST_ROWS) -> DataFrame:
+    """(candidate, [by,] accuracy, folds) of bagged votes; a candidate has n_estimators, max_samples and, under base_estimator__, its members' parameters."""
+    def vote(candidate: dict, train: pd.DataFrame, test: pd.DataFrame) -> np.ndarray:
+        own, params = nested(candidate)
+        rng = np.random.default_rng(seed)
+        s, votes = fitting.to_samples(test, learner).marked(), []
+        for _ in range(own.get("n_estimators", 10)):
+            rows = np.sort(rng.permutation(len(train))[: max(1, int(own.get("max_samples", 0.5) * len(train)))])
+            boxes = kl.make(learner, **params).fit(fitting.to_samples(train.iloc[rows], learner))
+            votes.append(kl.predict(boxes, s, params.get("gamma", 1.0), learner, **_scoring(learner, params)))
+        classes = np.unique(votes)
+        return classes[(np.array(votes)[:, :, None] == classes).sum(axis=0).argmax(axis=1)]
+
+    return _validate(samples, candidates, k, seed, by, most_rows, vote)

@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from boxfold.lineage import cut, shared_folder
 from boxfold.operators import fit as fitting
+from boxfold.operators import prepare
 from boxfold.plans import inputs, kernels
+from boxfold.streaming import learner as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -22,6 +25,11 @@ p AS (SELECT sid, min(seq) AS seq, min(CASE WHEN NOT isnan(c0) THEN c0 END) AS x
 base AS ({base}),
 dealt AS (SELECT *, (row_number() OVER (PARTITION BY y ORDER BY seq, sid) - 1) % (SELECT greatest(1, ceil(count(*) / {rows}::DOUBLE))::BIGINT FROM base) AS part FROM base),
 s AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY seq, sid) AS i FROM dealt)"""
+#: Every delivery for itself, in parts by sid.
+DELIVERIES = """
+base AS (SELECT sid, seq, coalesce(c2, -1) AS y, CASE WHEN NOT isnan(c0) THEN c0 END AS x0, CASE WHEN NOT isnan(c1) THEN c1 END AS x1 FROM syn_num_test),
+dealt AS (SELECT *, coalesce(x0, 1.001::DOUBLE) AS l0, coalesce(x1, 1.001::DOUBLE) AS l1, coalesce(x0, -0.001::DOUBLE) AS u0, coalesce(x1, -0.001::DOUBLE) AS u1, sid % (SELECT greatest(1, ceil(count(*) / {rows}::DOUBLE))::BIGINT FROM base) AS part FROM base),
+s AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY seq, sid) AS i FROM dealt)"""
 WHOLE = "SELECT sid, seq, y, greatest(0, least(1, x0)) AS l0, greatest(0, least(1, x1)) AS l1, l0 AS u0, l1 AS u1 FROM p WHERE y > 0 AND x0 IS NOT NULL AND x1 IS NOT NULL"
 EVERY = "SELECT sid, seq, y, coalesce(x0, 1.001::DOUBLE) AS l0, coalesce(x1, 1.001::DOUBLE) AS l1, coalesce(x0, -0.001::DOUBLE) AS u0, coalesce(x1, -0.001::DOUBLE) AS u1 FROM p"
 
@@ -52,7 +60,7 @@ _PUT = """list_transform(boxes, lambda b, k: CASE WHEN k = j THEN {'v0': CASE WH
   'm0': (b.m0 * b.n + (l0 + u0) / 2) / (b.n + 1.0), 'm1': (b.m1 * b.n + (l1 + u1) / 2) / (b.n + 1.0)} ELSE b END)"""
 
 
-def fold_sql(base: str, rows: int, *, own: str, membership: str, decide: str, part: str | None = None, step: dict | None = None, rivals: str = "", split: bool = False) -> str:
+def fold_sql(base: str, rows: int, *, own: str, membership: str, decide: str, part: str | None = None, step: dict | None = None, rivals: str = "", split: bool = False, source: str = _POINTS) -> str:
     """Boxes of all parts.
 
     ``own``: which boxes b may take the sample; ``membership``: of b; ``decide``: from the ranked list ``ranked`` of (m, k, f: first in order of
@@ -78,7 +86,7 @@ def fold_sql(base: str, rows: int, *, own: str, membership: str, decide: str, pa
     SELECT *, boxes[j].v0 AS a0, boxes[j].v1 AS a1, boxes[j].w0 AS b0, boxes[j].w1 AS b1, boxes[pend[1]].v0 AS c0, boxes[pend[1]].v1 AS c1, boxes[pend[1]].w0 AS d0, boxes[pend[1]].w1 AS d1 FROM (
       SELECT f.part, f.i, f.boxes, f.j, f.pend, s.l0, s.l1 FROM fold f JOIN s ON s.part = f.part AND s.i = f.i WHERE len(f.pend) > 0)))
   UNION ALL""" if step else ""
-    return f"""WITH RECURSIVE {_POINTS.format(base=base, rows=rows).strip()},
+    return f"""WITH RECURSIVE {source.format(base=base, rows=rows).strip()},
 fold(part, i, boxes, j, pend) USING KEY (part) AS (
   SELECT DISTINCT part, 0::BIGINT, []::{_BOX}[], NULL::BIGINT, []::BIGINT[] FROM s
   UNION ALL (
@@ -129,14 +137,14 @@ def _rfmnn(theta: float) -> Callable[[str, int], str]:
 _OPEN = "(b.c = y OR b.c = -1 OR y = -1)"
 
 
-def _improved(theta: float, gamma: float = 1.0) -> Callable[[str, int], str]:
+def _improved(theta: float, gamma: float = 1.0, source: str = _POINTS) -> Callable[[str, int], str]:
     g = _GV, _GW
     other = "(o.c <> (CASE WHEN y = -1 THEN boxes[r.k].c ELSE y END) OR o.c = -1) AND NOT (y = -1 AND boxes[r.k].c = -1 AND o.v0 = boxes[r.k].v0 AND o.v1 = boxes[r.k].v1)"
     fits = f"r.m >= {1 - gamma * theta!r} AND {_GW[0]} - {_GV[0]} <= {theta} AND {_GW[1]} - {_GV[1]} <= {theta}"
     free = f"list_filter(list_filter(ranked, lambda r: {fits}), lambda r: list_filter(boxes, lambda o: {other} AND {_meet(*g, 'o')}) = [])[1].k"
     covers = "list_filter(ranked, lambda r: r.m = 1 AND (boxes[r.k].c = y OR boxes[r.k].c = -1))[1].k"
     decide = f"CASE WHEN ranked[1].m = 1 THEN {{'j': {covers}, 'grow': false, 'skip': {covers} IS NULL}} ELSE {{'j': {free}, 'grow': true, 'skip': false}} END"
-    return lambda base, rows: fold_sql(base, rows, own=_OPEN, membership=inputs.gfmm(_L, _U, _LO, _HI, gamma), decide=decide)
+    return lambda base, rows: fold_sql(base, rows, own=_OPEN, membership=inputs.gfmm(_L, _U, _LO, _HI, gamma), decide=decide, source=source)
 
 
 def _online(theta: float) -> Callable[[str, int], str]:
@@ -173,3 +181,82 @@ _learner("fit_iol_gfmm", "improved", _improved(0.1), theta=0.1)
 _learner("fit_semi_supervised", "improved", _improved(0.1, 2.0), theta=0.1, gamma=2.0)
 _learner("fit_inf_gfmm", "inf", _inf(0.3, 0.5), theta=0.3, min_membership_expansion=0.5)
 _learner("fit_online_gfmm_passes", "online", None, missing=False, theta=0.2, theta_min=0.1, alpha=0.7)
+
+
+def fit_continued(spark: SparkSession, d: str) -> DataFrame:
+    """The second half of the samples goes on from the boxes of the first, which gives what one fit of all gives."""
+    s = inputs.whole_samples(spark, d)
+    s = prepare.dealt(s, "y", fitting.parts_for(s, PART_ROWS))
+    middle = s.agg(F.percentile_approx("seq", 0.5).alias("m")).first()["m"] or 0
+    first = cut(fitting.fit(s.filter(F.col("seq") <= middle), "improved", ["partition_id"], theta=0.1))
+    boxes = fitting.fit(s.filter(F.col("seq") > middle), "improved", ["partition_id"], first, theta=0.1)
+    return flat(boxes.withColumn("box_id", F.col("partition_id").cast("bigint") * (1 << 32) + F.col("box_id")))
+
+
+QUERIES["fit_continued"] = fit_continued
+SQL["fit_continued"] = _improved(0.1)(WHOLE, PART_ROWS)
+
+#: Deliveries of one file of the stream.
+STREAM_ROWS = 500_000
+
+
+def stream_iol(spark: SparkSession, d: str) -> DataFrame:
+    """All deliveries as a stream of files in order of arrival, one file a micro-batch; every micro-batch goes on from the boxes before it."""
+    table, folder = inputs.table(spark, d, "syn_num_test"), shared_folder(spark, "stream")
+    n = table.count()
+    slices = max(3, -(-n // STREAM_ROWS))
+    cuts = table.agg(F.percentile_approx("seq", [k / slices for k in range(1, slices)], 10_000).alias("c")).first()["c"] or []
+    for lo, hi in zip([None, *cuts], [*cuts, None]):  # one job per file, written in order
+        part = table if lo is None else table.filter(F.col("seq") > lo)
+        (part if hi is None else part.filter(F.col("seq") <= hi)).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    rows = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    x = F.array(*[F.when(~F.isnan(c), F.col(c)) for c in ("c0", "c1")])
+    parts = max(1, -(-n // PART_ROWS))
+    s = rows.select("sid", "seq", x.alias("xl"), x.alias("xu"), F.coalesce("c2", F.lit(-1)).alias("y"), F.pmod("sid", F.lit(parts)).cast("int").alias("partition_id"))
+    stream.learn_stream(s, f"{folder}/boxes", f"{folder}/progress", by=("partition_id",), theta=0.1).awaitTermination()
+    boxes = stream.latest(spark, f"{folder}/boxes")
+    return flat(boxes.withColumn("box_id", F.col("partition_id").cast("bigint") * (1 << 32) + F.col("box_id")))
+
+
+QUERIES["stream_iol"] = stream_iol
+SQL["stream_iol"] = _improved(0.1, source=DELIVERIES)("", PART_ROWS)
+
+
+def agglomerative2_sql(base: str, rows: int, theta: float, floor: float) -> str:
+    """Box after box looks for its best partner, until a whole pass merges nothing: one step per box looked at."""
+    box = lambda x: ([f"{x}.v0", f"{x}.v1"], [f"{x}.w0", f"{x}.w1"])
+    (v, w), (bv, bw) = box("boxes[k]"), box("b")
+    similar = f"greatest({inputs.gfmm(v, w, bv, bw)}, {inputs.gfmm(bv, bw, v, w)})"
+    uv, uw = [f"least(boxes[k].v{j}, boxes[r.t].v{j})" for j in (0, 1)], [f"greatest(boxes[k].w{j}, boxes[r.t].w{j})" for j in (0, 1)]
+    fits = f"{uw[0]} - {uv[0]} <= {theta} AND {uw[1]} - {uv[1]} <= {theta} AND list_filter(boxes, lambda o: o.c <> boxes[k].c AND {_meet(uv, uw, 'o')}) = []"
+    mean = lambda m: f"(boxes[i].{m} * boxes[i].n + boxes[j].{m} * boxes[j].n) / (boxes[i].n + boxes[j].n)"
+    one = f"{{'v0': least(boxes[i].v0, boxes[j].v0), 'v1': least(boxes[i].v1, boxes[j].v1), 'w0': greatest(boxes[i].w0, boxes[j].w0), 'w1': greatest(boxes[i].w1, boxes[j].w1), 'c': boxes[i].c, 'n': boxes[i].n + boxes[j].n, 'm0': {mean('m0')}, 'm1': {mean('m1')}}}"
+    return f"""WITH RECURSIVE {_POINTS.format(base=base, rows=rows).strip()},
+fold(part, boxes, k, merged) USING KEY (part) AS (
+  SELECT part, list({_NEW} ORDER BY i)::{_BOX}[], 1::BIGINT, false FROM s GROUP BY 1
+  UNION ALL
+  SELECT part, after AS boxes, CASE WHEN again THEN 1 ELSE ahead END AS k, CASE WHEN again THEN false ELSE found END AS merged FROM (
+    SELECT *, ahead > len(after) AND found AS again FROM (
+      SELECT part, merged OR t IS NOT NULL AS found, CASE WHEN t IS NULL OR k < t THEN k + 1 ELSE k END AS ahead,
+             CASE WHEN t IS NULL THEN boxes ELSE list_transform(boxes, lambda b, p: CASE WHEN p = i THEN {one} ELSE b END)[1 : j - 1] || boxes[j + 1 :] END AS after FROM (
+        SELECT *, least(k, t) AS i, greatest(k, t) AS j FROM (
+          SELECT *, list_filter(ranked, lambda r: {fits})[1].t AS t FROM (
+            SELECT *, list_reverse_sort(list_filter(list_transform(boxes, lambda b, p: {{'s': {similar}, 't': p, 'own': b.c = boxes[k].c AND p <> k}}), lambda r: r.own AND r.s >= {floor})) AS ranked FROM fold WHERE k <= len(boxes)))))))
+SELECT part::INT AS partition_id, part * 4294967296 + k AS box_id, b.c AS c, round(b.v0, 9) AS v0, round(b.v1, 9) AS v1, round(b.w0, 9) AS w0, round(b.w1, 9) AS w1, b.n AS n_samples, round(b.m0, 9) AS m0, round(b.m1, 9) AS m1
+FROM (SELECT part, unnest(boxes) AS b, unnest(range(1, len(boxes) + 1)) AS k FROM fold)
+"""
+
+
+# all pairs of a part are compared, so parts are small
+_learner("fit_agglo2", "agglomerative2", lambda base, rows: agglomerative2_sql(base, rows, 0.2, 0.8), rows=500, missing=False, theta=0.2, min_simil=0.8)
+_learner("fit_agglo_sm", "agglomerative", None, rows=150, missing=False, theta=0.2, min_simil=0.8)
+
+
+def fit_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Of every part: rows, boxes and passes."""
+    s = inputs.whole_samples(spark, d)
+    return fitting.fit_summary(prepare.dealt(s, "y", fitting.parts_for(s, PART_ROWS)), "improved", ["partition_id"], theta=0.1).select("partition_id", "n_rows", "n_boxes", "n_passes", (F.col("seconds") >= 0).alias("timed"))
+
+
+QUERIES["fit_summary"] = fit_summary
+SQL["fit_summary"] = SQL["fit_continued"][: SQL["fit_continued"].rindex("SELECT part::INT")] + "SELECT part::INT AS partition_id, i AS n_rows, len(boxes)::BIGINT AS n_boxes, 1 AS n_passes, true AS timed FROM fold"

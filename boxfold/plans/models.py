@@ -8,12 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxfold.lineage import cut, ensure_checkpoint_dir
+from boxfold.lineage import cut
 from boxfold.operators import dictionary, edit, ensemble, granular, prepare, prune, score, tune
 from boxfold.operators import fit as fitting
 from boxfold.plans import inputs
 from boxfold.plans.inputs import HI, LO, L, U, V, W, table, with_
-from boxfold.streaming import learner as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -84,13 +83,12 @@ def prep_category_distance(spark, d):
     return prepare.category_distances(inputs.coded_records(spark, d), ["k0", "k1"], "y").select("feature", "a", "b", F.round("dist", 9).alias("dist"))
 
 
-_CELLS = "floor(least(1.0, greatest(0.0, x0)) * 4) AS g0, floor(least(1.0, greatest(0.0, x1)) * 4) AS g1"
-_GRID = f"g AS (SELECT y AS c, g0, g1, min(x0) AS v0, min(x1) AS v1, max(x0) AS w0, max(x1) AS w1, count(*) AS n FROM (SELECT *, {_CELLS} FROM p WHERE y > 0 AND x0 BETWEEN 0 AND 1 AND x1 BETWEEN 0 AND 1) GROUP BY 1, 2, 3)"
+_GRID = f"g AS (SELECT y AS c, g0, g1, min(x0) AS v0, min(x1) AS v1, max(x0) AS w0, max(x1) AS w1, count(*) AS n FROM (SELECT y, x0, x1, floor(x0 * 4) AS g0, floor(x1 * 4) AS g1 FROM (SELECT y, least(1.0, greatest(0.0, x0)) AS x0, least(1.0, greatest(0.0, x1)) AS x1 FROM p WHERE y > 0 AND x0 IS NOT NULL AND x1 IS NOT NULL)) GROUP BY 1, 2, 3)"
 
 
 def grid_boxes(spark: SparkSession, d: str, cells: int = 4) -> DataFrame:
-    """Boxes without training: extents of each class in each cell of a grid."""
-    p = inputs.points(spark, d).filter("y > 0 AND x0 BETWEEN 0 AND 1 AND x1 BETWEEN 0 AND 1")
+    """Boxes without training: extents of each class in each cell of a grid of the unit square, values outside it set on its border."""
+    p = inputs.whole_samples(spark, d).select("y", F.col("xl")[0].alias("x0"), F.col("xl")[1].alias("x1"))
     cell = [F.floor(F.col(f"x{j}") * cells).alias(f"g{j}") for j in (0, 1)]
     return p.select("y", "x0", "x1", *cell).groupBy(F.col("y").alias("c"), "g0", "g1").agg(*[f(f"x{j}").alias(f"{n}{j}") for n, f in (("v", F.min), ("w", F.max)) for j in (0, 1)], F.count(F.lit(1)).alias("n"))
 
@@ -302,16 +300,30 @@ def _drawn(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return inputs.labelled(spark, d), table(spark, d, "ensemble_member")
 
 
-@query()
+_MEMBERS = "m AS (SELECT member_id FROM ensemble_member), k AS (SELECT y, count(*) AS n FROM s WHERE y > 0 GROUP BY 1)"
+
+
+def _sizes(drawn: DataFrame) -> DataFrame:
+    return drawn.groupBy("member_id", "y").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("sid").alias("records"))
+
+
+@query(with_(inputs.POINTS, _MEMBERS) + "SELECT member_id, y, n, n AS records FROM (SELECT member_id, y, least((SELECT min(n) FROM k), floor((SELECT sum(n) FROM k) * 0.5 / (SELECT count(*) FROM k)))::BIGINT AS n FROM m, k) WHERE n > 0")
 def sample_balanced(spark, d):
+    """Rows and records drawn per member and class."""
     s, m = _drawn(spark, d)
-    return prepare.draw_balanced(prepare.per_member(s, m), "sid", "y", 0.5).select("member_id", "sid", "y")
+    return _sizes(prepare.draw_balanced(prepare.per_member(s, m), "sid", "y", 0.5))
 
 
-@query()
+@query(with_(inputs.POINTS, _MEMBERS) + "SELECT member_id, y, n, n AS records FROM (SELECT member_id, y, floor(n * 0.5 + 0.5)::BIGINT AS n FROM m, k) WHERE n > 0")
 def sample_stratified(spark, d):
     s, m = _drawn(spark, d)
-    return prepare.draw_stratified(prepare.per_member(s, m), "sid", "y", 0.5).select("member_id", "sid", "y")
+    return _sizes(prepare.draw_stratified(prepare.per_member(s, m), "sid", "y", 0.5))
+
+
+@query(with_(inputs.POINTS, _MEMBERS) + "SELECT member_id, n, n AS records FROM m, (SELECT floor(sum(n) * 0.5)::BIGINT AS n FROM k)")
+def sample_rows(spark, d):
+    s, m = _drawn(spark, d)
+    return prepare.draw_rate(prepare.per_member(s, m), "sid", 0.5).groupBy("member_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("sid").alias("records"))
 
 
 @query()
@@ -320,27 +332,13 @@ def sample_bootstrap(spark, d):
     return prepare.draw_rate(prepare.per_member(s, m), "sid", 0.5, bootstrap=True).select("member_id", "sid", "n_samples")
 
 
-@query(with_(inputs.POINTS) + "SELECT y, count(*) AS n, 5::BIGINT AS folds FROM s WHERE y > 0 GROUP BY 1 HAVING count(*) >= 5")
+@query(with_(inputs.POINTS) + "SELECT y, fold, n FROM (SELECT y, fold::INT AS fold, (count(*) - fold + 4) // 5 AS n FROM s, range(5) f(fold) WHERE y > 0 GROUP BY y, fold) WHERE n > 0")
 def stratified_fold_sizes(spark, d):
-    """Rows of each class over five folds; a query of the folds' sizes, which SQL can state."""
-    f = prepare.stratified_folds(inputs.labelled(spark, d), "sid", "y", 5)
-    return f.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("fold").alias("folds")).filter("n >= 5")
-
-
-# Fitting: in parts of bounded size over whole tables ---------------------------------------------------------------
-
+    """Rows of each class in each of five folds."""
+    return prepare.stratified_folds(inputs.labelled(spark, d), "sid", "y", 5).groupBy("y", "fold").agg(F.count(F.lit(1)).alias("n"))
 
-def _fit_query(name: str, learner: str, rows: int = 4_000, unlabelled: bool = True, missing: bool = True, **params) -> None:
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        s = inputs.samples(spark, d) if missing else inputs.whole_samples(spark, d)
-        return fitting.partitioned(s if unlabelled else s.filter("y > 0"), learner, rows, **params)
 
-    run.__name__ = name
-    QUERIES[name] = run
-
-
-_fit_query("fit_agglo_sm", "agglomerative", rows=150, unlabelled=False, missing=False, theta=0.2, min_simil=0.8)
-_fit_query("fit_agglo2", "agglomerative2", rows=500, unlabelled=False, missing=False, theta=0.2, min_simil=0.8)
+# Fitting mixed models: in parts of bounded size over whole tables ----------------------------------------------------
 
 
 def _mixed_samples(spark: SparkSession, d: str, learner: str) -> DataFrame:
@@ -414,17 +412,6 @@ def fit_granular(spark, d):
     return granular.fit(s, (0.1, 0.2, 0.3), n_partitions=fitting.parts_for(s, 4_000))
 
 
-@query()
-def fit_continued(spark, d):
-    """The second half of the deliveries goes on from the boxes of the first."""
-    s = inputs.whole_samples(spark, d)
-    parts = fitting.parts_for(s, 4_000)
-    s = s.withColumn("partition_id", F.pmod(F.xxhash64("sid"), F.lit(parts)).cast("int"))
-    middle = s.agg(F.percentile_approx("seq", 0.5).alias("m")).first()["m"] or 0
-    first = cut(fitting.fit(s.filter(F.col("seq") <= middle), "improved", ["partition_id"], theta=0.1))
-    return fitting.fit(s.filter(F.col("seq") > middle), "improved", ["partition_id"], first, theta=0.1)
-
-
 def _tuning_parts(spark: SparkSession, d: str) -> DataFrame:
     s = inputs.whole_samples(spark, d)
     return s.withColumn("part", F.pmod(F.xxhash64("sid"), F.lit(fitting.parts_for(s, 1_500))).cast("int"))
@@ -437,11 +424,70 @@ def tune_random_search(spark, d):
     return scores.groupBy("candidate").agg(F.round(F.avg("accuracy"), 6).alias("accuracy"), F.sum("folds").alias("folds"))
 
 
+_CANDIDATES = [{"theta": 0.1}, {"theta": 0.2}]
+
+
+def _tuned(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    s, m = _bag_members(spark, d)
+    drawn = cut(ensemble.draw(s, m, MAX_SAMPLES))
+    return s, tune.tuned_members(drawn, "improved", _CANDIDATES, k=3, part_rows=ensemble.PART_ROWS)
+
+
 @query()
 def tune_members(spark, d):
+    return _tuned(spark, d)[1]
+
+
+@query()
+def vote_tuned_members(spark, d):
+    """Majority of members that each use their own best parameters."""
+    s, boxes = _tuned(spark, d)
+    return ensemble.majority(ensemble.member_predictions(s, cut(boxes), 2))
+
+
+@query()
+def merge_tuned_members(spark, d):
+    """One model over the boxes of tuned members."""
+    return ensemble.merge_members(cut(_tuned(spark, d)[1]), "improved", most_boxes=MOST_MERGED, theta=0.2)
+
+
+@query()
+def tune_random_boxes(spark, d):
+    """Majority of tuned members that each have their own features."""
     s, m = _bag_members(spark, d)
-    drawn = cut(ensemble.draw(s, m, MAX_SAMPLES))
-    return tune.tuned_members(drawn, "improved", [{"theta": 0.1}, {"theta": 0.2}], k=3, part_rows=ensemble.PART_ROWS)
+    m = cut(ensemble.draw_features(m.select("member_id"), 2, None, balanced=True))
+    boxes = cut(tune.tuned_random_boxes(s, m, "improved", _CANDIDATES, MAX_SAMPLES, k=3, part_rows=ensemble.PART_ROWS))
+    return ensemble.majority(ensemble.member_predictions(s, boxes, 2, m))
+
+
+@query()
+def tune_ensemble(spark, d):
+    """Search over an ensemble's parameters and its members' own, in parts over the whole table."""
+    space = {"n_estimators": [3, 5], "max_samples": [0.5], "base_estimator__theta": [0.1, 0.2]}
+    scores = tune.cross_validate_ensemble(_tuning_parts(spark, d), "improved", tune.grid(space), k=3, by=["part"])
+    return scores.groupBy("candidate").agg(F.round(F.avg("accuracy"), 6).alias("accuracy"), F.sum("folds").alias("folds"))
+
+
+@query()
+def tune_mixed(spark, d):
+    """Search over a mixed learner's parameters, in parts over the whole table."""
+    s = cut(_mixed_samples(spark, d, "eiol"))
+    s = s.withColumn("part", F.pmod(F.xxhash64("sid"), F.lit(fitting.parts_for(s, 500))).cast("int"))
+    scores = tune.cross_validate(s, "eiol", [{"theta": 0.3, "delta": 0.4}, {"theta": 0.5, "delta": 0.8, "alpha": 0.7}], k=2, by=["part"])
+    return scores.groupBy("candidate").agg(F.round(F.avg("accuracy"), 6).alias("accuracy"), F.sum("folds").alias("folds"))
+
+
+@query()
+def fit_merged(spark, d):
+    """Models of parts, made one."""
+    return granular.merge_parts(cut(fitting.partitioned(inputs.whole_samples(spark, d), "improved", 1_000, theta=0.1)), 0.1)
+
+
+@query()
+def fit_granular_pruned(spark, d):
+    """Levels learnt from first boxes that validation samples have pruned."""
+    s = cut(inputs.whole_samples(spark, d))
+    return granular.fit(s, (0.1, 0.2), n_partitions=fitting.parts_for(s, 4_000), validation=s, d=2)
 
 
 #: Rows of one part of two-fold editing, about; up to so many rows are one part.
@@ -474,27 +520,3 @@ def edit_two_fold_prob(spark, d):
 def edit_leave_one_out(spark, d):
     s = cut(edit.local_parts(inputs.whole_samples(spark, d), LEFT_OUT_ROWS, LEFT_OUT_RIM, 2))
     return edit.leave_one_out(s, "improved", by="part", own="own", n_iters=1, theta=0.1).select("sid", "y")
-
-
-# Streaming ---------------------------------------------------------------------------------------------------------
-
-
-def _folder(spark: SparkSession, name: str) -> str:
-    ensure_checkpoint_dir(spark)
-    root = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return f"{root}/{name}-{random.SystemRandom().getrandbits(48):x}"
-
-
-@query()
-def stream_iol(spark, d):
-    """All deliveries as a stream; every micro-batch goes on from the boxes before it."""
-    source = f"{d}/syn_num_test.parquet"
-    pattern = f"{d}/syn_num_test.parque[t]"  # a stream takes a single file only by a pattern
-    schema = spark.read.parquet(source).schema
-    parts = max(1, -(-spark.read.parquet(source).count() // 4_000))
-    rows = spark.readStream.schema(schema).parquet(pattern).filter("c2 > 0 AND c0 BETWEEN 0 AND 1 AND c1 BETWEEN 0 AND 1")
-    s = rows.select("sid", "seq", F.array("c0", "c1").alias("xl"), F.array("c0", "c1").alias("xu"), F.col("c2").alias("y"), F.pmod(F.xxhash64("sid"), F.lit(parts)).cast("int").alias("partition_id"))
-    folder = _folder(spark, "stream")
-    stream.learn_stream(s, f"{folder}/boxes", f"{folder}/progress", by=("partition_id",), theta=0.1).awaitTermination()
-    return stream.latest(spark, f"{folder}/boxes")
-

@@ -14,10 +14,7 @@ def test_sql_twin(spark, sf, duck, name):
     assert len(ours)
 
 
-FITS = [n for n in catalog.QUERIES if n.startswith("fit_") and n not in ("fit_bagging_vote", "fit_random_boxes", "fit_continued")]
-
-
-@pytest.mark.parametrize("name", ["fit_fmnn", "fit_online_gfmm", "fit_agglo2", "fit_eiol", "fit_onehot", "fit_freqcat", "fit_granular", "stream_iol", "prune_boxes"])
+@pytest.mark.parametrize("name", ["fit_agglo_sm", "fit_online_gfmm_passes", "fit_eiol", "fit_onehot", "fit_freqcat", "fit_granular", "fit_granular_pruned", "fit_merged", "tune_members", "merge_tuned_members"])
 def test_model_queries_give_boxes(spark, sf, name):
     rows = catalog.QUERIES[name](spark, sf).collect()
     assert rows
@@ -25,18 +22,20 @@ def test_model_queries_give_boxes(spark, sf, name):
         assert all(len(r["v"]) == len(r["w"]) == 2 for r in rows)
 
 
-def test_stream_equals_batch(spark, sf):
-    """One micro-batch of all rows learns what a batch fit in the same parts learns."""
-    from pyspark.sql import functions as F
+@pytest.mark.parametrize("name", ["vote_tuned_members", "tune_random_boxes", "fit_random_boxes"])
+def test_votes_of_members(spark, sf, name):
+    """Every whole sample gets one class, most of them their own."""
+    from boxfold.plans import inputs
 
-    from boxfold.operators import fit
+    s = inputs.whole_samples(spark, sf)
+    both = catalog.QUERIES[name](spark, sf).join(s, "sid").selectExpr("count(*) n", "avg(int(y = y_pred)) a").first()
+    assert both["n"] == s.count() and both["a"] > 0.6
 
-    rows = spark.read.parquet(f"{sf}/syn_num_test.parquet").filter("c2 > 0 AND c0 BETWEEN 0 AND 1 AND c1 BETWEEN 0 AND 1")
-    s = rows.select("sid", "seq", F.array("c0", "c1").alias("xl"), F.array("c0", "c1").alias("xu"), F.col("c2").alias("y"), F.lit(0).alias("partition_id"))
-    batch = fit.fit(s, "improved", ["partition_id"], theta=0.1)
-    stream = catalog.QUERIES["stream_iol"](spark, sf)
-    key = lambda r: (r["box_id"], list(r["v"]), list(r["w"]), r["c"], r["n_samples"])
-    assert sorted(map(key, batch.collect())) == sorted(map(key, stream.collect()))
+
+@pytest.mark.parametrize("name", ["tune_random_search", "tune_ensemble", "tune_mixed"])
+def test_searches_score_every_candidate(spark, sf, name):
+    rows = catalog.QUERIES[name](spark, sf).collect()
+    assert len(rows) > 1 and all(0 < r["accuracy"] <= 1 and r["folds"] > 0 for r in rows)
 
 
 @pytest.mark.parametrize("name, fitted", [("fit_bagging_vote", "bag"), ("fit_random_boxes", "random_boxes"), ("fit_model_merge", "bag")])
