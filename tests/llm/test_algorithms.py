@@ -16,8 +16,10 @@ def codes(spark):
     return rows, spark.createDataFrame(rows, "sid bigint, c0 string, c15 int, n int")
 
 
-def test_terms_against_counter(codes, monkeypatch):
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_terms_against_counter(codes, monkeypatch, broadcast):
     rows, df = codes
+    monkeypatch.setattr(terms, "BROADCAST_ROWS", broadcast)
     monkeypatch.setattr(terms, "RANGE", 16)
     got = {(r["field"], r["code"]): (r["occurrences"], r["records"], r["mark"]) for r in terms.term_frequencies(df, ["c0", "c15"], "sid", common_share=0.3).collect()}
     occ, held = Counter(), {}
