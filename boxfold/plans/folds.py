@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boxfold.lineage import cut, shared_folder
@@ -60,16 +60,21 @@ _PUT = """list_transform(boxes, lambda b, k: CASE WHEN k = j THEN {'v0': CASE WH
   'm0': (b.m0 * b.n + (l0 + u0) / 2) / (b.n + 1.0), 'm1': (b.m1 * b.n + (l1 + u1) / 2) / (b.n + 1.0)} ELSE b END)"""
 
 
-def fold_sql(base: str, rows: int, *, own: str, membership: str, decide: str, part: str | None = None, step: dict | None = None, rivals: str = "", split: bool = False, source: str = _POINTS) -> str:
+def fold_sql(base: str, rows: int, *, own: str, membership: str, decide: str, part: str | None = None, step: dict | None = None, rivals: str = "", split: bool = False, source: str = _POINTS, extra: dict[str, tuple[str, str, str]] | None = None, also: tuple[str, ...] = ()) -> str:
     """Boxes of all parts.
 
     ``own``: which boxes b may take the sample; ``membership``: of b; ``decide``: from the ranked list ``ranked`` of (m, k, f: first in order of
     membership then of age) a struct (j: box that takes the sample, grow: whether its corners do, skip: nothing happens); no box: a new one.
+    ``extra``: further fields of a box, each with its type, its value in a new box and in a box b that takes the sample; ``also``: further columns of samples.
     ``part``: (case, feature) in SQL; ``rivals``: boxes b that the box g, just grown, is to be parted from."""
     case, dim = part if part else ("NULL", "NULL")
+    extra = extra or {}
+    made = _NEW[:-1] + "".join(f", '{f}': {new}" for f, (_, new, _) in extra.items()) + "}"
+    taken = _PUT.replace("} ELSE b END)", "".join(f", '{f}': {put}" for f, (_, _, put) in extra.items()) + "} ELSE b END)")
+    box = _BOX[:-1] + "".join(f", {f} {kind}" for f, (kind, _, _) in extra.items()) + ")"
     corners = kernels.corner_sql(step) if step else {}
     fields = lambda side: ", ".join(f"'{f}': {corners[f'{c}{side}_{q}']}" for f, c, q in (("v0", "v", 0), ("v1", "v", 1), ("w0", "w", 0), ("w1", "w", 1)))
-    keep = lambda k: f"'c': boxes[{k}].c, 'n': boxes[{k}].n, 'm0': boxes[{k}].m0, 'm1': boxes[{k}].m1"
+    keep = lambda k: f"'c': boxes[{k}].c, 'n': boxes[{k}].n, 'm0': boxes[{k}].m0, 'm1': boxes[{k}].m1" + "".join(f", '{f}': boxes[{k}].{f}" for f in extra)
     parted = f"list_transform(boxes, lambda b, k: CASE WHEN k = j AND cs IS NOT NULL THEN {{{fields(1)}, {keep('j')}}} WHEN k = pend[1] AND cs IS NOT NULL THEN {{{fields(2)}, {keep('pend[1]')}}} ELSE b END)" if step else "boxes"
     widths = ["least(b.w0 - l0, u0 - b.v0)", "least(b.w1 - l1, u1 - b.v1)"]
     zero = f"({widths[0]} = 0 AND {widths[1]} = 0)"
@@ -79,7 +84,7 @@ def fold_sql(base: str, rows: int, *, own: str, membership: str, decide: str, pa
     shrunk = f"list_transform(boxes, lambda b: CASE WHEN {cut0} THEN {{'v0': b.v0, 'v1': b.v1, 'w0': l0 - 0.001, 'w1': b.w1, 'c': b.c, 'n': b.n, 'm0': b.m0, 'm1': b.m1}} WHEN {cut1} THEN {{'v0': b.v0, 'v1': b.v1, 'w0': b.w0, 'w1': l1 - 0.001, 'c': b.c, 'n': b.n, 'm0': b.m0, 'm1': b.m1}} ELSE b END)"
     low = ["(CASE WHEN d THEN u0 + 0.001 ELSE b.v0 END)", "(CASE WHEN d THEN b.v1 ELSE u1 + 0.001 END)"]
     pieces = f"list_transform(list_filter(boxes, lambda b: {cut0} OR {cut1}), lambda b: {{'v0': {low[0]}, 'v1': {low[1]}, 'w0': b.w0, 'w1': b.w1, 'c': b.c, 'n': b.n, 'm0': ({low[0]} + b.w0) / 2, 'm1': ({low[1]} + b.w1) / 2}})".replace(" d THEN", f" {cut0} THEN")
-    added = f"{shrunk} || [{_NEW}] || {pieces}" if split else f"list_append(boxes, {_NEW})"
+    added = f"{shrunk} || [{made}] || {pieces}" if split else f"list_append(boxes, {made})"
     pending = f"list_filter(range(1, len(after) + 1), lambda k: CASE WHEN skip OR j IS NULL OR NOT grow OR k = j THEN false ELSE {rivals.replace('g.', 'after[j].').replace('b.', 'after[k].')} END)" if rivals else "[]::BIGINT[]"
     busy = f"""
   SELECT part, i, {parted} AS boxes, j, pend[2:] AS pend FROM (SELECT *, {case} AS cs, {dim} AS dim FROM (
@@ -88,24 +93,34 @@ def fold_sql(base: str, rows: int, *, own: str, membership: str, decide: str, pa
   UNION ALL""" if step else ""
     return f"""WITH RECURSIVE {source.format(base=base, rows=rows).strip()},
 fold(part, i, boxes, j, pend) USING KEY (part) AS (
-  SELECT DISTINCT part, 0::BIGINT, []::{_BOX}[], NULL::BIGINT, []::BIGINT[] FROM s
+  SELECT DISTINCT part, 0::BIGINT, []::{box}[], NULL::BIGINT, []::BIGINT[] FROM s
   UNION ALL (
   {busy}
   SELECT part, i, after AS boxes, j, {pending} AS pend FROM (
-    SELECT *, CASE WHEN skip THEN boxes WHEN j IS NULL THEN {added} ELSE {_PUT} END AS after FROM (
+    SELECT *, CASE WHEN skip THEN boxes WHEN j IS NULL THEN {added} ELSE {taken} END AS after FROM (
       SELECT *, coalesce(told.skip, false) AS skip, told.j AS j, coalesce(told.grow, false) AS grow FROM (
         SELECT *, {decide} AS told FROM (
           SELECT *, list_reverse_sort(list_filter(list_transform(boxes, lambda b, k: {{'m': {membership}, 'k': k, 'own': {own}}}), lambda r: r.own)) AS ranked FROM (
-            SELECT f.part, s.i, f.boxes, s.l0, s.l1, s.u0, s.u1, s.y FROM fold f JOIN s ON s.part = f.part AND s.i = f.i + 1 WHERE len(f.pend) = 0)))))))
+            SELECT f.part, s.i, f.boxes, s.l0, s.l1, s.u0, s.u1, s.y{"".join(f", s.{c}" for c in also)} FROM fold f JOIN s ON s.part = f.part AND s.i = f.i + 1 WHERE len(f.pend) = 0)))))))
 SELECT part::INT AS partition_id, part * 4294967296 + k AS box_id, b.c AS c, round(b.v0, 9) AS v0, round(b.v1, 9) AS v1, round(b.w0, 9) AS w0, round(b.w1, 9) AS w1, b.n AS n_samples, round(b.m0, 9) AS m0, round(b.m1, 9) AS m1
 FROM (SELECT part, unnest(boxes) AS b, unnest(range(1, len(boxes) + 1)) AS k FROM fold)
 """
 
 
-def flat(boxes: DataFrame) -> DataFrame:
+_TOLD = """SELECT part::INT AS partition_id, part * 4294967296 + k AS box_id, b.c AS c, round(b.v0, 9) AS v0, round(b.v1, 9) AS v1, round(b.w0, 9) AS w0, round(b.w1, 9) AS w1, b.n AS n_samples, round(b.m0, 9) AS m0, round(b.m1, 9) AS m1{more}
+FROM (SELECT part, unnest(boxes) AS b, unnest(range(1, len(boxes) + 1)) AS k FROM fold)
+"""
+
+
+def told(sql: str, more: str = "") -> str:
+    """``fold_sql`` with further columns of its boxes b."""
+    return sql[: sql.rindex("SELECT part::INT")] + _TOLD.format(more=more)
+
+
+def flat(boxes: DataFrame, *more: Column) -> DataFrame:
     """Boxes of two features as plain columns."""
     two = [F.round(F.get(c, F.lit(j)), 9).alias(f"{n}{j}") for c, n in (("v", "v"), ("w", "w"), ("centroid", "m")) for j in (0, 1)]
-    return boxes.select("partition_id", "box_id", "c", "n_samples", *two)
+    return boxes.select("partition_id", "box_id", "c", "n_samples", *two, *more)
 
 
 def _learner(name: str, learner: str, sql: Callable[[str, int], str] | None, rows: int = PART_ROWS, unlabelled: bool = True, missing: bool = True, **params) -> None:
@@ -147,10 +162,11 @@ def _improved(theta: float, gamma: float = 1.0, source: str = _POINTS) -> Callab
     return lambda base, rows: fold_sql(base, rows, own=_OPEN, membership=inputs.gfmm(_L, _U, _LO, _HI, gamma), decide=decide, source=source)
 
 
-def _online(theta: float) -> Callable[[str, int], str]:
-    fits = f"r.m >= {1 - theta!r} AND {_GW[0]} - {_GV[0]} <= {theta} AND {_GW[1]} - {_GV[1]} <= {theta}"
+def _online(theta: float | str, **how) -> Callable[[str, int], str]:
+    least = f"1 - {theta}" if isinstance(theta, str) else repr(1 - theta)
+    fits = f"r.m >= {least} AND {_GW[0]} - {_GV[0]} <= {theta} AND {_GW[1]} - {_GV[1]} <= {theta}"
     decide = f"{{'j': list_filter(ranked, lambda r: {fits})[1].k, 'grow': true, 'skip': coalesce(ranked[1].m = 1 AND (boxes[ranked[1].k].c = y OR y = -1), false)}}"
-    return lambda base, rows: fold_sql(base, rows, own=_OPEN, membership=inputs.gfmm(_L, _U, _LO, _HI), decide=decide, part=_gfmm_part(2.0), step=kernels.GFMM_STEP, rivals=_rivals(_meet(["g.v0", "g.v1"], ["g.w0", "g.w1"], "b")))
+    return lambda base, rows: fold_sql(base, rows, own=_OPEN, membership=inputs.gfmm(_L, _U, _LO, _HI), decide=decide, part=_gfmm_part(2.0), step=kernels.GFMM_STEP, rivals=_rivals(_meet(["g.v0", "g.v1"], ["g.w0", "g.w1"], "b")), **how)
 
 
 def _rivals(meet: str) -> str:
@@ -180,7 +196,9 @@ _learner("fit_online_gfmm", "online", _online(0.1), theta=0.1, theta_min=0.1)
 _learner("fit_iol_gfmm", "improved", _improved(0.1), theta=0.1)
 _learner("fit_semi_supervised", "improved", _improved(0.1, 2.0), theta=0.1, gamma=2.0)
 _learner("fit_inf_gfmm", "inf", _inf(0.3, 0.5), theta=0.3, min_membership_expansion=0.5)
-_learner("fit_online_gfmm_passes", "online", None, missing=False, theta=0.2, theta_min=0.1, alpha=0.7)
+# two passes, the second with a smaller theta; a third would be under theta_min
+_TWICE = _POINTS[: _POINTS.rindex("s AS (")] + "s AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY theta DESC, seq, sid) AS i FROM dealt, (VALUES (0.2::DOUBLE), (0.2::DOUBLE * 0.7::DOUBLE)) t(theta))"
+_learner("fit_online_gfmm_passes", "online", _online("theta", source=_TWICE, also=("theta",)), missing=False, theta=0.2, theta_min=0.1, alpha=0.7)
 
 
 def fit_continued(spark: SparkSession, d: str) -> DataFrame:
@@ -247,9 +265,32 @@ FROM (SELECT part, unnest(boxes) AS b, unnest(range(1, len(boxes) + 1)) AS k FRO
 """
 
 
+def agglomerative_sql(base: str, rows: int, theta: float, floor: float) -> str:
+    """Rounds of merges of the most similar pairs: one step per merge, or per new round, in which all pairs are ranked again."""
+    box = lambda x: ([f"{x}.v0", f"{x}.v1"], [f"{x}.w0", f"{x}.w1"])
+    (pv, pw), (qv, qw) = box("boxes[p]"), box("boxes[q]")
+    similar = f"greatest({inputs.gfmm(pv, pw, qv, qw)}, {inputs.gfmm(qv, qw, pv, pw)})"
+    uv, uw = [f"least(boxes[r.p].v{j}, boxes[r.q].v{j})" for j in (0, 1)], [f"greatest(boxes[r.p].w{j}, boxes[r.q].w{j})" for j in (0, 1)]
+    fits = f"{uw[0]} - {uv[0]} <= {theta} AND {uw[1]} - {uv[1]} <= {theta} AND list_filter(boxes, lambda o: o.c <> boxes[r.p].c AND {_meet(uv, uw, 'o')}) = []"
+    mean = lambda m: f"(boxes[i].{m} * boxes[i].n + boxes[j].{m} * boxes[j].n) / (boxes[i].n + boxes[j].n)"
+    one = f"{{'v0': least(boxes[i].v0, boxes[j].v0), 'v1': least(boxes[i].v1, boxes[j].v1), 'w0': greatest(boxes[i].w0, boxes[j].w0), 'w1': greatest(boxes[i].w1, boxes[j].w1), 'c': boxes[i].c, 'n': boxes[i].n + boxes[j].n, 'm0': {mean('m0')}, 'm1': {mean('m1')}}}"
+    every = f"flatten(list_transform(range(1, len(boxes) + 1), lambda p: list_transform(range(p + 1, len(boxes) + 1), lambda q: {{'s': CASE WHEN boxes[p].c = boxes[q].c THEN {similar} ELSE -1 END, 'p': p, 'q': q}})))"
+    after = "list_transform(list_filter(pairs, lambda r: r.s >= hit.s AND (r.s, r.p, r.q) < (hit.s, hit.p, hit.q) AND r.p <> hit.p AND r.p <> hit.q AND r.q <> hit.p AND r.q <> hit.q), lambda r: {'s': r.s, 'p': r.p - (r.p > hit.q)::BIGINT, 'q': r.q - (r.q > hit.q)::BIGINT})"
+    return f"""WITH RECURSIVE {_POINTS.format(base=base, rows=rows).strip()},
+fold(part, boxes, pairs, merged, fresh) USING KEY (part) AS (
+  SELECT part, list({_NEW} ORDER BY i)::{_BOX}[], []::STRUCT(s DOUBLE, p BIGINT, q BIGINT)[], false, true FROM s GROUP BY 1
+  UNION ALL (
+  SELECT part, boxes, list_reverse_sort(list_filter({every}, lambda r: r.s >= {floor} AND r.s > 0)) AS pairs, false AS merged, false AS fresh FROM fold WHERE fresh
+  UNION ALL
+  SELECT part, CASE WHEN hit IS NULL THEN boxes ELSE list_transform(boxes, lambda b, k: CASE WHEN k = i THEN {one} ELSE b END)[1 : j - 1] || boxes[j + 1 :] END AS boxes,
+         CASE WHEN hit IS NULL THEN [] ELSE {after} END AS pairs, hit IS NOT NULL OR merged AS merged, hit IS NULL AND merged AS fresh FROM (
+    SELECT *, hit.p AS i, hit.q AS j FROM (SELECT *, list_filter(pairs, lambda r: {fits})[1] AS hit FROM fold WHERE NOT fresh)) WHERE hit IS NOT NULL OR merged))
+{_TOLD.format(more="")}"""
+
+
 # all pairs of a part are compared, so parts are small
 _learner("fit_agglo2", "agglomerative2", lambda base, rows: agglomerative2_sql(base, rows, 0.2, 0.8), rows=500, missing=False, theta=0.2, min_simil=0.8)
-_learner("fit_agglo_sm", "agglomerative", None, rows=150, missing=False, theta=0.2, min_simil=0.8)
+_learner("fit_agglo_sm", "agglomerative", lambda base, rows: agglomerative_sql(base, rows, 0.2, 0.8), rows=150, missing=False, theta=0.2, min_simil=0.8)
 
 
 def fit_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -260,3 +301,51 @@ def fit_summary(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES["fit_summary"] = fit_summary
 SQL["fit_summary"] = SQL["fit_continued"][: SQL["fit_continued"].rindex("SELECT part::INT")] + "SELECT part::INT AS partition_id, i AS n_rows, len(boxes)::BIGINT AS n_boxes, 1 AS n_passes, true AS timed FROM fold"
+
+
+# Mixed learners ----------------------------------------------------------------------------------------------------
+
+_MIXED = f"""{inputs.CODES.strip().split("mb AS (")[0].rstrip().rstrip(",")},
+base AS (SELECT c.sid, c.y, coalesce(x0, 1.001::DOUBLE) AS l0, coalesce(x1, 1.001::DOUBLE) AS l1, coalesce(x0, -0.001::DOUBLE) AS u0, coalesce(x1, -0.001::DOUBLE) AS u1, q.seq, CASE WHEN k0 IS NULL THEN 0 ELSE 1::BIGINT << k0 END AS bit0, CASE WHEN k1 IS NULL THEN 0 ELSE 1::BIGINT << k1 END AS bit1,
+         coalesce(c4, '100000') AS cat0, coalesce(c6, '100000') AS cat1 FROM coded c JOIN (SELECT sid, min(seq) AS seq, min(c4) AS c4, min(c6) AS c6 FROM japanese_credit GROUP BY 1) q ON q.sid = c.sid),
+dealt AS (SELECT *, (row_number() OVER (PARTITION BY y ORDER BY seq, sid) - 1) % (SELECT greatest(1, ceil(count(*) / {{rows}}::DOUBLE))::BIGINT FROM base) AS part FROM base),
+s AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY seq, sid) AS i FROM dealt)"""
+MIXED_ROWS = 1_000
+
+
+def _onehot_sql(theta: float) -> str:
+    shared = "((CASE WHEN bit0 & b.b0 <> 0 THEN 1.0::DOUBLE ELSE 0 END) + (CASE WHEN bit1 & b.b1 <> 0 THEN 1.0::DOUBLE ELSE 0 END)) / 2"
+    joins = "(bit0 & boxes[r.k].b0 <> 0 OR bit1 & boxes[r.k].b1 <> 0)"
+    fits = f"{_GW[0]} - {_GV[0]} <= {theta} AND {_GW[1]} - {_GV[1]} <= {theta} AND {joins}"
+    decide = f"{{'j': list_filter(ranked, lambda r: {fits})[1].k, 'grow': true, 'skip': coalesce(ranked[1].m = 1 AND (boxes[ranked[1].k].c = y OR y = -1), false)}}"
+    extra = {f"b{j}": ("BIGINT", f"bit{j}", f"b.b{j} | bit{j}") for j in (0, 1)}
+    sql = fold_sql("", MIXED_ROWS, own=_OPEN, membership=f"({inputs.gfmm(_L, _U, _LO, _HI)} + {shared}) / 2", decide=decide, part=_gfmm_part(2.0), step=kernels.GFMM_STEP, rivals=_rivals(_meet(["g.v0", "g.v1"], ["g.w0", "g.w1"], "b")), source=_MIXED, extra=extra, also=("bit0", "bit1"))
+    return told(sql, ", b.b0 AS bits0, b.b1 AS bits1")
+
+
+def _eiol_sql(theta: float, delta: float, alpha: float = 0.5) -> str:
+    count = lambda h, x: f"coalesce({h}[{x}], 0)"
+    fit = f"({count('b.h0', 'cat0')} + {count('b.h1', 'cat1')})::DOUBLE / b.n / 2"
+    grown = lambda h, x: f"(CASE WHEN {h}[{x}] IS NULL THEN map_concat({h}, MAP([{x}], [1::BIGINT])) ELSE map_concat({h}, MAP([{x}], [{h}[{x}] + 1])) END)"
+    bits = lambda h: f"list_sum(list_transform(map_values({h}), lambda c: -(c / list_sum(map_values({h}))::DOUBLE) * log2(c / list_sum(map_values({h}))::DOUBLE)))"
+    even = " AND ".join(f"{bits(grown(f'boxes[r.k].h{j}', f'cat{j}'))} - boxes[r.k].n / (boxes[r.k].n + 1) * {bits(f'boxes[r.k].h{j}')} <= {delta}" for j in (0, 1))
+    same = lambda j: f"list_filter(map_keys(o.h{j}), lambda x: coalesce(o.h{j}[x] / o.n = ({grown(f'boxes[r.k].h{j}', f'cat{j}')})[x] / (boxes[r.k].n + 1), false)) <> []"
+    other = "(o.c <> (CASE WHEN y = -1 THEN boxes[r.k].c ELSE y END) OR o.c = -1) AND NOT (y = -1 AND boxes[r.k].c = -1 AND o.v0 = boxes[r.k].v0 AND o.v1 = boxes[r.k].v1)"
+    fits = f"{_GW[0]} - {_GV[0]} <= {theta} AND {_GW[1]} - {_GV[1]} <= {theta}"
+    free = f"list_filter(list_filter(list_filter(ranked, lambda r: {fits}), lambda r: {even}), lambda r: list_filter(boxes, lambda o: {other} AND {_meet(_GV, _GW, 'o')} AND {same(0)} AND {same(1)}) = [])[1].k"
+    covers = "list_filter(ranked, lambda r: r.m = 1 AND boxes[r.k].c = y)[1].k"
+    decide = f"CASE WHEN ranked[1].m = 1 THEN {{'j': {covers}, 'grow': false, 'skip': {covers} IS NULL}} ELSE {{'j': {free}, 'grow': true, 'skip': false}} END"
+    extra = {f"h{j}": ("MAP(VARCHAR, BIGINT)", f"MAP([cat{j}], [1::BIGINT])", grown(f"b.h{j}", f"cat{j}")) for j in (0, 1)}
+    sql = fold_sql("", MIXED_ROWS, own=_OPEN, membership=f"{alpha}::DOUBLE * {inputs.gfmm(_L, _U, _LO, _HI)} + {1 - alpha}::DOUBLE * ({fit})", decide=decide, source=_MIXED, extra=extra, also=("cat0", "cat1"))
+    return told(sql, ", len(map_keys(b.h0)) AS values0, len(map_keys(b.h1)) AS values1")
+
+
+def _mixed(name: str, kind: str, more: Callable[[], list[Column]], sql: str, **params) -> None:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return flat(fitting.partitioned(cut(inputs.mixed_training(spark, d, kind)), kind, MIXED_ROWS, **params), *more())
+
+    QUERIES[name], SQL[name] = run, sql
+
+
+_mixed("fit_onehot", "onehot", lambda: [F.get("bits", F.lit(j)).alias(f"bits{j}") for j in (0, 1)], _onehot_sql(0.3), theta=0.3, theta_min=0.3)
+_mixed("fit_eiol", "eiol", lambda: [F.size(F.get("hist", F.lit(j))).cast("bigint").alias(f"values{j}") for j in (0, 1)], _eiol_sql(0.3, 0.4), theta=0.3, delta=0.4)

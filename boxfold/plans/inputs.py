@@ -97,6 +97,17 @@ def mixed_samples(spark: SparkSession, d: str, kind: str) -> DataFrame:
     return mixed_records(spark, d).select("sid", x.alias("xl"), x.alias("xu"), "y", cat.alias("cat"))
 
 
+def mixed_training(spark: SparkSession, d: str, learner: str) -> DataFrame:
+    """(sid, seq, xl, xu, y, cat): credit records with c2 and c7 scaled and c4, c6 as the learner takes them (values, bits or codes)."""
+    t = table(spark, d, "japanese_credit").groupBy("sid").agg(F.min("seq").alias("seq"), *[F.first(c).alias(c) for c in ("c2", "c7", "c4", "c6", "c15")])
+    t = prepare.scale_unit(t, ["c2", "c7"])
+    if learner != "eiol":
+        words = dictionary.build(table(spark, d, "japanese_credit").select("c4", "c6"), ["c4", "c6"])
+        t = (dictionary.one_hot if learner == "onehot" else dictionary.encode)(t, ["c4", "c6"], words)
+    x = F.array("c2", "c7")
+    return t.select("sid", "seq", x.alias("xl"), x.alias("xu"), F.coalesce("c15", F.lit(-1)).alias("y"), F.array("c4", "c6").alias("cat"))
+
+
 def gaps(spark: SparkSession, d: str, features: int = 2, most: int = 1_000_000) -> list[dict]:
     """The stated table of category distances, per feature {(a, b): distance}."""
     rows = table(spark, d, "cat_dist").filter("a IS NOT NULL AND b IS NOT NULL AND dist IS NOT NULL").select("feature", "a", "b", "dist").limit(most + 1).collect()

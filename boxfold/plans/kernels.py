@@ -1,6 +1,6 @@
 """Queries of the scalar operators: memberships, distances, overlaps, contractions - over records with all boxes of a model, and pairs of boxes.
 
-Over records they tell, of all boxes, the greatest value, the first box that has it, and the mean."""
+Over records they tell, of all boxes, the greatest value, the first box that has it, and their sum in millionths."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boxfold.functions import contract, distance, membership, overlap
-from boxfold.operators import prune, score
+from boxfold.operators import prepare, prune, score
 from boxfold.plans import inputs
 from boxfold.plans.inputs import A1, A2, B1, B2, HI, LO, L, U, V, W, with_
 
@@ -21,12 +21,12 @@ GAINS = [1.5, 0.5]
 
 def _told(rows: DataFrame, value: Column, by: tuple[str, ...] = ("sid",)) -> DataFrame:
     values = rows.select(*by, "box_id", F.round(value, 9).alias("value")).filter("value IS NOT NULL")
-    return values.groupBy(*by).agg(F.max("value").alias("value"), F.max_by("box_id", F.struct("value", -F.col("box_id"))).alias("box_id"), F.round(F.avg(F.when(F.col("value") < distance.NO_DISTANCE, F.col("value"))), 6).alias("mean"))
+    return values.groupBy(*by).agg(F.max("value").alias("value"), F.max_by("box_id", F.struct("value", -F.col("box_id"))).alias("box_id"), F.sum(F.when(F.col("value") < distance.NO_DISTANCE, F.round(F.col("value") * 1e6).cast("bigint"))).alias("millionths"))
 
 
 def _told_sql(value: str, source: str, where: str | None = None, by: str = "sid", names: str = "sid") -> str:
     inner = f"SELECT {names}, box_id, round({value}, 9) AS value FROM {source}" + (f" WHERE {where}" if where else "")
-    return f"SELECT {by}, max(value) AS value, arg_max(box_id, (value, -box_id)) AS box_id, round(avg(value) FILTER (value < {distance.NO_DISTANCE}), 6) AS mean FROM ({inner}) WHERE value IS NOT NULL GROUP BY {by}"
+    return f"SELECT {by}, max(value) AS value, arg_max(box_id, (value, -box_id)) AS box_id, (sum(round(value * 1e6)::BIGINT) FILTER (value < {distance.NO_DISTANCE}))::BIGINT AS millionths FROM ({inner}) WHERE value IS NOT NULL GROUP BY {by}"
 
 
 def _on_records(name: str, value: Callable[[], Column], sql: str, where: str | None = None) -> None:
@@ -286,6 +286,19 @@ _HIST = f"coalesce(hist[1][c0], 0)::DOUBLE / {_TOTAL}"
 _NUMBER = inputs.gfmm(L, U, LO, HI)
 
 
+def entropy_increase(spark: SparkSession, d: str) -> DataFrame:
+    """Growth of each box's entropy by a record's value: worked out once per value and box, then told to the records."""
+    records = inputs.mixed_records(spark, d).select("sid", "c0").filter("c0 IS NOT NULL")
+    b = inputs.boxes(spark, d, "mixed_bag").filter("hist IS NOT NULL").select("member_id", "box_id", "hist")
+    rows = prepare.per_member(records.select("c0").distinct(), b).join(F.broadcast(b), "member_id")  # one stated model
+    now = F.get("hist", F.lit(0))
+    grown = F.map_zip_with(now, F.create_map(F.col("c0"), F.lit(1).cast("bigint")), lambda k, a, x: F.coalesce(a, F.lit(0)) + F.coalesce(x, F.lit(0)))
+    return records.join(_told(rows, distance.entropy_growth(grown, now), ("c0",)), "c0").drop("c0")
+
+
+QUERIES["entropy_increase"] = entropy_increase
+
+
 def _categories() -> None:
     coded = "k0 IS NOT NULL AND k1 IS NOT NULL AND bits IS NOT NULL"
     _on_mixed("membership_bits", lambda: membership.shares_bits(_bits(), membership.elements("bits", 2)), _SHARED, coded)
@@ -300,8 +313,6 @@ def _categories() -> None:
     two = lambda: [F.create_map(F.col("c0"), F.lit(2).cast("bigint"), F.lit("z"), F.col("box_id")), F.create_map(F.col("c0"), F.lit(3).cast("bigint"))]  # noqa: E731  shares are of the first feature's total
     _on_mixed("membership_histogram_two", lambda: membership.histogram_fit([F.col("c0"), F.col("c0")], two()), "(2::DOUBLE / (2 + box_id) + 3::DOUBLE / (2 + box_id)) / 2", counted + " AND c0 <> 'z'")
     _on_mixed("bit_features", lambda: membership.bit_features(membership.elements("bits", 2)).cast("double"), "(CASE WHEN bits[1] <> 0 THEN 1 ELSE 0 END + CASE WHEN bits[2] <> 0 THEN 1 ELSE 0 END)::DOUBLE", coded)
-    grown = lambda: F.map_zip_with(F.get("hist", F.lit(0)), F.create_map(F.col("c0"), F.lit(1).cast("bigint")), lambda k, a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))
-    _on_mixed("entropy_increase", lambda: distance.entropy_growth(grown(), F.get("hist", F.lit(0))), "0", counted)
     bits = lambda counts: f"list_sum(list_transform({counts}, lambda x: CASE WHEN x > 0 THEN -(x / list_sum({counts})::DOUBLE) * log2(x / list_sum({counts})::DOUBLE) ELSE 0 END))"
     now = "map_values(hist[1])"
     after = f"(CASE WHEN list_contains(map_keys(hist[1]), c0) THEN list_transform(map_entries(hist[1]), lambda t: CASE WHEN t.key = c0 THEN t.value + 1 ELSE t.value END) ELSE list_append({now}, 1) END)"

@@ -341,33 +341,9 @@ def stratified_fold_sizes(spark, d):
 # Fitting mixed models: in parts of bounded size over whole tables ----------------------------------------------------
 
 
-def _mixed_samples(spark: SparkSession, d: str, learner: str) -> DataFrame:
-    """Credit records with numbers scaled to [0, 1] and c4, c6 (values, bits or codes)."""
-    t = table(spark, d, "japanese_credit").groupBy("sid").agg(F.min("seq").alias("seq"), *[F.first(c).alias(c) for c in ("c2", "c7", "c4", "c6", "c15")])
-    t = prepare.scale_unit(t, ["c2", "c7"])
-    if learner == "eiol":
-        cat = t.withColumn("cat", F.array("c4", "c6"))
-    else:
-        words = dictionary.build(table(spark, d, "japanese_credit").select("c4", "c6"), ["c4", "c6"])
-        coded = dictionary.one_hot(t, ["c4", "c6"], words) if learner == "onehot" else dictionary.encode(t, ["c4", "c6"], words)
-        cat = coded.withColumn("cat", F.array("c4", "c6"))
-    x = F.array("c2", "c7")
-    return cat.select("sid", "seq", x.alias("xl"), x.alias("xu"), F.when(F.col("c15") > 0, F.col("c15")).otherwise(F.coalesce("c15", F.lit(-1))).alias("y"), "cat")
-
-
-@query()
-def fit_eiol(spark, d):
-    return fitting.partitioned(_mixed_samples(spark, d, "eiol"), "eiol", 1_000, theta=0.3, delta=0.4)
-
-
-@query()
-def fit_onehot(spark, d):
-    return fitting.partitioned(_mixed_samples(spark, d, "onehot"), "onehot", 1_000, theta=0.3, theta_min=0.3)
-
-
 @query()
 def fit_freqcat(spark, d):
-    s = _mixed_samples(spark, d, "freqcat")
+    s = inputs.mixed_training(spark, d, "freqcat")
     gaps: list[dict] = [{}, {}]
     for r in prepare.category_distances(s.select("y", F.col("cat")[0].alias("k0"), F.col("cat")[1].alias("k1")), ["k0", "k1"], "y").collect():  # pairs of codes of two features
         gaps[r["feature"]][r["a"], r["b"]] = r["dist"]
@@ -471,7 +447,7 @@ def tune_ensemble(spark, d):
 @query()
 def tune_mixed(spark, d):
     """Search over a mixed learner's parameters, in parts over the whole table."""
-    s = cut(_mixed_samples(spark, d, "eiol"))
+    s = cut(inputs.mixed_training(spark, d, "eiol"))
     s = s.withColumn("part", F.pmod(F.xxhash64("sid"), F.lit(fitting.parts_for(s, 500))).cast("int"))
     scores = tune.cross_validate(s, "eiol", [{"theta": 0.3, "delta": 0.4}, {"theta": 0.5, "delta": 0.8, "alpha": 0.7}], k=2, by=["part"])
     return scores.groupBy("candidate").agg(F.round(F.avg("accuracy"), 6).alias("accuracy"), F.sum("folds").alias("folds"))
