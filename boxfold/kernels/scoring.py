@@ -8,7 +8,7 @@ by categories alone; then boxes of equal membership are at equal distance, and t
 from __future__ import annotations
 
 import random
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -82,6 +82,68 @@ class Model:
         return np.where(codes[at] == x, at, len(codes)) if len(codes) else np.zeros(len(x), np.int64)
 
 
+    def take(self, rows: np.ndarray) -> Model:
+        """Some of the boxes, in their order (no histograms)."""
+        out = object.__new__(Model)
+        out.__dict__.update(self.__dict__)
+        for name in ("ids", "v", "w", "c", "n", "centroid", "lacks", "lo", "hi", "middle"):
+            setattr(out, name, getattr(self, name)[rows])
+        if self.bits is not None:
+            out.bits = self.bits[rows]
+        if self.slots is not None:
+            out.slots = self.slots[0][rows], self.slots[1][rows]
+        return out
+
+    def within(self, rho: float, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Boxes that may have a membership of 1 - rho at least for samples whose lower bounds are up to ``low`` and upper bounds from ``high`` on."""
+        share = {"onehot": 2.0, "fmnn": 2.0 * self.v.shape[1]}.get(self.kind, 1.0) * rho * (1 + 1e-9) + 1e-12
+        met = np.ones(len(self.c), bool)
+        for j, g in enumerate(self.g):
+            if share >= (min(1.0, g) if self.kind == "fmnn" else 1.0):  # a side no longer matters
+                continue
+            reach = share * g * (self.hi[:, j] - self.lo[:, j] + 1.0) if self.kind == "free" else share / max(g, 1e-300)
+            met &= (self.lo[:, j] - reach <= low[j]) & (self.hi[:, j] + reach >= high[j])
+        return np.flatnonzero(met)
+
+
+#: Samples of one neighbourhood, and cells up to which all boxes are compared at once.
+NEAR_ROWS, ALL_CELLS = 256, 400_000
+
+
+def tops(m: Model, xl: np.ndarray, xu: np.ndarray, cat: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, Model, np.ndarray]]:
+    """(rows, boxes, memberships): every sample in one of the parts, with boxes among which are all that have its greatest membership.
+
+    Samples are walked by neighbourhoods.  A neighbourhood looks at the boxes near it first; a sample whose best box is nearer than
+    any that was passed over is done, the others look farther.  This is exact, and spares most of the (samples x boxes) tile."""
+    n, k = len(xl), len(m.c)
+    if n * k <= ALL_CELLS or not xl.shape[1] or m.kind == "eiol":
+        step = max(1, 1_000_000 // max(1, k))
+        for at in range(0, n, step):
+            rows = np.arange(at, min(n, at + step))
+            yield rows, m, tile_membership(m, xl[rows], xu[rows], None if cat is None else cat[rows])
+        return
+    lacks = (xl == MISSING_LOW) | (xu == MISSING_HIGH)
+    strip = np.clip(np.floor((xl[:, 0] + xu[:, 0]) / 2 * max(1.0, np.sqrt(n / NEAR_ROWS))), -1e15, 1e15)
+    order = np.lexsort((xl[:, min(1, xl.shape[1] - 1)], strip, *lacks.T))
+    for at in range(0, n, NEAR_ROWS):
+        rows, rho = order[at : at + NEAR_ROWS], 0.01
+        while len(rows):
+            near = m.within(rho, xl[rows].max(axis=0), xu[rows].min(axis=0)) if rho < 1 else np.arange(k)
+            if len(near):
+                some = m.take(near) if len(near) < k else m
+                step = max(1, 1_000_000 // len(near))
+                left = []
+                for q in range(0, len(rows), step):
+                    part = rows[q : q + step]
+                    b = tile_membership(some, xl[part], xu[part], None if cat is None else cat[part])
+                    sure = b.max(axis=1) >= 1 - rho if rho < 1 else np.ones(len(part), bool)
+                    if sure.any():
+                        yield part[sure], some, b[sure]
+                    left.append(part[~sure])
+                rows = np.concatenate(left)
+            rho = rho * 4 if len(near) < k else 1.0
+
+
 def numeric_tile(m: Model, xl: np.ndarray, xu: np.ndarray) -> np.ndarray:
     if m.kind == "fmnn":
         total = np.zeros((len(xl), len(m.c)))
@@ -234,24 +296,30 @@ def combine(a: list[np.ndarray], b: list[np.ndarray]) -> list[np.ndarray]:
 def speakers(m: Model, xl: np.ndarray, xu: np.ndarray, cat: np.ndarray | None = None) -> np.ndarray:
     """Ids of the boxes that samples count for: the nearest of those of greatest membership, or by the weight of samples."""
     out = np.empty(len(xl), np.int64)
-    step = max(1, 1_000_000 // max(1, len(m.c)))
-    for k in range(0, len(xl), step):
-        lo, hi = xl[k : k + step], xu[k : k + step]
-        b = tile_membership(m, lo, hi, None if cat is None else cat[k : k + step])
-        out[k : k + step] = m.ids[most_likely(m, b)] if m.rule == "probability" else evidence(m, b, lo, hi, True)[7]
+    for rows, some, b in tops(m, xl, xu, cat):
+        out[rows] = some.ids[most_likely(some, b)] if m.rule == "probability" else evidence(some, b, xl[rows], xu[rows], True)[7]
     return out
 
 
 def winners(m: Model, xl: np.ndarray, xu: np.ndarray, cat: np.ndarray | None = None) -> np.ndarray:
-    """Predicted classes by one block, tile by tile; rule ``probability`` goes by the weight of samples."""
+    """Predicted classes by one block; rule ``probability`` goes by the weight of samples."""
     out = np.empty(len(xl), np.int64)
-    step = max(1, 1_000_000 // max(1, len(m.c)))
-    for k in range(0, len(xl), step):
-        lo, hi = xl[k : k + step], xu[k : k + step]
-        b = tile_membership(m, lo, hi, None if cat is None else cat[k : k + step])
+    for rows, some, b in tops(m, xl, xu, cat):
         if m.rule == "probability":
-            out[k : k + step] = m.c[most_likely(m, b)]
+            out[rows] = some.c[most_likely(some, b)]
         else:
-            _, low, high, _, first, _, _, _, near = evidence(m, b, lo, hi, False)
-            out[k : k + step] = np.where(low == high, first, near)
+            _, low, high, _, first, _, _, _, near = evidence(some, b, xl[rows], xu[rows], False)
+            out[rows] = np.where(low == high, first, near)
+    return out
+
+
+def evidence_of(m: Model, xl: np.ndarray, xu: np.ndarray, cat: np.ndarray | None, always: bool) -> list[np.ndarray]:
+    """``evidence`` of all samples by one block."""
+    out: list[np.ndarray] | None = None
+    for rows, some, b in tops(m, xl, xu, cat):
+        found = evidence(some, b, xl[rows], xu[rows], always)
+        if out is None:
+            out = [np.empty(len(xl), x.dtype) for x in found]
+        for whole, x in zip(out, found):
+            whole[rows] = x
     return out

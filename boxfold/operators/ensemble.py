@@ -131,11 +131,11 @@ def _ask(samples: DataFrame, members: list, d: int, member_type: str, attribute:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for sid, xl, xu, _ in score._tiles(batch, d, 1):
-                for member, own, model in shared.value:
-                    if len(model.ids):
-                        told = scoring.speakers(model, xl[:, own], xu[:, own]) if attribute else scoring.winners(model, xl[:, own], xu[:, own])
-                        yield pa.RecordBatch.from_pydict({"member_id": np.full(len(sid), member), "sid": sid, name: told}, schema=kinds)
+            sid, (xl, xu) = batch.column(0), score._bounds(batch, d)
+            for member, own, model in shared.value:
+                if len(model.ids) and len(sid):
+                    told = scoring.speakers(model, xl[:, own], xu[:, own]) if attribute else scoring.winners(model, xl[:, own], xu[:, own])
+                    yield pa.RecordBatch.from_pydict({"member_id": np.full(len(sid), member), "sid": sid, name: told}, schema=kinds)
 
     kinds = pa.schema([("member_id", pa.int64() if member_type == "bigint" else pa.int32()), ("sid", pa.int64()), (name, pa.int64() if attribute else pa.int32())])
     return score._ready(samples, d).mapInArrow(run, f"member_id {member_type}, sid bigint, {name} {'bigint' if attribute else 'int'}")

@@ -92,6 +92,14 @@ def merge_parts(boxes: DataFrame, theta: float, gamma=1.0) -> DataFrame:
     return coarsen(cut(remove_contained(boxes.select("box_id", "v", "w", "c", "n_samples", "centroid"))), theta, gamma)
 
 
+def merge_members(boxes: DataFrame, learner: str = "agglomerative2", theta: float = 0.2, **params) -> DataFrame:
+    """One model over all members' boxes: learnt from them as weighted interval samples in one fold, or, of more than ``FOLD_BOXES``, merged cell by cell."""
+    if boxes.count() <= FOLD_BOXES:
+        return ensemble.merge_members(boxes, learner, FOLD_BOXES, theta=theta, **params)
+    order = F.col("member_id").cast("bigint") * (1 << 40) + F.col("box_id")
+    return merge_parts(boxes.withColumn("box_id", order), theta)
+
+
 def first_level(samples: DataFrame, n_partitions: int, theta: float, gamma=1.0, homogeneous: bool = False) -> DataFrame:
     """Boxes of stratified parts, learnt without contraction; ``homogeneous``: class by class, the unlabelled last."""
     parts = prepare.dealt(samples, "y", n_partitions)

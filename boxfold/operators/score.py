@@ -1,8 +1,8 @@
 """Scoring samples against a model's boxes.
 
 The boxes are the stated set, the samples are all rows: every task holds blocks of boxes, of checked size,
-and walks its samples in Arrow batches, feature by feature over a (samples x boxes) tile.  Nothing is joined and
-nothing is shuffled; the evidence of a model's blocks is combined where the samples are, up to ``PASS_BLOCKS`` blocks in
+and walks its samples in Arrow batches, by neighbourhoods that look at the boxes near them first (exact; memberships per
+class compare with all boxes, tile by tile).  Nothing is joined and nothing is shuffled; the evidence of a model's blocks is combined where the samples are, up to ``PASS_BLOCKS`` blocks in
 one pass over them, and a still larger model takes further passes.
 
 ``samples``: sid, xl, xu (ARRAY<DOUBLE>, NULL or NaN missing), for mixed models cat: values (``eiol``), bit sets (``onehot``) or codes (``freqcat``).
@@ -148,15 +148,14 @@ def evidence(samples: DataFrame, boxes: DataFrame, d: int, kind: str = "gfmm", r
 
     def asks(shared: list):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            most = max(len(s.value.ids) for s in shared)
             for batch in batches:
-                for sid, xl, xu, cat in _tiles(batch, d, most):
-                    found = None
-                    for s in shared:
-                        m = s.value
-                        e = scoring.evidence(m, tile_membership(m, xl, xu, cat), xl, xu, several or len(shared) > 1)
-                        found = e if found is None else scoring.combine(found, e)
-                    yield pa.RecordBatch.from_arrays([sid, *[pa.array(x) for x in found]], names=names)
+                if not batch.num_rows:
+                    continue
+                (xl, xu), cat, found = _bounds(batch, d), _categories(batch), None
+                for s in shared:
+                    e = scoring.evidence_of(s.value, xl, xu, cat, several or len(shared) > 1)
+                    found = e if found is None else scoring.combine(found, e)
+                yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x) for x in found]], names=names)
 
         return run
 
@@ -200,10 +199,12 @@ def _by_probability(samples: DataFrame, boxes: DataFrame, d: int, kind: str, gam
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            for sid, xl, xu, cat in _tiles(batch, d, len(m.ids)):
-                b = tile_membership(m, xl, xu, cat)
-                at = scoring.most_likely(m, b)
-                yield pa.RecordBatch.from_arrays([sid, pa.array(m.c[at], pa.int32()), pa.array(m.ids[at]), pa.array(b[np.arange(len(b)), at])], names=["sid", "y_pred", "box_id", "membership"])
+            (xl, xu), cat = _bounds(batch, d), _categories(batch)
+            y, box, top = np.empty(len(xl), np.int64), np.empty(len(xl), np.int64), np.empty(len(xl))
+            for rows, some, b in scoring.tops(m, xl, xu, cat):
+                at = scoring.most_likely(some, b)
+                y[rows], box[rows], top[rows] = some.c[at], some.ids[at], b[np.arange(len(b)), at]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(y, pa.int32()), pa.array(box), pa.array(top)], names=["sid", "y_pred", "box_id", "membership"])
 
     return _ready(samples, d, kind).mapInArrow(run, "sid bigint, y_pred int, box_id bigint, membership double")
 

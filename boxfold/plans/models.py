@@ -356,8 +356,6 @@ def _bag_members(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 #: Share of the rows that every member learns, whatever their number.
 MAX_SAMPLES = 0.5
-#: Boxes of all members that one fold merges.
-MOST_MERGED = 1_000_000
 
 
 @query()
@@ -379,7 +377,7 @@ def fit_random_boxes(spark, d):
 def fit_model_merge(spark, d):
     s, m = _bag_members(spark, d)
     boxes = cut(ensemble.bag(s, m, "improved", MAX_SAMPLES, bootstrap=True, part_rows=ensemble.PART_ROWS, theta=0.2))
-    return ensemble.merge_members(boxes, "improved", most_boxes=MOST_MERGED, theta=0.2)
+    return granular.merge_members(boxes, "improved", 0.2)
 
 
 @query()
@@ -424,7 +422,7 @@ def vote_tuned_members(spark, d):
 @query()
 def merge_tuned_members(spark, d):
     """One model over the boxes of tuned members."""
-    return ensemble.merge_members(cut(_tuned(spark, d)[1]), "improved", most_boxes=MOST_MERGED, theta=0.2)
+    return granular.merge_members(cut(_tuned(spark, d)[1]), "improved", 0.2)
 
 
 @query()

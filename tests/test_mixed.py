@@ -149,3 +149,26 @@ def test_dealt_parts_are_even(spark, parts):
 
 def test_kinds_follow_learners():
     assert [kl.kind_of(x) for x in ("fmnn", "inf", "eiol", "agglomerative2")] == ["fmnn", "free", "eiol", "gfmm"] and kl.rule_of("rfmnn") == "corners"
+
+
+@pytest.mark.parametrize("kind", ["gfmm", "free", "fmnn", "onehot", "freqcat"])
+@pytest.mark.parametrize("gamma", [1.0, [4.0, 0.5]])
+def test_looking_near_first_changes_nothing(kind, gamma, monkeypatch):
+    rng = np.random.default_rng(7)
+    v = rng.random((300, 2)).round(2)
+    w = v + (rng.random((300, 2)) * 0.1).round(2)
+    v[:5, 0], w[:5, 0] = 1.001, -0.001
+    cats = {"onehot": {"bits": rng.integers(0, 8, (300, 2))}, "freqcat": {"slots": (rng.integers(0, 3, (300, 2)), rng.integers(0, 3, (300, 2))), "distance": [{(a, b): abs(a - b) / 3 for a in range(3) for b in range(a, 3)}] * 2}}.get(kind, {})
+    x = np.concatenate([rng.random((700, 2)).round(2), rng.normal(0, 20, (40, 2))])
+    lo, hi = x.copy(), x + (rng.random(x.shape) * 0.05).round(2)
+    if kind != "fmnn":
+        lo[:30, 1], hi[:30, 1] = 1.001, -0.001
+    cat = rng.integers(0, 3, x.shape)
+    for rule in ("manhattan", "centroid", "probability"):
+        m = model(kind, c=rng.integers(1, 4, 300), n=rng.integers(1, 5, 300).astype(float), v=v, w=w, rule=rule, gamma=gamma, **cats)
+        told = []
+        for cells in (10**9, 0):
+            monkeypatch.setattr(scoring, "ALL_CELLS", cells)
+            e = scoring.evidence_of(m, lo, hi, cat, True)
+            told.append([scoring.winners(m, lo, hi, cat), scoring.speakers(m, lo, hi, cat), *(e[:5] if rule == "probability" else e)])
+        assert all(np.array_equal(a, b) for a, b in zip(*told))
