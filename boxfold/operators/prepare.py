@@ -8,9 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxfold.functions.distance import FREE_HIGH, FREE_LOW, MISSING_HIGH, MISSING_LOW
+from boxfold.lineage import cut
 from boxfold.operators import dictionary
 
 UNLABELLED = -1
+#: Values of one feature at most of which all distances are worked out (the result has a row per pair).
+MOST_VALUES = 10_000
 
 
 def clean(c: str) -> Column:
@@ -64,6 +67,9 @@ def category_distances(df: DataFrame, columns: Sequence[str], y: str) -> DataFra
     counts = df.select(F.explode(sides).alias("s"), F.col(y).alias("c")).select("s.feature", "s.a", "c").filter("a IS NOT NULL").groupBy("feature", "a", "c").agg(F.count(F.lit(1)).alias("n"))
     share = counts.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("feature", "a"))).select("feature", "a", "c", "p")
     vectors = share.groupBy("feature", "a").agg(F.map_from_entries(F.collect_list(F.struct("c", "p"))).alias("p"))
+    most = vectors.groupBy("feature").count().agg(F.max("count")).first()[0] or 0
+    if most > MOST_VALUES:
+        raise ValueError(f"{most} values of one feature, {MOST_VALUES} at most; give the rare ones one name first")
     pairs = vectors.join(vectors.select("feature", F.col("a").alias("b"), F.col("p").alias("q")), "feature").filter("a <= b")
     classes = F.array_sort(F.array_union(F.map_keys("p"), F.map_keys("q")))
     gap = lambda k: F.pow(F.coalesce(F.try_element_at("p", k), F.lit(0.0)) - F.coalesce(F.try_element_at("q", k), F.lit(0.0)), F.lit(2.0))
@@ -78,16 +84,13 @@ def shuffle_key(record: Column, seed: int) -> Column:
     return F.xxhash64(record, F.lit(seed))
 
 
-def stratified_folds(df: DataFrame, record: str, y: str, k: int, seed: int = 0, name: str = "fold") -> DataFrame:
-    """Folds of even class shares: a record's rank in its class, by a random key, modulo k.
+#: Rows of one bin of random keys, about; bin tables of no more rows are broadcast.
+BIN_ROWS, BROADCAST_BINS = 4_096, 200_000
+
 
-    Ranks come from a histogram of the keys: a bin's offset plus the rank inside the bin, so no class is sorted whole."""
-    keyed = df.withColumn("_key", shuffle_key(F.col(record), seed)).withColumn("_bin", F.shiftrightunsigned("_key", 52))
-    bins = keyed.groupBy(y, "_bin").agg(F.count(F.lit(1)).alias("_n"))
-    before = bins.withColumn("_before", F.sum("_n").over(Window.partitionBy(y).orderBy("_bin")) - F.col("_n")).select(F.col(y).alias("_y"), F.col("_bin").alias("_b"), "_before")
-    inside = F.row_number().over(Window.partitionBy(y, "_bin").orderBy("_key", record)) - 1
-    joined = keyed.withColumn("_inside", inside).join(before, F.col(y).eqNullSafe(F.col("_y")) & (F.col("_bin") == F.col("_b")))
-    return joined.withColumn(name, F.pmod(F.col("_before") + F.col("_inside"), F.lit(k)).cast("int")).drop("_key", "_bin", "_b", "_y", "_before", "_inside")
+def stratified_folds(df: DataFrame, record: str, y: str, k: int, seed: int = 0, name: str = "fold") -> DataFrame:
+    """Folds of even class shares: a record's rank in its class, by a random key, modulo k."""
+    return _ranked(df, [y], record, seed, own_key=True).withColumn(name, F.pmod(F.col("_rank") - 1, F.lit(k)).cast("int")).drop("_rank", "_size")
 
 
 def dealt(df: DataFrame, y: str, k: int, order: Sequence[str] = ("seq", "sid"), name: str = "partition_id") -> DataFrame:
@@ -102,17 +105,22 @@ def dealt(df: DataFrame, y: str, k: int, order: Sequence[str] = ("seq", "sid"),
     return matched.withColumn(name, F.pmod(F.col("_place") - F.col("_first"), F.lit(k)).cast("int")).drop("_place", "_first", "_class")
 
 
-def _ranked(df: DataFrame, by: Sequence[str], record: str, seed: int) -> DataFrame:
-    """``_rank`` from 1 by a random key inside each group, ``_size`` of the group; bins keep every sort small."""
-    keyed = df.withColumn("_key", shuffle_key(F.struct(*by, record) if by else F.col(record), seed)).withColumn("_bin", F.shiftrightunsigned("_key", 52))
-    bins = keyed.groupBy(*by, "_bin").agg(F.count(F.lit(1)).alias("_n"))
+def _ranked(df: DataFrame, by: Sequence[str], record: str, seed: int, own_key: bool = False) -> DataFrame:
+    """``_rank`` from 1 by a random key inside each group, ``_size`` of the group.
+
+    Ranks come from a histogram of the keys: a bin's offset plus the rank inside the bin, so no group is sorted whole.  Bins are as
+    many as the rows need; their table goes to the rows, not the rows to it, as long as it is small.  ``own_key``: the record's key is the same in all groups."""
+    bits = max(0, min(40, (df.count() // BIN_ROWS).bit_length()))
+    keyed = df.withColumn("_key", shuffle_key(F.struct(*by, record) if by and not own_key else F.col(record), seed)).withColumn("_bin", F.shiftrightunsigned("_key", 64 - bits) if bits else F.lit(0).cast("bigint"))
+    bins = cut(keyed.groupBy(*by, "_bin").agg(F.count(F.lit(1)).alias("_n")))
+    few = bins.count() <= BROADCAST_BINS
     group = Window.partitionBy(*by)
     bins = bins.select(*[F.col(c).alias(f"_g_{c}") for c in by], F.col("_bin").alias("_b"), (F.sum("_n").over(group.orderBy("_bin")) - F.col("_n")).alias("_before"), F.sum("_n").over(group).alias("_size"))
-    inside = F.row_number().over(Window.partitionBy(*by, "_bin").orderBy("_key", record))
+    inside = F.row_number().over(Window.partitionBy(*by, "_bin").orderBy(F.expr("shiftrightunsigned(_key, 1)"), "_key", record))
     match = F.col("_bin") == F.col("_b")
     for c in by:
         match = match & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
-    return keyed.withColumn("_inside", inside).join(bins, match).withColumn("_rank", F.col("_before") + F.col("_inside")).drop(*[f"_g_{c}" for c in by], "_b", "_bin", "_key", "_before", "_inside")
+    return keyed.withColumn("_inside", inside).join(F.broadcast(bins) if few else bins, match).withColumn("_rank", F.col("_before") + F.col("_inside")).drop(*[f"_g_{c}" for c in by], "_b", "_bin", "_key", "_before", "_inside")
 
 
 def stated(df: DataFrame, column: str, most: int = 10_000) -> list:

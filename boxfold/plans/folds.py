@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from boxfold.lineage import cut, shared_folder
 from boxfold.operators import fit as fitting
-from boxfold.operators import prepare
+from boxfold.operators import granular, prepare
 from boxfold.plans import inputs, kernels
 from boxfold.streaming import learner as stream
 
@@ -349,3 +350,71 @@ def _mixed(name: str, kind: str, more: Callable[[], list[Column]], sql: str, **p
 
 _mixed("fit_onehot", "onehot", lambda: [F.get("bits", F.lit(j)).alias(f"bits{j}") for j in (0, 1)], _onehot_sql(0.3), theta=0.3, theta_min=0.3)
 _mixed("fit_eiol", "eiol", lambda: [F.size(F.get("hist", F.lit(j))).cast("bigint").alias(f"values{j}") for j in (0, 1)], _eiol_sql(0.3, 0.4), theta=0.3, delta=0.4)
+
+
+# Granular learning -------------------------------------------------------------------------------------------------
+
+
+def contained_sql(name: str, rows: str) -> str:
+    """Common tables up to ``name``(c, id, v0 … m1): what is left of ``rows`` (the same columns) after boxes inside others of their class gave their weight on."""
+    into = inputs.gfmm(["boxes[i + 1].v0", "boxes[i + 1].v1"], ["boxes[i + 1].w0", "boxes[i + 1].w1"], ["boxes[k].v0", "boxes[k].v1"], ["boxes[k].w0", "boxes[k].w1"])
+    away = "sqrt((boxes[k].m0 - boxes[i + 1].m0) * (boxes[k].m0 - boxes[i + 1].m0) + (boxes[k].m1 - boxes[i + 1].m1) * (boxes[k].m1 - boxes[i + 1].m1))"
+    holder = f"list_sort(list_transform(list_filter(range(1, len(boxes) + 1), lambda k: k <> i + 1 AND boxes[k].kept AND {into} = 1), lambda k: {{'d': -{away}, 'k': k}}))[1].k"
+    same = "'id': b.id, 'v0': b.v0, 'v1': b.v1, 'w0': b.w0, 'w1': b.w1"
+    mean = lambda m: f"(b.n * b.{m} + boxes[i + 1].n * boxes[i + 1].{m}) / (b.n + boxes[i + 1].n)"
+    given = f"list_transform(boxes, lambda b, k: CASE WHEN k = p THEN {{{same}, 'n': b.n + boxes[i + 1].n, 'm0': {mean('m0')}, 'm1': {mean('m1')}, 'kept': b.kept}} WHEN k = i + 1 THEN {{{same}, 'n': b.n, 'm0': b.m0, 'm1': b.m1, 'kept': false}} ELSE b END)"
+    return f"""{name}_fold(c, i, boxes) USING KEY (c) AS (
+  SELECT c, 0::BIGINT, list({{'id': id, 'v0': v0, 'v1': v1, 'w0': w0, 'w1': w1, 'n': n, 'm0': m0, 'm1': m1, 'kept': true}} ORDER BY id) FROM ({rows}) GROUP BY 1
+  UNION ALL
+  SELECT c, i + 1 AS i, CASE WHEN p IS NULL THEN boxes ELSE {given} END AS boxes FROM (SELECT *, {holder} AS p FROM {name}_fold WHERE i < len(boxes))),
+{name} AS (SELECT c, b.id AS id, b.v0 AS v0, b.v1 AS v1, b.w0 AS w0, b.w1 AS w1, b.n AS n, b.m0 AS m0, b.m1 AS m1 FROM (SELECT c, unnest(boxes) AS b FROM {name}_fold) WHERE b.kept)"""
+
+
+def remove_contained(spark: SparkSession, d: str) -> DataFrame:
+    b = inputs.boxes(spark, d, "multi_gran").withColumn("centroid", F.coalesce("centroid", F.transform(F.arrays_zip("v", "w"), lambda z: (z["v"] + z["w"]) / 2))).withColumn("n_samples", F.coalesce("n_samples", F.lit(1.0)))
+    left = granular.remove_contained(b.select("box_id", "v", "w", "c", "n_samples", "centroid"))
+    return flat(left.withColumn("partition_id", F.lit(0))).drop("partition_id")
+
+
+_FLAT = "round(v0, 9) AS v0, round(v1, 9) AS v1, round(w0, 9) AS w0, round(w1, 9) AS w1, n AS n_samples, round(m0, 9) AS m0, round(m1, 9) AS m1"
+QUERIES["remove_contained"] = remove_contained
+SQL["remove_contained"] = "WITH RECURSIVE " + contained_sql("r", "SELECT coalesce(c, -1) AS c, box_id AS id, v[1] AS v0, v[2] AS v1, w[1] AS w0, w[2] AS w1, coalesce(n_samples, 1) AS n, coalesce(centroid[1], (v[1] + w[1]) / 2) AS m0, coalesce(centroid[2], (v[2] + w[2]) / 2) AS m1 FROM hyperbox WHERE model_id = 'multi_gran'") + f" SELECT id AS box_id, c, {_FLAT} FROM r"
+
+
+def coarsen_sql(name: str, source: str, theta: float, least: float = 0.5) -> str:
+    """Common tables up to ``name``: boxes learnt from the boxes of ``source``, in order of id; a new box is parted from those of other classes it meets."""
+    fits = f"r.m >= {max(least, 1 - theta)!r} AND {_GW[0]} - {_GV[0]} <= {theta} AND {_GW[1]} - {_GV[1]} <= {theta}"
+    kind = "(CASE WHEN boxes[r.k].c = -1 THEN y ELSE boxes[r.k].c END)"
+    free = f"list_filter(list_filter(ranked, lambda r: {fits}), lambda r: list_filter(range(1, len(boxes) + 1), lambda o: o <> r.k AND (boxes[o].c <> {kind} OR boxes[o].c = -1) AND {_meet(_GV, _GW, 'boxes[o]')}) = [])[1].k"
+    decide = f"{{'j': {free}, 'grow': true, 'skip': coalesce(ranked[1].m = 1 AND (boxes[ranked[1].k].c = y OR y = -1), false)}}"
+    sql = fold_sql("", 1, own=_OPEN, membership=inputs.gfmm(_L, _U, _LO, _HI), decide=decide, part=_gfmm_part(2.0), step=kernels.GFMM_STEP, rivals=_rivals(_meet(["g.v0", "g.v1"], ["g.w0", "g.w1"], "b")), source="s AS (0)", also=("sn", "sm0", "sm1"))
+    # weights and centroids come from the boxes learnt, and it is the new box that is parted
+    sql = sql.replace("'n': 1.0::DOUBLE, 'm0': (l0 + u0) / 2, 'm1': (l1 + u1) / 2", "'n': sn, 'm0': sm0, 'm1': sm1").replace("'n': b.n + 1.0", "'n': b.n + sn")
+    for m in ("0", "1"):
+        sql = sql.replace(f"(b.m{m} * b.n + (l{m} + u{m}) / 2) / (b.n + 1.0)", f"(b.m{m} * b.n + sm{m} * sn) / (b.n + sn)")
+    sql = sql.replace("SELECT part, i, after AS boxes, j, list_filter(", "SELECT part, i, after AS boxes, new AS j, list_filter(").replace("CASE WHEN skip OR j IS NULL OR NOT grow OR k = j THEN false", "CASE WHEN new IS NULL OR k = new THEN false").replace("after[j].", "after[new].")
+    sql = sql.replace("END AS after FROM (", "END AS after, CASE WHEN NOT skip AND j IS NULL AND len(boxes) > 0 THEN len(boxes) + 1 END AS new FROM (", 1)
+    body = sql[sql.index("fold(part") : sql.rindex("SELECT part::INT")].rstrip()
+    body = re.sub(r"\bfold\b", f"{name}_fold", re.sub(r"\bs\b", f"{name}_s", body))
+    return f"""{name}_s AS (SELECT 0 AS part, row_number() OVER (ORDER BY id) AS i, v0 AS l0, v1 AS l1, w0 AS u0, w1 AS u1, c AS y, n AS sn, m0 AS sm0, m1 AS sm1 FROM {source}),
+{body},
+{name} AS (SELECT b.c AS c, k AS id, b.v0 AS v0, b.v1 AS v1, b.w0 AS w0, b.w1 AS w1, b.n AS n, b.m0 AS m0, b.m1 AS m1 FROM (SELECT unnest(boxes) AS b, unnest(range(1, len(boxes) + 1)) AS k FROM {name}_fold))"""
+
+
+def fit_granular(spark: SparkSession, d: str) -> DataFrame:
+    s = inputs.whole_samples(spark, d)
+    boxes = granular.fit(s, (0.1, 0.2, 0.3), n_partitions=fitting.parts_for(s, PART_ROWS))
+    return flat(boxes.withColumn("partition_id", F.col("level"))).withColumnRenamed("partition_id", "level")
+
+
+def _granular_sql() -> str:
+    first = _online(0.1)(WHOLE, PART_ROWS)
+    free = first[: first.rindex("SELECT part::INT")].rstrip()
+    free = re.sub(r"list_filter\(range\(1, len\(after\) \+ 1\), .* AS pend FROM", "[]::BIGINT[] AS pend FROM", free)  # nothing is parted at the first level
+    rows = "SELECT b.c AS c, part * 4294967296 + k AS id, b.v0 AS v0, b.v1 AS v1, b.w0 AS w0, b.w1 AS w1, b.n AS n, b.m0 AS m0, b.m1 AS m1 FROM (SELECT part, unnest(boxes) AS b, unnest(range(1, len(boxes) + 1)) AS k FROM fold)"
+    levels = " UNION ALL ".join(f"SELECT {k} AS level, id AS box_id, c, {_FLAT} FROM {name}" for k, name in enumerate(("r", "c1", "c2")))
+    return f"{free},\n{contained_sql('r', rows)},\n{coarsen_sql('c1', 'r', 0.2)},\n{coarsen_sql('c2', 'c1', 0.3)}\n{levels}"
+
+
+QUERIES["fit_granular"] = fit_granular
+SQL["fit_granular"] = _granular_sql()

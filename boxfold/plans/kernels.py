@@ -360,30 +360,38 @@ SQL["membership_freqcat"] = with_(inputs.CODES) + _told_sql(_FREQCAT, _FREQCAT_R
 SQL["membership_freqcat_mixed"] = with_(inputs.CODES) + f"SELECT sid, round(max(least({_NUMBER}, {_FREQCAT})), 9) AS value FROM {_FREQCAT_ROWS} WHERE e IS NOT NULL AND f IS NOT NULL GROUP BY 1"
 
 
-def _mixed_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of boxes of one member of the mixed model."""
-    b = inputs.boxes(spark, d, "mixed_bag").filter("member_id IS NOT NULL")
-    a = b.select("member_id", *[F.col(c).alias(f"a_{c}") for c in ("box_id", "v", "w", "e", "f", "hist", "n_samples")])
-    z = b.select("member_id", *[F.col(c).alias(f"b_{c}") for c in ("box_id", "v", "w", "e", "f", "hist", "n_samples")])
-    return a.join(z, "member_id").filter("a_box_id <> b_box_id")
+#: How far boxes may miss each other by their numbers in ``overlap_mixed``; few of the table's meet outright.
+TOLERANCE = 0.3
+
+
+def _mixed_pairs(spark: SparkSession, d: str, shared: Column, need: str) -> DataFrame:
+    """Pairs of boxes of one member that share one of the values ``shared`` (of the first category), each once per order."""
+    b = inputs.boxes(spark, d, "mixed_bag").filter(f"member_id IS NOT NULL AND {need}").withColumn("shared", F.explode(shared))
+    side = lambda p: b.select("member_id", "shared", *[F.col(c).alias(f"{p}_{c}") for c in ("box_id", "v", "w", "e", "f", "n_samples")], F.get("hist", F.lit(0)).alias(f"{p}_hist"))
+    a, z = side("a"), side("b")
+    met = a.join(z.withColumnRenamed("shared", "same"), (a["member_id"] == z["member_id"]) & F.col("shared").eqNullSafe(F.col("same"))).filter("a_box_id <> b_box_id")
+    return met
 
 
 def overlap_categorical(spark: SparkSession, d: str) -> DataFrame:
-    rows = _mixed_pairs(spark, d).filter("a_e IS NOT NULL AND a_f IS NOT NULL AND b_e IS NOT NULL AND b_f IS NOT NULL")
+    """Pairs of boxes that overlap in every category."""
+    rows = _mixed_pairs(spark, d, F.array_distinct(F.array(F.get("e", F.lit(0)), F.get("f", F.lit(0)))), "e IS NOT NULL AND f IS NOT NULL")
     two = membership.elements
-    return rows.select(F.col("a_box_id").alias("a_id"), F.col("b_box_id").alias("b_id"), overlap.categorical_overlap(two("a_e", 2), two("a_f", 2), two("b_e", 2), two("b_f", 2)).alias("meets"))
+    return rows.filter(overlap.categorical_overlap(two("a_e", 2), two("a_f", 2), two("b_e", 2), two("b_f", 2))).select(F.col("a_box_id").alias("a_id"), F.col("b_box_id").alias("b_id")).distinct()
 
 
 def overlap_histogram(spark: SparkSession, d: str, numeric: bool = False) -> DataFrame:
-    rows = _mixed_pairs(spark, d).filter("a_hist IS NOT NULL AND b_hist IS NOT NULL AND a_n_samples > 0 AND b_n_samples > 0")
-    meets = overlap.histogram_overlap(membership.elements("a_hist", 1), F.col("a_n_samples"), membership.elements("b_hist", 1), F.col("b_n_samples"))
+    """Pairs of boxes that in every category share a value of equal frequency."""
+    rows = _mixed_pairs(spark, d, F.map_keys(F.get("hist", F.lit(0))), "hist IS NOT NULL AND n_samples > 0")
+    rows = rows.filter(overlap.histogram_overlap([F.col("a_hist")], F.col("a_n_samples"), [F.col("b_hist")], F.col("b_n_samples")))
     if numeric:
-        meets = meets & overlap.overlaps(*_sides())
-    return rows.select(F.col("a_box_id").alias("a_id"), F.col("b_box_id").alias("b_id"), meets.alias("meets"))
+        wide = lambda c, by: F.transform(c, lambda x: x + F.lit(by))
+        rows = rows.withColumns({"a_v": wide("a_v", -TOLERANCE), "a_w": wide("a_w", TOLERANCE)}).filter(overlap.overlaps(*_sides()))
+    return rows.select(F.col("a_box_id").alias("a_id"), F.col("b_box_id").alias("b_id")).distinct()
 
 
 def overlap_mixed(spark: SparkSession, d: str) -> DataFrame:
-    """Boxes overlap by their numbers, and in every category share a value of equal frequency."""
+    """Boxes overlap by their numbers, with a tolerance, and in every category share a value of equal frequency."""
     return overlap_histogram(spark, d, True)
 
 
@@ -393,15 +401,15 @@ def _cat_sql() -> str:
         a, b, c, e = f"a.e[{j}]", f"a.f[{j}]", f"b.e[{j}]", f"b.f[{j}]"
         shared = " OR ".join(f"{x} IS NOT DISTINCT FROM {y}" for x in (a, b) for y in (c, e))
         tests.append(f"({shared}) AND NOT ({a} IS DISTINCT FROM {c} AND {b} IS NULL AND {e} IS NULL)")
-    return f"SELECT a.box_id AS a_id, b.box_id AS b_id, ({tests[0]} AND {tests[1]}) AS meets FROM hyperbox a JOIN hyperbox b ON a.model_id = 'mixed_bag' AND b.model_id = 'mixed_bag' AND a.member_id = b.member_id AND a.box_id <> b.box_id WHERE a.e IS NOT NULL AND a.f IS NOT NULL AND b.e IS NOT NULL AND b.f IS NOT NULL"
+    return f"SELECT a.box_id AS a_id, b.box_id AS b_id FROM hyperbox a JOIN hyperbox b ON a.model_id = 'mixed_bag' AND b.model_id = 'mixed_bag' AND a.member_id = b.member_id AND a.box_id <> b.box_id WHERE a.e IS NOT NULL AND a.f IS NOT NULL AND b.e IS NOT NULL AND b.f IS NOT NULL AND {tests[0]} AND {tests[1]}"
 
 
 QUERIES |= {"overlap_categorical": overlap_categorical, "overlap_mixed_hist": overlap_histogram, "overlap_mixed": overlap_mixed}
 SQL["overlap_categorical"] = _cat_sql()
 _SHARE = "len(list_filter(map_keys(a.hist[1]), lambda k: coalesce(a.hist[1][k]::DOUBLE / a.n_samples = b.hist[1][k]::DOUBLE / b.n_samples, false))) > 0"
-_MIXED_MEET = "a.v[1] <= a.w[1] AND a.v[2] <= a.w[2] AND b.v[1] <= b.w[1] AND b.v[2] <= b.w[2] AND " + inputs.gfmm(["a.w[1]", "a.w[2]"], ["a.v[1]", "a.v[2]"], ["b.v[1]", "b.v[2]"], ["b.w[1]", "b.w[2]"]) + " = 1"
-SQL["overlap_mixed_hist"], SQL["overlap_mixed"] = [f"""SELECT a.box_id AS a_id, b.box_id AS b_id, {meets} AS meets
-FROM hyperbox a JOIN hyperbox b ON a.model_id = 'mixed_bag' AND b.model_id = 'mixed_bag' AND a.member_id = b.member_id AND a.box_id <> b.box_id WHERE a.hist IS NOT NULL AND b.hist IS NOT NULL AND a.n_samples > 0 AND b.n_samples > 0""" for meets in (_SHARE, f"({_SHARE} AND {_MIXED_MEET})")]
+_MIXED_MEET = f"a.v[1] - {TOLERANCE} <= a.w[1] + {TOLERANCE} AND a.v[2] - {TOLERANCE} <= a.w[2] + {TOLERANCE} AND b.v[1] <= b.w[1] AND b.v[2] <= b.w[2] AND " + inputs.gfmm([f"(a.w[{j}] + {TOLERANCE})" for j in (1, 2)], [f"(a.v[{j}] - {TOLERANCE})" for j in (1, 2)], ["b.v[1]", "b.v[2]"], ["b.w[1]", "b.w[2]"]) + " = 1"
+SQL["overlap_mixed_hist"], SQL["overlap_mixed"] = [f"""SELECT a.box_id AS a_id, b.box_id AS b_id
+FROM hyperbox a JOIN hyperbox b ON a.model_id = 'mixed_bag' AND b.model_id = 'mixed_bag' AND a.member_id = b.member_id AND a.box_id <> b.box_id WHERE a.hist IS NOT NULL AND b.hist IS NOT NULL AND a.n_samples > 0 AND b.n_samples > 0 AND {meets}""" for meets in (_SHARE, f"({_SHARE} AND {_MIXED_MEET})")]
 
 
 def replace_slots(spark: SparkSession, d: str) -> DataFrame:

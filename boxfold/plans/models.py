@@ -241,12 +241,6 @@ def overlap_one_many(spark, d):
     return prune.overlap_pairs(inputs.boxes(spark, d), 2, keys=["model_id"]).select(F.col("a_id").alias("box_id")).distinct()
 
 
-@query()
-def remove_contained(spark, d):
-    b = inputs.boxes(spark, d, "multi_gran").withColumn("centroid", F.coalesce("centroid", F.transform(F.arrays_zip("v", "w"), lambda z: (z["v"] + z["w"]) / 2))).withColumn("n_samples", F.coalesce("n_samples", F.lit(1.0)))
-    return granular.remove_contained(b.select("box_id", "v", "w", "c", "n_samples", "centroid"))
-
-
 # Ensembles ---------------------------------------------------------------------------------------------------------
 
 _VOTES = with_(inputs.POINTS, f"""
@@ -345,8 +339,10 @@ def stratified_fold_sizes(spark, d):
 def fit_freqcat(spark, d):
     s = inputs.mixed_training(spark, d, "freqcat")
     gaps: list[dict] = [{}, {}]
-    for r in prepare.category_distances(s.select("y", F.col("cat")[0].alias("k0"), F.col("cat")[1].alias("k1")), ["k0", "k1"], "y").collect():  # pairs of codes of two features
+    for r in prepare.category_distances(s.select("y", F.col("cat")[0].alias("k0"), F.col("cat")[1].alias("k1")), ["k0", "k1"], "y").limit(1_000_001).collect():  # pairs of codes of two features
         gaps[r["feature"]][r["a"], r["b"]] = r["dist"]
+    if sum(map(len, gaps)) > 1_000_000:
+        raise ValueError("more than 1,000,000 pairs of codes; give rare values one name first")
     return fitting.partitioned(s, "freqcat", 500, theta=0.3, theta_min=0.3, eta=0.6, distance=gaps)
 
 
@@ -380,12 +376,6 @@ def fit_model_merge(spark, d):
     return granular.merge_members(boxes, "improved", 0.2)
 
 
-@query()
-def fit_granular(spark, d):
-    s = inputs.whole_samples(spark, d)
-    return granular.fit(s, (0.1, 0.2, 0.3), n_partitions=fitting.parts_for(s, 4_000))
-
-
 def _tuning_parts(spark: SparkSession, d: str) -> DataFrame:
     s = inputs.whole_samples(spark, d)
     return s.withColumn("part", F.pmod(F.xxhash64("sid"), F.lit(fitting.parts_for(s, 1_500))).cast("int"))
