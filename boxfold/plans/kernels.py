@@ -1,6 +1,7 @@
 """Queries of the scalar operators: memberships, distances, overlaps, contractions - over records with all boxes of a model, and pairs of boxes.
 
-Over records they tell, of all boxes, the greatest value, the first box that has it, and their sum in millionths."""
+Over records they tell, of all boxes, the greatest and the least value, their sum in units of 1e-7, and the same weighted by the boxes' ids,
+so that a value at the wrong box shows."""
 
 from __future__ import annotations
 
@@ -20,13 +21,15 @@ GAINS = [1.5, 0.5]
 
 
 def _told(rows: DataFrame, value: Column, by: tuple[str, ...] = ("sid",)) -> DataFrame:
-    values = rows.select(*by, "box_id", F.round(value, 9).alias("value")).filter("value IS NOT NULL")
-    return values.groupBy(*by).agg(F.max("value").alias("value"), F.max_by("box_id", F.struct("value", -F.col("box_id"))).alias("box_id"), F.sum(F.when(F.col("value") < distance.NO_DISTANCE, F.round(F.col("value") * 1e6).cast("bigint"))).alias("millionths"))
+    values = rows.select(*by, "box_id", value.alias("value")).filter("value IS NOT NULL")
+    values = values.withColumn("m", F.when(F.col("value") < distance.NO_DISTANCE, F.floor(F.col("value") * 1e7 + 0.5)))
+    return values.groupBy(*by).agg(F.round(F.max("value"), 9).alias("most"), F.round(F.min("value"), 9).alias("least"), F.sum("m").alias("units"), F.sum(F.col("m") * F.col("box_id")).alias("by_box"))
 
 
 def _told_sql(value: str, source: str, where: str | None = None, by: str = "sid", names: str = "sid") -> str:
-    inner = f"SELECT {names}, box_id, round({value}, 9) AS value FROM {source}" + (f" WHERE {where}" if where else "")
-    return f"SELECT {by}, max(value) AS value, arg_max(box_id, (value, -box_id)) AS box_id, (sum(round(value * 1e6)::BIGINT) FILTER (value < {distance.NO_DISTANCE}))::BIGINT AS millionths FROM ({inner}) WHERE value IS NOT NULL GROUP BY {by}"
+    inner = f"SELECT {names}, box_id, {value} AS value FROM {source}" + (f" WHERE {where}" if where else "")
+    return (f"SELECT {by}, round(max(value), 9) AS most, round(min(value), 9) AS least, sum(m)::BIGINT AS units, sum(m * box_id)::BIGINT AS by_box FROM "
+            f"(SELECT *, CASE WHEN value < {distance.NO_DISTANCE} THEN floor(value * 1e7 + 0.5)::BIGINT END AS m FROM ({inner}) WHERE value IS NOT NULL) GROUP BY {by}")
 
 
 def _on_records(name: str, value: Callable[[], Column], sql: str, where: str | None = None) -> None:
