@@ -117,6 +117,14 @@ l AS (SELECT b.sid AS sid_b, min(a.sid) AS sid_a FROM p a JOIN p b ON a.c2 = b.c
 SELECT sid_a, sid_b FROM l WHERE sid_a <> sid_b
 """
 
+_P3_AUDIT = """
+WITH p AS (SELECT DISTINCT sid, c0, c1, c2 FROM syn_num_test WHERE c2 > 0 AND NOT isnan(c0) AND NOT isnan(c1)),
+l AS (SELECT b.sid, b.c2, b.c0, b.c1, min(a.sid) AS least FROM p a JOIN p b ON a.c2 = b.c2 AND abs(a.c0 - b.c0) <= 0.0045 AND abs(a.c1 - b.c1) <= 0.0045 GROUP BY 1, 2, 3, 4),
+e AS (SELECT c2, least, min(c0) AS lo0, max(c0) AS hi0, min(c1) AS lo1, max(c1) AS hi1 FROM l GROUP BY 1, 2)
+SELECT count(*) AS clusters, count(*) FILTER (hi0 - lo0 > 0.0045 OR hi1 - lo1 > 0.0045) AS wide,
+       (SELECT count(*) FROM e a JOIN e b ON a.c2 = b.c2 AND a.least < b.least AND greatest(a.lo0 - b.hi0, b.lo0 - a.hi0) <= 0.0045 AND greatest(a.lo1 - b.hi1, b.lo1 - a.hi1) <= 0.0045) AS near FROM e
+"""
+
 _P6 = "SELECT spec_id, doc_id FROM documents, pack_specs WHERE strlen(text) + 1 > capacity"
 
 
@@ -154,6 +162,7 @@ SQL = {
     "p1_found": _P1 + "SELECT field, code, mark FROM m WHERE mark IS NOT NULL",
     "p1_frequencies": _P1 + "SELECT field, code, occurrences, records, mark FROM m",
     "p3_found": _P3,
+    "p3_audit": _P3_AUDIT,
     "p4_found": _P4,
     "p6_found": _P6,
     "p7_found": _P7,
