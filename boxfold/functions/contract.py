@@ -42,8 +42,8 @@ def part_by_case(v1: Columns, w1: Columns, v2: Columns, w2: Columns, case: Colum
     return _rebuild(v1, w1, v2, w2, F.coalesce(dim, F.lit(-1)), change)
 
 
-def gfmm_case(v1: Columns, w1: Columns, v2: Columns, w2: Columns) -> Column:
-    """struct(amount, dim, case) of the general test: the first feature that only touches, else the least overlap under 2."""
+def gfmm_case(v1: Columns, w1: Columns, v2: Columns, w2: Columns, limit: float = 2.0) -> Column:
+    """struct(amount, dim, case) of the general test: the first feature that only touches, else the least overlap under the limit (infinite for features of any range)."""
     touching, partial = [], []
     for j, (a, b, c, d) in enumerate(zip(v1, w1, v2, w2)):
         right, left = d - a, b - c
@@ -54,7 +54,7 @@ def gfmm_case(v1: Columns, w1: Columns, v2: Columns, w2: Columns) -> Column:
         nearer = right <= left
         case = F.when(low, 1).when(high, 2).when(around & nearer, 31).when(around, 32).when(inside & nearer, 41).when(inside, 42)
         amount = F.when(low, left).when(high, right).otherwise(F.least(left, right))
-        partial.append(F.when(open_case & (amount < 2), F.struct(amount.alias("amount"), F.lit(j).alias("dim"), case.alias("case"))))
+        partial.append(F.when(open_case & (amount < limit), F.struct(amount.alias("amount"), F.lit(j).alias("dim"), case.alias("case"))))
         edge = (F.when((a <= b) & (b == c) & (c < d), 5).when((a < b) & (b == c) & (c <= d), 6)
                 .when((c <= d) & (d == a) & (a < b), 7).when((c < d) & (d == a) & (a <= b), 8))
         touching.append(F.when(~open_case & edge.isNotNull(), F.struct(F.lit(0.0).alias("amount"), F.lit(j).alias("dim"), edge.alias("case"))))

@@ -242,6 +242,32 @@ def _pairs() -> None:
     SQL["contract_efmnn"] = _parted_sql(FMNN_STEP, f"k AS (SELECT *, {e_case} AS cs, {e_dim} AS dim FROM ab)", " WHERE cs IS NOT NULL")
 
 
+#: Scale of the boxes in ``contract_free_range``: overlaps may then be wider than 2.
+FREE_SCALE = 50.0
+
+
+def contract_free_range(spark: SparkSession, d: str) -> DataFrame:
+    """Rivals of any range that overlap, parted."""
+    scaled = lambda c: F.transform(c, lambda x: x * FREE_SCALE)
+    b = inputs.boxes(spark, d).withColumns({"v": scaled("v"), "w": scaled("w")})
+    rows = prune.neighbours(b, 2, None, ["model_id"])
+    s = _sides()
+    rows = rows.select("*", F.explode(F.array(contract.gfmm_case(*s, float("inf")))).alias("found"))
+    rows = rows.filter(((F.col("a_c") != F.col("b_c")) | (F.col("a_c") == -1)) & overlap.overlaps_free(*s))
+    return rows.select("a_id", "b_id", *_parted_columns(contract.part_gfmm(s[0], s[1], F.col("a_c"), s[2], s[3], F.col("b_c"), F.col("found"))))
+
+
+def _free_sql() -> str:
+    case, dim = (x.replace("< 2)", "< 1e308)").replace("< 2 ", "< 1e308 ") for x in gfmm_case_sql())
+    wide = ", ".join(f"{c} * {FREE_SCALE} AS {c}" for c in (*A1, *B1, *A2, *B2))
+    meet = "least(b0, d0) >= greatest(a0, c0) AND least(b1, d1) >= greatest(a1, c1)"
+    return _parted_sql(GFMM_STEP, f"f AS (SELECT a_id, b_id, ca, cb, {wide} FROM ab), k AS (SELECT *, {case} AS cs, {dim} AS dim FROM f WHERE (ca <> cb OR ca = -1) AND {meet})")
+
+
+QUERIES["contract_free_range"] = contract_free_range
+SQL["contract_free_range"] = _free_sql()
+
+
 def split_rfmnn(spark: SparkSession, d: str) -> DataFrame:
     """Parents split around the children that meet them, of another class: one or two rows each."""
     rows = inputs.box_pairs(spark, d).filter("a_c <> b_c")
@@ -383,6 +409,11 @@ def overlap_categorical(spark: SparkSession, d: str) -> DataFrame:
     return rows.filter(overlap.categorical_overlap(two("a_e", 2), two("a_f", 2), two("b_e", 2), two("b_f", 2))).select(F.col("a_box_id").alias("a_id"), F.col("b_box_id").alias("b_id")).distinct()
 
 
+def overlap_categorical_any(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes that overlap any other box of their member in every category."""
+    return overlap_categorical(spark, d).select(F.col("a_id").alias("box_id")).distinct()
+
+
 def overlap_histogram(spark: SparkSession, d: str, numeric: bool = False) -> DataFrame:
     """Pairs of boxes that in every category share a value of equal frequency."""
     rows = _mixed_pairs(spark, d, F.map_keys(F.get("hist", F.lit(0))), "hist IS NOT NULL AND n_samples > 0")
@@ -407,8 +438,9 @@ def _cat_sql() -> str:
     return f"SELECT a.box_id AS a_id, b.box_id AS b_id FROM hyperbox a JOIN hyperbox b ON a.model_id = 'mixed_bag' AND b.model_id = 'mixed_bag' AND a.member_id = b.member_id AND a.box_id <> b.box_id WHERE a.e IS NOT NULL AND a.f IS NOT NULL AND b.e IS NOT NULL AND b.f IS NOT NULL AND {tests[0]} AND {tests[1]}"
 
 
-QUERIES |= {"overlap_categorical": overlap_categorical, "overlap_mixed_hist": overlap_histogram, "overlap_mixed": overlap_mixed}
+QUERIES |= {"overlap_categorical": overlap_categorical, "overlap_categorical_any": overlap_categorical_any, "overlap_mixed_hist": overlap_histogram, "overlap_mixed": overlap_mixed}
 SQL["overlap_categorical"] = _cat_sql()
+SQL["overlap_categorical_any"] = f"SELECT DISTINCT a_id AS box_id FROM ({_cat_sql()})"
 _SHARE = "len(list_filter(map_keys(a.hist[1]), lambda k: coalesce(a.hist[1][k]::DOUBLE / a.n_samples = b.hist[1][k]::DOUBLE / b.n_samples, false))) > 0"
 _MIXED_MEET = f"a.v[1] - {TOLERANCE} <= a.w[1] + {TOLERANCE} AND a.v[2] - {TOLERANCE} <= a.w[2] + {TOLERANCE} AND b.v[1] <= b.w[1] AND b.v[2] <= b.w[2] AND " + inputs.gfmm([f"(a.w[{j}] + {TOLERANCE})" for j in (1, 2)], [f"(a.v[{j}] - {TOLERANCE})" for j in (1, 2)], ["b.v[1]", "b.v[2]"], ["b.w[1]", "b.w[2]"]) + " = 1"
 SQL["overlap_mixed_hist"], SQL["overlap_mixed"] = [f"""SELECT a.box_id AS a_id, b.box_id AS b_id

@@ -170,6 +170,14 @@ def _classes() -> None:
 
         QUERIES[name], SQL[name] = run, numeric(source, member, _L1) + per
 
+    def explain_fmnn(spark, d):
+        s = inputs.samples(spark, d).filter(F.col("xl")[0].isNotNull() & F.col("xl")[1].isNotNull())
+        e = score.explain(s, inputs.boxes(spark, d, "onln_gfmm"), 2, kind="fmnn")
+        return e.select("sid", "y_pred", "c", F.round("membership", 9).alias("membership"), F.get("v", F.lit(0)).alias("v0"), F.get("w", F.lit(1)).alias("w1"))
+
+    QUERIES["explain_fmnn"] = explain_fmnn
+    SQL["explain_fmnn"] = numeric("(SELECT * FROM s WHERE x0 IS NOT NULL AND x1 IS NOT NULL)", inputs.fmnn(["x0", "x1"], V, W), _L1) + ", " + winner("o") + ", k AS (SELECT sid, c, max(m) AS m, arg_max(box_id, (m, -box_id)) AS box_id FROM m GROUP BY 1, 2) SELECT k.sid, o.c AS y_pred, k.c, round(k.m, 9) AS membership, v0, w1 FROM k JOIN o USING (sid) JOIN b ON b.box_id = k.box_id"
+
     def at_partition(spark, d):
         """Predictions of the first learners of one part."""
         b = inputs.boxes(spark, d, "multi_gran").filter("partition_id = 1")

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from boxfold.lineage import cut
+from boxfold.operators import dictionary
 
 #: The credit file's columns, none named in the file.
 CREDIT_SCHEMA = "c0 string, c1 double, c2 double, c3 string, c4 string, c5 string, c6 string, c7 double, c8 string, c9 string, c10 double, c11 string, c12 string, c13 double, c14 double, c15 int"
@@ -22,10 +23,10 @@ CREDIT_CATEGORICAL = (0, 3, 4, 5, 6, 8, 9, 11, 12)
 def read_numeric(spark: SparkSession, path: str, d: int) -> DataFrame:
     """Files without header of d features and a label in the last column, as samples in file order."""
     schema = ", ".join(f"x{j} double" for j in range(d)) + ", y int"
-    rows = spark.read.schema(schema).csv(path)
+    rows = spark.read.schema(schema).csv(path).select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_row"))
+    placed = dictionary.dense_ids(rows, ["_file", "_split", "_row"], "_place")  # splits may be read in any order
     x = F.array(*[f"x{j}" for j in range(d)])
-    place = F.monotonically_increasing_id()
-    return rows.select(place.alias("sid"), place.alias("seq"), x.alias("xl"), x.alias("xu"), F.coalesce("y", F.lit(-1)).alias("y"))
+    return placed.select(F.col("_place").alias("sid"), F.col("_place").alias("seq"), x.alias("xl"), x.alias("xu"), F.coalesce("y", F.lit(-1)).alias("y"))
 
 
 def read_credit(spark: SparkSession, path: str) -> DataFrame:

@@ -52,3 +52,16 @@ def test_files_load_with_line_breaks_in_quotes(spark, tmp_path):
     (row,) = loaded.collect()
     assert row["c12"] == "g\nh" and row["c1"] == 30.83
     assert sorted(r["reason"] for r in faults.collect()) == ["c1", "columns"]
+
+
+def test_numbers_follow_the_file_over_splits(spark, tmp_path):
+    (tmp_path / "n.csv").write_text("".join(f"{k / 100},{k},{k % 3}\n" for k in range(200)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        rows = files.read_numeric(spark, str(tmp_path), 2).orderBy("seq").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert [(r["seq"], r["xl"][1], r["y"]) for r in rows] == [(k, float(k), k % 3) for k in range(200)]

@@ -25,6 +25,13 @@ def test_pipeline_and_storage(spark, tmp_path):
     assert again.getOrDefault("theta") == 0.2
 
 
+def test_boundary_by_the_weight_of_samples(spark):
+    boxes = spark.createDataFrame([(1, [0.1, 0.1], [0.5, 0.5], 2, 9.0), (2, [0.2, 0.2], [0.3, 0.3], 1, 4.0)], "box_id bigint, v array<double>, w array<double>, c int, n_samples double")
+    df = spark.createDataFrame([([0.25, 0.25],), ([0.45, 0.45],)], "features array<double>")
+    told = {b: [r["prediction"] for r in BoxModel(boxes)._set(learner="online", boundary=b).transform(df).collect()] for b in ("manhattan", "probability")}
+    assert told == {"manhattan": [1.0, 2.0], "probability": [2.0, 2.0]}
+
+
 def test_sql_functions(spark):
     assert "box_membership" in register(spark)
     row = spark.sql("SELECT box_membership(array(0.1D, 0.2D), array(0.1D, 0.2D), array(0.45D, 0.3D), array(0.6D, 0.6D), 1.0D) AS m, box_overlaps(array(0.2D), array(0.5D), array(0.5D), array(0.6D)) AS o, "
