@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from boxfold.kernels import geometry as geo
 from boxfold.kernels import learners as kl
+from boxfold.lineage import cut
 from boxfold.operators import dictionary
 from boxfold.operators import fit as fitting
 
@@ -40,7 +41,7 @@ def _halves(samples: DataFrame, n_iters: int, learner: str, seed: int, params: d
 def two_fold(samples: DataFrame, learner: str = "online", n_iters: int = 100, n_last_iters: int = 5, seed: int = 0, by: str | None = None, most_rows: int = fitting.MOST_ROWS, **params) -> DataFrame:
     """Samples never got wrong, in the iterations up to the one that completes ``n_last_iters`` clean ones; an iteration is clean if it is in all parts ``by`` (numbers)."""
     params = params or {"theta": 0.1}
-    runs = _halves(samples, n_iters, learner, seed, params, most_rows, by)
+    runs = cut(_halves(samples, n_iters, learner, seed, params, most_rows, by))  # read twice below, learnt once
     clean = runs.groupBy("iter").agg(F.min("right").alias("clean"))  # one row per iteration
     flags = [r["clean"] for r in clean.orderBy("iter").collect()]
     last, held = n_iters, 0
