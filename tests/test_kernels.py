@@ -202,3 +202,37 @@ def test_remove_contained():
     boxes.add([0.2, 0.2], [0.4, 0.4], 2, 1)
     assert kl.remove_contained(boxes).tolist() == [0, 2]
     assert boxes.n[0] == 5
+
+
+def _boxes_equal(a, b):
+    return a.size == b.size and all(np.array_equal(getattr(a, k), getattr(b, k)) for k in "vwcnm")
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_compared_fit_is_the_fold(seed):
+    """Chunks, points looked up and the nearest rivals first give the boxes, weights and centroids of the fold sample by sample."""
+    rng = np.random.default_rng(seed)
+    n, d = 700, 1 + seed % 3
+    x = rng.random((n, d)).round(2)
+    s = kl.Samples(x, x if seed % 2 else (x + rng.random((n, d)) * 0.05).round(2), rng.integers(1, 4, n), rng.integers(1, 4, n).astype(float))
+    how = dict(theta=0.25, gamma=[4.0, 0.5, 1.0][:d] if seed % 3 else 1.0)
+    fast, fold = kl.make("improved", **how), kl.make("improved", **how)
+    for _ in range(2):  # the second fit goes on from the first
+        fast.learn = None
+        assert _boxes_equal(fast.fit(s), kl.Learner.fit(fold, s))
+
+
+@pytest.mark.parametrize("theta", [0.3, -1.0])
+def test_coarsening_looks_near_only(theta):
+    rng = np.random.default_rng(3)
+    x = rng.random((300, 2)).round(2)
+    s = kl.Samples(x, x + (rng.random((300, 2)) * 0.1).round(2), rng.integers(1, 4, 300), np.ones(300))
+
+    class Whole(kl.Coarsen):
+        def begin(self, s):
+            super().begin(s)
+            self.plain = False
+
+    near, called = kl.make("coarsen", theta=theta), []
+    near.candidates = lambda y: called.append(y)
+    assert _boxes_equal(near.fit(s), Whole(theta=theta).fit(s)) and not called

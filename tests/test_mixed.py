@@ -172,3 +172,14 @@ def test_looking_near_first_changes_nothing(kind, gamma, monkeypatch):
             e = scoring.evidence_of(m, lo, hi, cat, True)
             told.append([scoring.winners(m, lo, hi, cat), scoring.speakers(m, lo, hi, cat), *(e[:5] if rule == "probability" else e)])
         assert all(np.array_equal(a, b) for a, b in zip(*told))
+
+
+def test_contained_boxes_of_any_width_are_found_side_by_side(spark, monkeypatch):
+    """Without grids, whose cells of four edges held all boxes; equal boxes are one, and the farthest holder takes the weight."""
+    rows = [(1, [0.0, 0.0], [0.9, 0.9], 1, 2.0, [0.4, 0.4]), (2, [0.1, 0.1], [0.8, 0.8], 1, 1.0, [0.2, 0.2]), (3, [0.05, 0.05], [0.99, 0.99], 1, 1.0, [0.9, 0.9]),
+            (4, [0.5, 0.5], [0.5, 0.5], 1, 3.0, [0.5, 0.5]), (5, [0.5, 0.5], [0.5, 0.5], 2, 1.0, [0.5, 0.5]), (6, [0.5, 0.5], [0.5, 0.5], 2, 4.0, [0.5, 0.5])]
+    b = spark.createDataFrame(rows, "box_id bigint, v array<double>, w array<double>, c int, n_samples double, centroid array<double>")
+    monkeypatch.setattr(granular, "FOLD_BOXES", 3)
+    monkeypatch.setattr(granular, "_grid", None)
+    kept = sorted((r["box_id"], r["n_samples"], [round(x, 9) for x in r["centroid"]]) for r in granular.remove_contained(b).collect())
+    assert kept == [(1, 2.0, [0.4, 0.4]), (3, 5.0, [0.52, 0.52]), (6, 5.0, [0.5, 0.5])]
