@@ -183,3 +183,26 @@ def test_contained_boxes_of_any_width_are_found_side_by_side(spark, monkeypatch)
     monkeypatch.setattr(granular, "_grid", None)
     kept = sorted((r["box_id"], r["n_samples"], [round(x, 9) for x in r["centroid"]]) for r in granular.remove_contained(b).collect())
     assert kept == [(1, 2.0, [0.4, 0.4]), (3, 5.0, [0.52, 0.52]), (6, 5.0, [0.5, 0.5])]
+
+
+def test_samples_of_a_task_are_asked_together(spark, monkeypatch):
+    """Whatever the batches, neighbourhoods are made of all rows of a task, and nothing is lost."""
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(k, k + n), pa.int64())], names=["sid"]) for k, n in ((0, 3), (3, 0), (3, 4), (7, 1))]
+    assert [b.num_rows for b in score.gathered(iter(batches))] == [8] and not list(score.gathered(iter(batches[1:2])))
+    monkeypatch.setattr(score, "GATHERED", 5)
+    assert [b["sid"].to_pylist() for b in score.gathered(iter(batches))] == [list(range(7)), [7]]
+
+
+def test_held_samples_meet_few_boxes(monkeypatch):
+    """A sample in a box is told by the boxes that its neighbourhood meets, not by all within a fixed distance."""
+    rng = np.random.default_rng(4)
+    v = rng.random((4000, 2))
+    m = model("gfmm", c=rng.integers(1, 4, 4000), n=np.ones(4000), v=v, w=v + 0.005)
+    x = v[:2000] + 0.002
+    sizes, run = [], scoring.tile_membership
+    monkeypatch.setattr(scoring, "tile_membership", lambda some, *a: sizes.append(len(some.c) * len(a[0])) or run(some, *a))
+    monkeypatch.setattr(scoring, "ALL_CELLS", 0)
+    scoring.winners(m, x, x)
+    assert sum(sizes) < 2000 * 700
