@@ -236,3 +236,15 @@ def test_coarsening_looks_near_only(theta):
     near, called = kl.make("coarsen", theta=theta), []
     near.candidates = lambda y: called.append(y)
     assert _boxes_equal(near.fit(s), Whole(theta=theta).fit(s)) and not called
+
+
+@pytest.mark.parametrize("gamma", [1.0, [4.0, 0.5]])
+def test_levels_of_one_pass_are_compared(gamma):
+    """The first level of granular learning: one pass in which boxes only grow, without a look at every box for every sample."""
+    rng = np.random.default_rng(5)
+    x = rng.random((600, 2)).round(2)
+    s = kl.Samples(x, x, rng.integers(1, 4, 600))
+    how = dict(theta=0.2, theta_min=0.2, alpha=0.5, contract=False, gamma=gamma)
+    fast, fold = kl.make("online", **how), kl.make("online", **how)
+    fast.learn, fold.comparable = None, lambda s: False
+    assert _boxes_equal(fast.fit(s), fold.fit(s)) and fast.passes == fold.passes
