@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from boxfold.kernels import learners as kl
 from boxfold.kernels import scoring
-from boxfold.operators import ensemble, prepare, score
+from boxfold.operators import ensemble, fit, prepare, score, tune
 
 
 @pytest.fixture(scope="module")
@@ -48,3 +49,44 @@ def test_equal_samples_are_asked_once(monkeypatch):
     model = scoring.Model(np.array([1, 2]), v, v + 0.2, np.array([1, 2]), np.ones(2), v + 0.1)
     x = np.array([[0.1], [0.7], [0.1], [-0.0], [0.0]])
     assert ensemble._once(model, x, x).tolist() == [1, 2, 1, 1, 1] and seen == [3]
+
+
+def test_tuned_members_learn_their_parts_where_they_lie(spark, samples, members):
+    """As worked out part by part by hand, with one row a part to read again."""
+    import pandas as pd
+
+    drawn = ensemble.draw(samples, members.select("member_id"), 0.5).cache()
+    candidates = [{"theta": 0.4}, {"theta": 0.1}, {"theta": 0.01}]
+    parts, shares, fits = ensemble.in_parts(drawn, 150).toPandas(), [], {}
+    assert tune._packed(ensemble.in_parts(drawn, 150), ["member_id", "partition_id"], 3, 0, 1_000, 9).count() == 9
+    for (m, p), pdf in parts.groupby(["member_id", "partition_id"]):
+        pdf = pdf.sort_values("seq")
+        s, fold = fit.to_samples(pdf, "improved"), tune._folds(pdf["sid"].to_numpy(), pdf["y"].to_numpy(), 3, 0)
+        for y in (1, 2):
+            n = np.bincount(fold[s.y == y], minlength=3)
+            assert n.max() - n.min() <= 1
+        for c, params in enumerate(candidates):
+            right = [np.mean(kl.predict(kl.make("improved", **params).fit(s.take(fold != h)), s.take(fold == h), learner="improved") == s.y[fold == h]) for h in range(3)]
+            shares.append((m, c, np.mean(right)))
+            fits[m, p, c] = kl.make("improved", **params).fit(s)
+    best = pd.DataFrame(shares, columns=["m", "c", "a"]).groupby(["m", "c"])["a"].mean().unstack().idxmax(axis=1)
+    told = {(r["member_id"], r["box_id"]): (list(r["v"]), list(r["w"]), r["c"], r["n_samples"], list(r["centroid"])) for r in tune.tuned_members(drawn, "improved", candidates, k=3, part_rows=150).collect()}
+    by_hand = {(m, p * ensemble.PART_IDS + j + 1): (b.v[j].tolist(), b.w[j].tolist(), b.c[j], b.n[j], b.m[j].tolist()) for (m, p, c), b in fits.items() if best[m] == c for j in range(b.size)}
+    assert told == by_hand and len(set(best)) >= 1
+
+
+def test_a_sample_in_a_rival_is_not_placed(monkeypatch):
+    r = np.random.default_rng(5)
+    x, y = r.random((1_500, 2)).round(3), r.integers(1, 3, 1_500)
+    calls, place = [], kl.Learner._place
+    monkeypatch.setattr(kl.Learner, "_place", lambda *a: calls.append(1) or place(*a))
+    told = kl.make("improved", theta=0.2).fit(kl.Samples(x, x, y))
+    barely = kl.make("improved", theta=0.2)
+    barely.bounds_only = True
+    same = barely.fit(kl.Samples(x, x, y))
+    step = kl.make("improved", theta=0.2)
+    step.begin(s := kl.Samples(x, x, y))
+    for i in range(len(s)):
+        step.learn(s, i)
+    assert all((getattr(told, c) == getattr(step.boxes, c)).all() for c in "vwcnm") and all((getattr(told, c) == getattr(same, c)).all() for c in "vwc")
+    assert len(calls) < 2 * told.size  # two fits, in each of which every new box used to take a search
