@@ -90,3 +90,14 @@ def test_a_sample_in_a_rival_is_not_placed(monkeypatch):
         step.learn(s, i)
     assert all((getattr(told, c) == getattr(step.boxes, c)).all() for c in "vwcnm") and all((getattr(told, c) == getattr(same, c)).all() for c in "vwc")
     assert len(calls) < 2 * told.size  # two fits, in each of which every new box used to take a search
+
+
+def test_tuned_members_vote_in_one_row_a_sample_and_class(spark, monkeypatch):
+    """``vote_tuned_members`` sends counts, not a vote per member."""
+    from boxfold.plans import catalog
+
+    seen, count = [], ensemble._count
+    monkeypatch.setattr(ensemble, "_count", lambda *a: seen.append(count(*a)) or seen[-1])
+    voted = catalog.QUERIES["vote_tuned_members"](spark, "/root/testdata/sf0.001")
+    n = voted.count()
+    assert n and sum(df.count() for df in seen) <= 3 * n  # classes; there are 20 members
