@@ -47,3 +47,13 @@ def test_whole_parts_need_no_worker(spark, monkeypatch):
     assert asked[0] == [(1, True, 3), (2, False, 1), (2, True, 2)]
     monkeypatch.setattr(tune, "_in_jvm", lambda *a: False)
     assert told() == both and ensemble._k(400, 150) == 3
+
+
+def test_tuned_members_vote_without_python_folds(spark, monkeypatch):
+    """``vote_tuned_members`` has only whole points: no part of it is learnt or validated by a Python worker."""
+    from boxfold.plans import catalog
+
+    kinds, each = [], tune._each
+    monkeypatch.setattr(tune, "_each", lambda packed, *how: kinds.append({r[0] for r in packed.select("plain").collect()}) or each(packed, *how))
+    voted = catalog.QUERIES["vote_tuned_members"](spark, "/root/testdata/sf0.001")
+    assert voted.count() and kinds == [{True}, {True}]
